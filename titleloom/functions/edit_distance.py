@@ -53,8 +53,9 @@ def edits_up_to_two(left: Column, right: Column) -> Column:
 
     Equal ends never need an edit, so they are cut off first. What remains starts and ends with a
     difference: with at most two edits one of them is at the start, one at the end, and the text between
-    them is the same.
+    them is the same. No swap is needed where plain edits reach a distance below two.
     """
+    plain = F.levenshtein(left, right, 1)
 
     def without_suffix(words: Column) -> Column:
         a, b = words["a"], words["b"]
@@ -69,11 +70,13 @@ def edits_up_to_two(left: Column, right: Column) -> Column:
             n=_shared_prefix(F.reverse(a), F.reverse(b)),
         )
 
-    return _let(
-        lambda p: _let(
-            without_suffix,
-            a=F.substring(left, p["n"] + 1, F.length(left)),
-            b=F.substring(right, p["n"] + 1, F.length(right)),
-        ),
-        n=_shared_prefix(left, right),
+    return F.when(plain >= 0, plain).otherwise(
+        _let(
+            lambda p: _let(
+                without_suffix,
+                a=F.substring(left, p["n"] + 1, F.length(left)),
+                b=F.substring(right, p["n"] + 1, F.length(right)),
+            ),
+            n=_shared_prefix(left, right),
+        )
     )

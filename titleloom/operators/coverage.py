@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titleloom import fixed_values as fv
+from titleloom.sources.tables import constant_table
 
 RESPONSE = "map<string,array<struct<normalized_role:string,role_id:bigint>>>"
 CLASSES = ("match_none", "match_norm", "differ", "regression", "improvement")
@@ -146,7 +147,7 @@ def compare_runs(remote: DataFrame, local: DataFrame, order: str = "seq") -> Dat
 def coverage_report(compared: DataFrame) -> DataFrame:
     """``class, titles, share`` for all five classes. Only the five counts are put side by side."""
     counts = compared.groupBy("class").agg(F.count("*").alias("titles"))
-    classes = compared.sparkSession.createDataFrame([(c,) for c in CLASSES], "class string")
+    classes = constant_table(compared.sparkSession, "class string", [(c,) for c in CLASSES])
     full = classes.join(counts, "class", "left").select("class", F.coalesce("titles", F.lit(0)).alias("titles"))
     total = full.agg(F.sum("titles").alias("total")).withColumn("one", F.lit(1))
     return (

@@ -58,6 +58,15 @@ def reworded(text: Column, lists: Gazetteer, steps: Steps = Steps()) -> Column:
     return text
 
 
+def computed_once(columns: Column) -> Column:
+    """The fields of a struct as columns that later filters cannot be moved below.
+
+    Spark moves a filter on a computed column under the projection and then computes the column twice; it
+    does not do so through a generator.
+    """
+    return F.inline(F.array(columns))
+
+
 def replace_words(rows: DataFrame, text: str, verbs: DataFrame, id_column: str) -> DataFrame:
     """Replace words of a text by their base from a table ``variation, base`` too large to inline."""
     words = rows.select(id_column, F.posexplode(T.split_words(F.col(text))).alias("at", "variation"))
@@ -102,7 +111,8 @@ def normalize_distinct(
             texts = texts.withColumn("text", T.remove_locations(F.col("text"), lists.locations))
         texts = replace_words(texts, "text", verbs, "title")
         steps = Steps(**{**steps.__dict__, "conjugation": False, "remove_locations": False})
-    return texts.select("title", reworded(F.col("text"), lists, steps).alias("norm_title"), "seniorities", "hierarchies")
+    done = F.struct(reworded(F.col("text"), lists, steps).alias("norm_title"), "seniorities", "hierarchies")
+    return texts.select("title", computed_once(done))
 
 
 def normalize_title(

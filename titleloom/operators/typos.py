@@ -131,12 +131,13 @@ def corrections(words: DataFrame, vocabulary: DataFrame, dictionary: DataFrame |
         .join(F.broadcast(_best_short_words(known).withColumn("key", F.lit(0))), "key")
         .select(*near.columns)
     )
+    candidates = near.unionByName(short).withColumn("distance", edits_up_to_two(F.col("word"), F.col("corrected")))
+    # Pairs further apart have no distance and no order, and so are never the smallest.
+    order = F.when(F.col("distance").isNotNull(), F.struct("distance", -F.col("freq"), "corrected"))
     return (
-        near.unionByName(short)
-        .withColumn("distance", edits_up_to_two(F.col("word"), F.col("corrected")))
-        .filter(F.col("distance").isNotNull())
-        .groupBy("word")
-        .agg(F.min_by(F.struct("corrected", "distance"), F.struct("distance", -F.col("freq"), "corrected")).alias("best"))
+        candidates.groupBy("word")
+        .agg(F.min_by(F.struct("corrected", "distance"), order).alias("best"))
+        .filter(F.col("best").isNotNull())
         .select("word", "best.corrected", "best.distance")
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from titleloom import fixed_values as fv
 from titleloom.functions.text import regex_literal, strip
 from titleloom.sources.gazetteers import rule_words_of
+from titleloom.sources.tables import constant_table
 
 
 def distinct_titles(main: DataFrame, similar: DataFrame) -> DataFrame:
@@ -46,8 +47,8 @@ def merge_word_freq(*tables: DataFrame) -> DataFrame:
 def build_dictionary(*tables: DataFrame, words: Iterable[str] = ()) -> DataFrame:
     """Distinct ``word`` of tables with that column, of the fixed word lists and of further words."""
     fixed = sorted({*words, *fv.SENIORITIES, *fv.HIERARCHIES})
-    spark = tables[0].sparkSession
-    parts = [t.select("word") for t in tables] + [spark.createDataFrame([(w,) for w in fixed], "word string")]
+    constant = constant_table(tables[0].sparkSession, "word string", [(w,) for w in fixed])
+    parts = [t.select("word") for t in tables] + [constant]
     return reduce(DataFrame.unionByName, parts).distinct()
 
 

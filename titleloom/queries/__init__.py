@@ -24,6 +24,6 @@ def all_oracles() -> dict[str, str]:
 
 
 def _modules():
-    from titleloom.queries import text
+    from titleloom.queries import matching, sources, text, vocabulary
 
-    return [text]
+    return [sources, text, vocabulary, matching]

@@ -6,6 +6,7 @@ experiences and role rows, customers for users, events for applies and contacts.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,8 @@ _VIEWS: dict[str, str] = {
     "staff_titles": "SELECT 1000000000 + o_orderkey AS id, concat(CASE o_custkey % 5 WHEN 0 THEN 'Trainee' WHEN 1 THEN "
     "'Coordenadora' WHEN 2 THEN 'GERENTE' ELSE 'Enfermeiras' END, CASE WHEN o_orderstatus = 'O' THEN ' Sr' WHEN "
     "o_orderstatus = 'P' THEN ' jr.' ELSE ', líder' END, ' ', o_orderpriority) AS title FROM orders",
+    "long_titles": "SELECT concat(l_returnflag, ' vaga, ', p_name, ' ', p_type, ' com ', p_brand, '; ', lower(p_name), ' ou ', "
+    "p_brand, ' ', p_size) AS title FROM lineitem JOIN part ON l_partkey = p_partkey",
     "order_part": "SELECT l_orderkey, min_by(l_partkey, l_linenumber * 100000000 + l_partkey) AS l_partkey "
     "FROM lineitem GROUP BY l_orderkey",
     "order_titles": f"SELECT o.*, {_PART_TITLE} AS titulo FROM orders o "
@@ -144,7 +147,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     done: dict[str, DataFrame] = {}
     for step in needed:
         inputs = {k: v for k, v in {**sources, **done}.items() if f" {k}" in _VIEWS[step]}
-        text = _VIEWS[step]
+        text = _VIEWS[step].replace("{", "{{").replace("}", "}}")
         for key in sorted(inputs, key=len, reverse=True):
             text = _named_inputs(text, key)
         done[step] = spark.sql(text, **inputs)
@@ -152,8 +155,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _named_inputs(text: str, name: str) -> str:
-    import re
-
     return re.sub(rf"(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", text)
 
 

@@ -83,6 +83,8 @@ def correct_typos_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct_typos(turns, _vocabulary(spark, sf_dir)).select(F.col("title").alias("turn_id"), "text")
 
 
+_ONE_BYTE = "translate({}.word, 'éèêçóñüäößíáúàâîôûëï', 'ABCDEFGHIJKLMNOPQRST')"
+
 _TYPO_SQL = f"""
 WITH vocabulary AS (
   SELECT word, count(*) AS freq FROM (
@@ -96,10 +98,13 @@ placed AS (
   SELECT turn_id, words[pos] AS word, pos FROM (
     SELECT turn_id, words, unnest(range(1, len(words) + 1)) AS pos FROM turns)),
 unknown AS (SELECT DISTINCT word FROM placed ANTI JOIN vocabulary USING (word)),
+-- The distance function counts bytes: letters of two bytes stand as unused letters of one.
 near AS (
-  SELECT u.word, v.word AS corrected, v.freq, damerau_levenshtein(u.word, v.word) AS free_distance
-  FROM unknown u JOIN vocabulary v ON abs(length(u.word) - length(v.word)) <= 2
-  WHERE damerau_levenshtein(u.word, v.word) <= 2),
+  SELECT * FROM (
+    SELECT u.word, v.word AS corrected, v.freq, damerau_levenshtein({_ONE_BYTE.format('u')}, {_ONE_BYTE.format('v')})
+      AS free_distance
+    FROM unknown u JOIN vocabulary v ON abs(length(u.word) - length(v.word)) <= 2)
+  WHERE free_distance <= 2),
 -- A swap counts as one edit only where nothing else happens inside the swapped pair: three edits otherwise.
 cut AS (
   SELECT *, list_max(list_concat([0], list_filter(range(1, least(length(word), length(corrected)) + 1),
@@ -113,8 +118,10 @@ cut4 AS (
   SELECT *, left(a0, length(a0) - q) AS a, left(b0, length(b0) - q) AS b FROM cut3),
 best AS (
   SELECT word, arg_min(corrected, (free_distance, -freq, corrected)) AS corrected FROM cut4
-  WHERE NOT (free_distance = 2 AND length(a) = 2 AND length(b) = 3 AND a[1] = b[3] AND a[2] = b[1])
-    AND NOT (free_distance = 2 AND length(a) = 3 AND length(b) = 2 AND a[1] = b[2] AND a[3] = b[1])
+  WHERE NOT (free_distance = 2 AND length(a) = 2 AND length(b) = 3 AND a[1] = b[3] AND a[2] = b[1]
+      AND b[2] NOT IN (a[1], a[2]))
+    AND NOT (free_distance = 2 AND length(a) = 3 AND length(b) = 2 AND a[1] = b[2] AND a[3] = b[1]
+      AND a[2] NOT IN (b[1], b[2]))
   GROUP BY word)
 SELECT turns.turn_id, coalesce(string_agg(coalesce(corrected, placed.word), ' ' ORDER BY pos), '') AS text
 FROM turns LEFT JOIN placed USING (turn_id) LEFT JOIN best ON placed.word = best.word GROUP BY turns.turn_id

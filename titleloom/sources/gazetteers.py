@@ -1,13 +1,14 @@
 """Rule and word lists: text files with one entry per line, or DataFrames of ``(line, text)``.
 
 Lists are configuration. ``*_of`` functions parse a DataFrame of lines; ``load_gazetteer`` turns the parsed
-tables of a folder into a ``Gazetteer`` for the title chain and refuses lists over ``MAX_ENTRIES``.
+tables of a folder into a ``Gazetteer`` for the title chain and refuses more than ``MAX_ENTRIES`` entries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from titleloom import fixed_values as fv
 from titleloom.functions.phrase_rules import PhraseRule
 from titleloom.functions.text import split_words, strip
+from titleloom.sources.tables import constant_table
 
 MAX_ENTRIES = 100_000
 # Above this size a verb table is joined (see ``operators.normalize.replace_words``), not inlined.
@@ -53,7 +55,7 @@ def _entries(lines: DataFrame) -> DataFrame:
 def stopwords_of(lines: DataFrame) -> DataFrame:
     """``word``: listed words without the always-kept ones, with the always-added ones."""
     listed = lines.filter(~F.col("text").startswith("#")).select(strip(F.col("text")).alias("word"))
-    added = lines.sparkSession.createDataFrame([(w,) for w in fv.STOPWORDS_ADDED], "word string")
+    added = constant_table(lines.sparkSession, "word string", [(w,) for w in fv.STOPWORDS_ADDED])
     return (
         listed.filter((F.col("word") != "") & ~F.col("word").isin(list(fv.STOPWORDS_KEPT)))
         .union(added)
@@ -128,22 +130,6 @@ def read_plural_rules(spark: SparkSession, path: str) -> DataFrame:
     return plural_rules_of(read_lines(spark, path))
 
 
-def _configuration(table: DataFrame) -> list:
-    """Rows of a configuration table, which has a known upper size."""
-    rows = table.limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"a gazetteer may hold at most {MAX_ENTRIES} entries")
-    return rows
-
-
-def phrase_rules(table: DataFrame) -> tuple[PhraseRule, ...]:
-    return tuple(PhraseRule(r.base, tuple(r.variations)) for r in sorted(_configuration(table), key=lambda r: r.line))
-
-
-def words(table: DataFrame) -> frozenset[str]:
-    return frozenset(r.word for r in _configuration(table))
-
-
 GAZETTEER_FILES = (
     "stopwords",
     "mapping_special_character_terms",
@@ -155,38 +141,64 @@ GAZETTEER_FILES = (
 )
 
 
-def gazetteer_of(spark: SparkSession, files: dict[str, DataFrame]) -> Gazetteer:
-    """A ``Gazetteer`` from the lines (``line, text``) of some or all ``GAZETTEER_FILES``."""
+def _as_entries(name: str, lines: DataFrame, stopwords: DataFrame | None) -> DataFrame:
+    """A parsed list in one common form: ``name, line, entry, others``."""
+    none = F.array().cast("array<string>")
+    if name == "stopwords":
+        parsed = stopwords_of(lines).select(F.lit(0).alias("line"), F.col("word").alias("entry"), none.alias("others"))
+    elif name == "locations":
+        no_words = constant_table(lines.sparkSession, "word string", [])
+        found = rule_words_of(lines, no_words if stopwords is None else stopwords_of(stopwords))
+        parsed = found.select(F.lit(0).alias("line"), F.col("word").alias("entry"), none.alias("others"))
+    elif name == "mapping_plural":
+        parsed = plural_rules_of(lines).select("line", F.col("suffix").alias("entry"), F.array("replacement").alias("others"))
+    elif name == "mapping_conjugation":
+        parsed = conjugation_of(lines).select(
+            F.lit(0).alias("line"), F.col("variation").alias("entry"), F.array("base").alias("others")
+        )
+    else:
+        parsed = phrase_rules_of(lines).select("line", F.col("base").alias("entry"), F.col("variations").alias("others"))
+    return parsed.select(F.lit(name).alias("name"), "line", "entry", "others")
+
+
+def gazetteer_of(files: dict[str, DataFrame]) -> Gazetteer:
+    """A ``Gazetteer`` from the lines (``line, text``) of some or all ``GAZETTEER_FILES``.
+
+    The lists are configuration of known size: all of them come to the driver at once, or none.
+    """
+    parts = [_as_entries(name, lines, files.get("stopwords")) for name, lines in files.items()]
+    rows = reduce(DataFrame.unionByName, parts).limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"a gazetteer may hold at most {MAX_ENTRIES} entries")
+    rows.sort(key=lambda r: r.line)
+
+    def of(name: str) -> list:
+        return [r for r in rows if r.name == name]
 
     def rules(name: str) -> tuple[PhraseRule, ...]:
-        return phrase_rules(phrase_rules_of(files[name])) if name in files else ()
+        return tuple(PhraseRule(r.entry, tuple(r.others)) for r in of(name))
 
-    stop_table = (
-        stopwords_of(files["stopwords"]) if "stopwords" in files else spark.createDataFrame([], "word string")
-    )
-    plural = _configuration(plural_rules_of(files["mapping_plural"])) if "mapping_plural" in files else []
-    verbs = _configuration(conjugation_of(files["mapping_conjugation"])) if "mapping_conjugation" in files else []
     return Gazetteer(
-        stopwords=words(stop_table),
+        stopwords=frozenset(r.entry for r in of("stopwords")),
         special_terms=rules("mapping_special_character_terms"),
         thesaurus=rules("mapping_thesaurus"),
         gender=rules("mapping_gender"),
-        plural=tuple((r.suffix, r.replacement) for r in sorted(plural, key=lambda r: r.line)),
-        conjugation={r.variation: r.base for r in verbs},
-        locations=words(rule_words_of(files["locations"], stop_table)) if "locations" in files else frozenset(),
+        plural=tuple((r.entry, r.others[0]) for r in of("mapping_plural")),
+        conjugation={r.entry: r.others[0] for r in of("mapping_conjugation")},
+        locations=frozenset(r.entry for r in of("locations")),
     )
 
 
 def load_gazetteer(spark: SparkSession, folder: str, names: Iterable[str] = GAZETTEER_FILES) -> Gazetteer:
     """The gazetteer files (``<name>.txt``) of a folder that all executors can read."""
-    return gazetteer_of(spark, {name: read_lines(spark, f"{folder}/{name}.txt") for name in names})
+    return gazetteer_of({name: read_lines(spark, f"{folder}/{name}.txt") for name in names})
 
 
 def packaged_lines(spark: SparkSession, name: str) -> DataFrame:
     """``line, text`` of one of the small sample lists that come with the package."""
     text = resources.files("titleloom").joinpath("gazetteers", f"{name}.txt").read_text("utf-8")
-    return spark.createDataFrame(list(enumerate(text.splitlines(), 1)), "line int, text string")
+    return constant_table(spark, "line int, text string", enumerate(text.splitlines(), 1))
 
 
 def sample_gazetteer(spark: SparkSession) -> Gazetteer:
-    return gazetteer_of(spark, {name: packaged_lines(spark, name) for name in GAZETTEER_FILES})
+    return gazetteer_of({name: packaged_lines(spark, name) for name in GAZETTEER_FILES})

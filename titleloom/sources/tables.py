@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def constant_table(spark: SparkSession, schema: str, rows: Iterable[tuple]) -> DataFrame:
+    """A small table written into the plan itself. ``schema`` as in ``name type, name type``."""
+    names = [column.split()[0] for column in schema.split(",")]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    fields = ",".join(f"{n}:{c.split(None, 1)[1].strip()}" for n, c in zip(names, schema.split(",")))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
 
 
 def read_table(spark: SparkSession, path: str, file_format: str = "parquet", **options: str) -> DataFrame:
