@@ -24,6 +24,6 @@ def all_oracles() -> dict[str, str]:
 
 
 def _modules():
-    from titleloom.queries import matching, sources, text, vocabulary
+    from titleloom.queries import coverage, embedding, inference, matching, routines, sources, streams, text, vocabulary
 
-    return [sources, text, vocabulary, matching]
+    return [sources, text, vocabulary, matching, embedding, inference, routines, coverage, streams]
