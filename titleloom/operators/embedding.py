@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from titleloom import fixed_values as fv
 from titleloom.functions.text import split_words
 from titleloom.functions.vectors import scaled, summed
-from titleloom.operators.skew import join_hot, join_salted
+from titleloom.operators.skew import join_hot, join_lookup
 from titleloom.session import shared_folder
 
 # Similarities are compared after rounding, so that the order of additions does not decide ties.
@@ -31,7 +31,7 @@ def _words_with_vectors(titles: DataFrame, word_vectors: DataFrame, title: str)
     known = word_vectors.filter(F.col("vec").isNotNull() & F.col("idf").isNotNull()).select(
         "word", F.col("vec").cast("array<double>").alias("vec"), F.col("idf").cast("double").alias("idf")
     )
-    found = join_salted(words, known, ["word"], "left")
+    found = join_lookup(words, known, ["word"], "left")
     entry = F.struct("at", "word", "vec", "idf")
     return (
         found.groupBy(title)

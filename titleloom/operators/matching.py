@@ -12,7 +12,8 @@ from titleloom.functions.text import regex_literal, split_words
 from titleloom.operators.catalogue import ID_COLUMNS, ROLE_COLUMNS
 from titleloom.operators.embedding import match_embedding
 from titleloom.operators.normalize import Steps, normalize_distinct
-from titleloom.operators.skew import join_hot, join_salted
+from titleloom.operators.skew import join_hot, join_lookup
+from titleloom.session import shared_folder
 from titleloom.sources.gazetteers import Gazetteer
 
 
@@ -49,13 +50,13 @@ def match_exact(titles: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``norm_title`` and the role whose normalized title it is; unmatched titles are left out."""
     roles = catalogue.select(F.col("processed_title").alias("norm_title"), F.struct(*ROLE_COLUMNS).alias("role"))
     distinct = titles.select("norm_title").filter(F.col("norm_title") != "").distinct()
-    return distinct.join(roles, "norm_title").select("norm_title", F.lit(fv.MATCH_EXACT).alias("match_type"), "role")
+    return join_lookup(distinct, roles, ["norm_title"], "inner").select("norm_title", F.lit(fv.MATCH_EXACT).alias("match_type"), "role")
 
 
 def _best_candidate(candidates: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
     """Per key the first-ranked candidate text that is a catalogue title."""
     roles = catalogue.select(F.col("processed_title").alias("candidate"), F.struct(*ROLE_COLUMNS).alias("role"))
-    hits = join_salted(candidates, roles, ["candidate"], "inner")
+    hits = join_lookup(candidates, roles, ["candidate"], "inner")
     best = F.min_by(F.struct("rank", "candidate", "role"), "rank").alias("best")
     return hits.groupBy(key).agg(best).select(key, "best.*")
 
@@ -102,6 +103,10 @@ def match_cascade(
     fails the profile filter ends the search of its title. Titles without a match are left out.
     """
     whole = F.array(F.col("norm_title"))
+    if word_vectors is not None:
+        # Read again for the titles left over.
+        shared_folder(texts.sparkSession)
+        texts = texts.checkpoint()
     candidates = (
         texts.filter(F.col("norm_title") != "")
         .select(key, F.posexplode(F.concat(whole, title_ngrams(F.col("norm_title")))).alias("rank", "candidate"))

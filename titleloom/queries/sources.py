@@ -178,7 +178,7 @@ ORACLES = {
     "pending_work_exp": with_views(["users", "cvs", "work_experiences", "work_exp_role_rows"], PENDING_WORK_EXP_SQL),
     "read_applies": with_views(
         ["applies"],
-        "SELECT user_id, rank, event_id, job_id FROM (SELECT *, row_number() OVER "
+        "SELECT user_id, CAST(rank AS INT) AS rank, event_id, job_id FROM (SELECT *, row_number() OVER "
         "(PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM applies) WHERE rank <= 200",
     ),
     "read_contacts": with_views(
