@@ -48,14 +48,37 @@ def _edits(cut: Column) -> Column:
     return F.when((m == 0) & (n == 0), 0).when(one, 1).when(two, 2)
 
 
-def edits_up_to_two(left: Column, right: Column) -> Column:
+def letters(word: Column) -> Column:
+    """The letters of a word in order of the alphabet."""
+    return F.array_join(F.array_sort(F.split(word, "")), "")
+
+
+def edits_up_to_two(
+    left: Column, right: Column, left_letters: Column | None = None, right_letters: Column | None = None
+) -> Column:
     """0, 1 or 2, or null where more edits are needed.
 
-    Equal ends never need an edit, so they are cut off first. What remains starts and ends with a
-    difference: with at most two edits one of them is at the start, one at the end, and the text between
-    them is the same. No swap is needed where plain edits reach a distance below two.
+    Without swaps this is the plain distance. A swap can only do better if it leaves the letters as they are:
+    one swap turns two plain edits into one, and a swap with one more edit changes at most one letter. Only
+    pairs with such ``letters`` are looked at closely. Pass the letters where words are compared many times.
+    """
+    plain = F.levenshtein(left, right, 2)
+    left_letters = letters(left) if left_letters is None else left_letters
+    right_letters = letters(right) if right_letters is None else right_letters
+    return (
+        F.when(plain.between(0, 1), plain)
+        .when((plain == 2) & (left_letters != right_letters), 2)
+        .when((plain < 0) & (F.levenshtein(left_letters, right_letters, 2) < 0), F.lit(None).cast("int"))
+        .otherwise(_edits_with_swaps(left, right))
+    )
+
+
+def _edits_with_swaps(left: Column, right: Column) -> Column:
+    """Equal ends never need an edit, so they are cut off first.
+
+    What remains starts and ends with a difference: with at most two edits one of them is at the start, one at
+    the end, and the text between them is the same.
     """
-    plain = F.levenshtein(left, right, 1)
 
     def without_suffix(words: Column) -> Column:
         a, b = words["a"], words["b"]
@@ -70,13 +93,11 @@ def edits_up_to_two(left: Column, right: Column) -> Column:
             n=_shared_prefix(F.reverse(a), F.reverse(b)),
         )
 
-    return F.when(plain >= 0, plain).otherwise(
-        _let(
-            lambda p: _let(
-                without_suffix,
-                a=F.substring(left, p["n"] + 1, F.length(left)),
-                b=F.substring(right, p["n"] + 1, F.length(right)),
-            ),
-            n=_shared_prefix(left, right),
-        )
+    return _let(
+        lambda p: _let(
+            without_suffix,
+            a=F.substring(left, p["n"] + 1, F.length(left)),
+            b=F.substring(right, p["n"] + 1, F.length(right)),
+        ),
+        n=_shared_prefix(left, right),
     )

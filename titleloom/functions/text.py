@@ -123,16 +123,18 @@ def _class_of(chars: Iterable[str]) -> str:
 def strip_accents(text: Column) -> Column:
     """Compatibility-decompose, keep ASCII, drop the rest."""
     single, several = ascii_foldings()
-    # Characters that expand to several are rare: look at each character only in texts that hold one.
+    # Characters that expand to several are rare, and their regex class is long: it is tried only on texts with
+    # letters beyond the usual accented ones, and single characters are looked at only in texts that hold one.
     table = F.from_json(F.lit(_json(several)), "map<string,string>")
     expanded = F.when(
-        text.rlike(f"[{_class_of(several)}]"),
+        text.rlike(r"[^\x00-\x7F\u00C0-\u00FF]") & text.rlike(f"[{_class_of(several)}]"),
         F.array_join(
             F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
         ),
     ).otherwise(text)
     folded = F.translate(expanded, "".join(single), "".join(single.values()))
-    return F.regexp_replace(folded, r"[^\x00-\x7F]", "")
+    plain = F.regexp_replace(folded, r"[^\x00-\x7F]", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
 
 
 def _json(value) -> str:
@@ -141,18 +143,17 @@ def _json(value) -> str:
     return json.dumps(value)
 
 
-def plural_rules(word: Column, rules: Iterable[tuple[str, str]]) -> Column:
-    """Suffix rules in cascade on one word; a rule needs a non-digit before the suffix."""
-    changed = word
-    for suffix, replacement in rules:
-        changed = F.regexp_replace(changed, f"(?<=\\D){suffix}\\z", replacement)
-    kept = F.when(word.isin(list(fv.PLURAL_EXCEPTIONS)), word).otherwise(changed)
-    return F.replace(kept, F.lit(fv.PLURAL_MARK), F.lit(""))
-
-
 def normalize_plural(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
-    rules = list(rules)
-    return strip(join_words(F.transform(split_words(text), lambda w: plural_rules(w, rules))))
+    """Suffix rules in cascade on every word; a rule needs a non-digit of the word before the suffix.
+
+    A rule looks at one word only, so each rule runs once over all words of the text. Words that no rule
+    may touch are marked first, which takes their ends out of reach.
+    """
+    text = join_words(split_words(text))
+    text = F.regexp_replace(text, f"(^| )({'|'.join(fv.PLURAL_EXCEPTIONS)})(?= |\\z)", f"$1$2{fv.PLURAL_MARK}")
+    for suffix, replacement in rules:
+        text = F.regexp_replace(text, f"{suffix}(?= |\\z)(?<=[^0-9 ]{suffix})", replacement)
+    return strip(F.replace(text, F.lit(fv.PLURAL_MARK), F.lit("")))
 
 
 def normalize_conjugation(text: Column, verbs: dict[str, str]) -> Column:

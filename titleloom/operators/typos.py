@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titleloom import fixed_values as fv
-from titleloom.functions.edit_distance import edits_up_to_two
+from titleloom.functions.edit_distance import edits_up_to_two, letters
 from titleloom.functions.text import split_words
 from titleloom.operators.skew import join_hot
+from titleloom.session import shared_folder
 
 # A word of n letters has up to 1 + n + n(n-1)/2 deletion keys. Longer vocabulary words are found by
 # segments instead, whose number does not grow with the word.
@@ -88,15 +89,12 @@ def lookup_keys(word: Column) -> Column:
 
 
 def _key_hashes(keys: Column) -> Column:
-    """Keys as numbers: eight bytes each; a clash only adds a candidate that the distance check drops.
-
-    The empty key, shared by all words of up to two letters, is left to ``_best_short_words``.
-    """
-    return F.transform(F.filter(keys, lambda k: k != ""), lambda k: F.xxhash64(k))
+    """Keys as numbers: eight bytes each; a clash only adds a candidate that the distance check drops."""
+    return F.transform(keys, lambda k: F.xxhash64(k))
 
 
 def _best_short_words(known: DataFrame) -> DataFrame:
-    """The most frequent known word of one and of two letters: two rows.
+    """The most frequent known word of one and of two letters, under the empty key: two rows.
 
     Short words are all within two edits of each other. Where two of them share no letter the distance
     follows from their lengths alone, so only the best word of each length can win.
@@ -104,8 +102,11 @@ def _best_short_words(known: DataFrame) -> DataFrame:
     return (
         known.filter(F.length("word") <= fv.MAX_EDIT_DISTANCE)
         .groupBy(F.length("word").alias("n"))
-        .agg(F.min_by(F.struct("word", "freq"), F.struct(-F.col("freq"), "word")).alias("best"))
-        .select(F.col("best.word").alias("corrected"), "best.freq")
+        .agg(F.min_by(F.struct("word", "freq", "letters"), F.struct(-F.col("freq"), "word")).alias("best"))
+        .select(
+            F.col("best.word").alias("corrected"), "best.freq", F.col("best.letters").alias("corrected_letters"),
+            F.xxhash64(F.lit("")).alias("key"),
+        )
     )
 
 
@@ -115,23 +116,26 @@ def corrections(words: DataFrame, vocabulary: DataFrame, dictionary: DataFrame |
     Nearest first, then most frequent, then first by name. Words of ``dictionary`` (``word``) are right too,
     but nothing is corrected to them.
     """
+    shared_folder(words.sparkSession)
+    # Both are read several times below, and finding the unknown words takes a pass over all texts.
     known = vocabulary.groupBy("word").agg(F.sum("freq").alias("freq"))
+    known = known.withColumn("letters", letters(F.col("word"))).checkpoint()
     unknown = words.select("word").distinct().join(known, "word", "left_anti")
     if dictionary is not None:
         unknown = unknown.join(dictionary.select("word").distinct(), "word", "left_anti")
+    # The words are few bytes and much work: they are spread over all tasks.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unknown = unknown.repartition(tasks, "word").withColumn("word_letters", letters(F.col("word"))).checkpoint()
     offered = known.select(
-        F.col("word").alias("corrected"), "freq",
-        F.explode(_key_hashes(vocabulary_keys(F.col("word")))).alias("key"),
+        F.col("word").alias("corrected"), "freq", F.col("letters").alias("corrected_letters"),
+        F.explode(_key_hashes(F.filter(vocabulary_keys(F.col("word")), lambda k: k != ""))).alias("key"),
     )
-    wanted = unknown.select("word", F.explode(_key_hashes(lookup_keys(F.col("word")))).alias("key"))
-    near = wanted.join(offered, "key").drop("key")
-    short = (
-        unknown.filter(F.length("word") <= fv.MAX_EDIT_DISTANCE)
-        .withColumn("key", F.lit(0))
-        .join(F.broadcast(_best_short_words(known).withColumn("key", F.lit(0))), "key")
-        .select(*near.columns)
+    wanted = unknown.select(
+        "word", "word_letters", F.explode(_key_hashes(lookup_keys(F.col("word")))).alias("key")
     )
-    candidates = near.unionByName(short).withColumn("distance", edits_up_to_two(F.col("word"), F.col("corrected")))
+    near = wanted.join(offered.unionByName(_best_short_words(known)), "key")
+    distance = edits_up_to_two(*map(F.col, ("word", "corrected", "word_letters", "corrected_letters")))
+    candidates = near.withColumn("distance", distance)
     # Pairs further apart have no distance and no order, and so are never the smallest.
     order = F.when(F.col("distance").isNotNull(), F.struct("distance", -F.col("freq"), "corrected"))
     return (

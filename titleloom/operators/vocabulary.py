@@ -20,8 +20,8 @@ def distinct_titles(main: DataFrame, similar: DataFrame) -> DataFrame:
 
 def word_breaks() -> str:
     """Regex for everything that ends a word in a phrase: space, separators and special characters."""
-    breaks = [" ", *fv.SPACE_SEQUENCES, *fv.SPACE_CHARACTERS, *fv.SPECIAL_CHARACTERS]
-    return "|".join(regex_literal(b) for b in breaks)
+    single = "".join(regex_literal(b) for b in (" ", *fv.SPACE_CHARACTERS, *fv.SPECIAL_CHARACTERS))
+    return "|".join([*map(regex_literal, fv.SPACE_SEQUENCES), f"[{single}]"])
 
 
 def phrase_words(phrase: Column) -> Column:

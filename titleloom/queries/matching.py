@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from titleloom import fixed_values as fv
 from titleloom.operators import matching as m
-from titleloom.operators.normalize import Steps, normalize_title
+from titleloom.operators.normalize import Steps, normalize_distinct
 from titleloom.queries import sql
 from titleloom.queries.standins import gazetteer, table, view, with_views
 from titleloom.queries.vocabulary import built_catalogue, with_catalogue
@@ -27,9 +27,9 @@ _TITLE_VIEWS = ("part_titles", "long_titles")
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalized pieces of all titles, with repeats."""
-    pieces = m.split_compound_title(job_titles(spark, sf_dir)).select(F.col("piece").alias("title"))
-    return normalize_title(pieces, gazetteer(spark), STEPS).select("norm_title")
+    """Normalized pieces of all titles."""
+    pieces = m.split_compound_title(job_titles(spark, sf_dir)).select(F.col("piece").alias("title")).distinct()
+    return normalize_distinct(pieces, gazetteer(spark), STEPS).select("norm_title")
 
 
 def _role(frame: DataFrame, *keep: str) -> DataFrame:

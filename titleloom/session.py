@@ -20,6 +20,8 @@ def build_session(app_name: str = "titleloom", master: str | None = None, **conf
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # A title is few bytes and much work, so small shuffle partitions are worth a task.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     for key, value in {**defaults, **conf}.items():
