@@ -45,14 +45,28 @@ def test_joins_equal_the_plain_join(spark, monkeypatch):
 
 
 def test_hot_rows_are_spread(spark):
+    """On four tasks a key with a third of the rows is cut in two, and no other key is."""
     left = rows(spark)
-    assert skew.hot_keys(left, ["key"]).count() <= skew.HOT_KEYS
-    salts = left.filter("key = 'hot'").select(skew._salt(left, ["key"], None, skew.HOT_SALTS).alias("s"))
-    assert salts.distinct().count() > skew.HOT_SALTS // 2
-    plan = skew.join_hot(left, lookup(spark), ["key"])._jdf.queryExecution().executedPlan().toString()
+    (hot,) = skew.hot_keys(left, ["key"]).collect()
+    assert hot["__repeats"] == 2
+    assert hot["__hash"] == spark.sql("SELECT xxhash64('hot')").first()[0]
+    numbers = left.filter("key = 'hot'").select(F.pmod(skew._spread(left, ["key"], None), F.lit(2)).alias("s"))
+    sizes = [r["count"] for r in numbers.groupBy("s").count().collect()]
+    assert len(sizes) == 2 and min(sizes) > 800
+
+
+def test_joins_of_rows_are_never_broadcast(spark, capsys):
+    skew.join_hot(rows(spark), lookup(spark), ["key"]).explain()
+    plan = capsys.readouterr().out
     assert "SortMergeJoin" in plan and "Cartesian" not in plan
 
 
+def test_keep_hot_is_a_semi_join(spark):
+    left, ids = rows(spark), lookup(spark).unionByName(lookup(spark))
+    expected = left.join(ids, "key", "left_semi").select("id", "key")
+    assert sorted(map(tuple, skew.keep_hot(left, ids, ["key"]).collect())) == sorted(map(tuple, expected.collect()))
+
+
 def test_empty_sides(spark):
     nothing = rows(spark).filter("id < 0")
     assert skew.join_hot(nothing, lookup(spark), ["key"]).count() == 0

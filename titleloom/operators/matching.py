@@ -12,7 +12,7 @@ from titleloom.functions.text import regex_literal, split_words
 from titleloom.operators.catalogue import ID_COLUMNS, ROLE_COLUMNS
 from titleloom.operators.embedding import match_embedding
 from titleloom.operators.normalize import Steps, normalize_distinct
-from titleloom.operators.skew import join_hot, join_lookup
+from titleloom.operators.skew import join_hot, join_lookup, keep_hot
 from titleloom.session import shared_folder
 from titleloom.sources.gazetteers import Gazetteer
 
@@ -194,5 +194,5 @@ def first_match(pieces: DataFrame) -> DataFrame:
 
 def ab_group_filter(rows: DataFrame, assignments: DataFrame, id_column: str, group: str) -> DataFrame:
     """Rows whose id is assigned to a test group. Ids without an assignment are left out."""
-    members = assignments.filter(F.col("ab_test_group") == group).select(F.col("id").alias(id_column)).distinct()
-    return rows.join(members, id_column, "left_semi")
+    members = assignments.filter(F.col("ab_test_group") == group).select(F.col("id").alias(id_column))
+    return keep_hot(rows, members, [id_column])

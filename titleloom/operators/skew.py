@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from titleloom.session import shared_folder
 
-# The sketch below returns at most this many keys, so the table of hot keys can always be broadcast.
-HOT_KEYS = 256
+# The sketch returns at most this many keys, so the table of hot keys can always be broadcast.
+HOT_KEYS = 2048
 TRACKED_KEYS = 8192
-HOT_SALTS = 128
+# Tasks hand in their sketches in this many groups first, so that no task reads the sketches of all others.
+SKETCH_GROUPS = 512
 SALTS = 16
 # A lookup within both bounds is broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -26,22 +27,32 @@ def _hash(keys: Sequence[str]) -> Column:
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Hashes of the most frequent keys, at most ``HOT_KEYS`` rows, from one map-side sketch.
+    """``__hash, __repeats`` of keys too frequent for one task, at most ``HOT_KEYS`` rows.
 
-    Which keys come back only decides how work is spread, never what a join returns.
+    A key is split so that each piece is about as large as an average shuffle partition. Frequencies come
+    from a sketch kept per task; they only decide how work is spread, never what a join returns.
     """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_group = (
+        rows.select(_hash(keys).alias(_HASH), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
+        .groupBy("g")
+        .agg(F.expr(f"approx_top_k_accumulate({_HASH}, {TRACKED_KEYS})").alias("sketch"), F.count("*").alias("n"))
+    )
+    # Grouped by a constant, so that no rows give no group: an empty sketch cannot be read.
+    top = per_group.groupBy(F.lit(0).alias("all")).agg(
+        F.expr(f"approx_top_k_combine(sketch, {TRACKED_KEYS})").alias("sketch"), F.sum("n").alias("n")
+    )
     return (
-        rows.select(_hash(keys).alias(_HASH))
-        .agg(F.expr(f"approx_top_k({_HASH}, {HOT_KEYS}, {TRACKED_KEYS})").alias("top"))
-        .select(F.explode("top").alias("top"))
-        .select(F.col("top.item").alias(_HASH))
+        top.select("n", F.expr(f"explode(approx_top_k_estimate(sketch, {HOT_KEYS}))").alias("top"))
+        .select(F.col("top.item").alias(_HASH), F.ceil(F.col("top.count") * tasks / F.col("n")).cast("int").alias(_REPEATS))
+        .filter(F.col(_REPEATS) > 1)
     )
 
 
-def _salt(rows: DataFrame, keys: Sequence[str], spread: Sequence[str] | None, salts: int) -> Column:
-    """A salt from the contents of a row: a task that runs again gives every row the same salt."""
+def _spread(rows: DataFrame, keys: Sequence[str], spread: Sequence[str] | None) -> Column:
+    """A number from the contents of a row: a task that runs again gives every row the same one."""
     spread = spread or [c for c in rows.columns if c not in keys] or list(keys)
-    return F.pmod(F.xxhash64(F.lit("salt"), *spread), F.lit(salts)).cast("int")
+    return F.xxhash64(F.lit("salt"), *spread)
 
 
 def join_hot(
@@ -53,15 +64,16 @@ def join_hot(
 ) -> DataFrame:
     """Join many rows to a lookup with at most one row per key, whatever the key frequencies.
 
-    Rows of hot keys are spread over ``HOT_SALTS`` tasks by the ``spread`` columns (all others than the keys
-    unless named) and only the lookup rows of those keys are repeated; all other rows are joined as usual.
-    ``how`` is ``inner`` or ``left``.
+    Rows of hot keys are spread over as many tasks as they need by the ``spread`` columns (all others than the
+    keys unless named) and only the lookup rows of those keys are repeated; all other rows are joined as usual.
+    ``how`` is ``inner`` or ``left``. With a lookup of keys alone an inner join is a semi join.
     """
-    hot = F.broadcast(hot_keys(rows, keys).withColumn(_REPEATS, F.lit(HOT_SALTS)))
+    hot = F.broadcast(hot_keys(rows, keys))
+    number = _spread(rows, keys, spread)
     salted = (
         rows.withColumn(_HASH, _hash(keys))
         .join(hot, _HASH, "left")
-        .withColumn(_SALT, F.when(F.col(_REPEATS).isNull(), 0).otherwise(_salt(rows, keys, spread, HOT_SALTS)))
+        .withColumn(_SALT, F.when(F.col(_REPEATS).isNull(), 0).otherwise(F.pmod(number, F.col(_REPEATS)).cast("int")))
         .drop(_HASH, _REPEATS)
     )
     repeated = (
@@ -73,6 +85,11 @@ def join_hot(
     return _merged(salted, repeated, [*keys, _SALT], how).drop(_SALT)
 
 
+def keep_hot(rows: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is among the ids: a semi join that stands frequent keys."""
+    return join_hot(rows, ids.select(*keys).distinct(), keys, "inner").select(*rows.columns)
+
+
 def _merged(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """A sort-merge join, whatever the planner thinks of the sizes.
 
@@ -115,7 +132,7 @@ def join_salted(
 
     No look at the key frequencies: every key is spread over ``salts`` tasks and the lookup is repeated.
     """
-    salted = rows.withColumn(_SALT, _salt(rows, keys, spread, salts))
+    salted = rows.withColumn(_SALT, F.pmod(_spread(rows, keys, spread), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return _merged(salted, repeated, [*keys, _SALT], how).drop(_SALT)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from titleloom import fixed_values as fv
-from titleloom.operators.skew import first_per_key
+from titleloom.operators.skew import first_per_key, keep_hot
 
 
 def read_applies(
@@ -23,8 +23,7 @@ def read_applies(
     With ``days`` only applies of that many days before ``as_of``.
     """
     if ids is not None:
-        wanted = ids.select(id_column).distinct()
-        applies = applies.join(wanted, id_column, "left_semi")
+        applies = keep_hot(applies, ids, [id_column])
     if days > 0:
         if as_of is None:
             raise ValueError("days needs as_of")
@@ -34,7 +33,7 @@ def read_applies(
 
 def read_contacts(contacts: DataFrame, job_ids: DataFrame) -> DataFrame:
     """Contacts (``vag_id, usr_id`` and their order columns) of the given jobs."""
-    return contacts.join(job_ids.select(F.col("job_id").alias("vag_id")).distinct(), "vag_id", "left_semi")
+    return keep_hot(contacts, job_ids.select(F.col("job_id").alias("vag_id")), ["vag_id"])
 
 
 def job_roles(jobs: DataFrame, roles: DataFrame, order: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from titleloom import fixed_values as fv
+from titleloom.operators.skew import join_hot, keep_hot
 from titleloom.operators.windows import recent_jobs_filter
 
 
@@ -45,7 +46,7 @@ def _active_users(users: DataFrame) -> DataFrame:
 
 def pending_cvs(users: DataFrame, cvs: DataFrame, cv_roles: DataFrame) -> DataFrame:
     """Distinct ``user_id, cv_id, title`` of active users' CVs without a role."""
-    with_text = cvs.filter(F.col("objetivo") != "").join(_active_users(users), "usr_id", "left_semi")
+    with_text = keep_hot(cvs.filter(F.col("objetivo") != ""), _active_users(users), ["usr_id"])
     return (
         _without_role(with_text, cv_roles, "cur_id")
         .select(
@@ -58,8 +59,8 @@ def pending_cvs(users: DataFrame, cvs: DataFrame, cv_roles: DataFrame) -> DataFr
 
 def pending_work_exp(users: DataFrame, cvs: DataFrame, work_exp: DataFrame, work_exp_roles: DataFrame) -> DataFrame:
     """Distinct ``user_id, cv_id, work_exp_id, title`` of work experiences without a role."""
-    active = cvs.join(_active_users(users), "usr_id", "left_semi").select("usr_id", "cur_id").distinct()
-    with_text = work_exp.filter(F.col("cargo") != "").join(active, "cur_id")
+    active = keep_hot(cvs.select("usr_id", "cur_id").distinct(), _active_users(users), ["usr_id"])
+    with_text = join_hot(work_exp.filter(F.col("cargo") != ""), active, ["cur_id"], "inner")
     return (
         _without_role(with_text, work_exp_roles, "curexpprof_id")
         .select(
