@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from titleloom import fixed_values as fv
 from titleloom.functions.text import split_words
 from titleloom.functions.vectors import scaled, summed
-from titleloom.operators.skew import join_hot, join_lookup
+from titleloom.operators.skew import Lookup, join_hot, join_lookup, written_lookup
 from titleloom.session import shared_folder
 
 # Similarities are compared after rounding, so that the order of additions does not decide ties.
@@ -25,29 +25,50 @@ BLOCK_ROWS = 8192
 _CHUNK_ROWS = 1024
 
 
-def _words_with_vectors(titles: DataFrame, word_vectors: DataFrame, title: str) -> DataFrame:
-    """Distinct titles with an array ``words`` of ``at, word, vec, idf``; only titles all of whose words have both."""
-    words = titles.select(title).distinct().select(title, F.posexplode(split_words(F.col(title))).alias("at", "word"))
-    known = word_vectors.filter(F.col("vec").isNotNull() & F.col("idf").isNotNull()).select(
-        "word", F.col("vec").cast("array<double>").alias("vec"), F.col("idf").cast("double").alias("idf")
-    )
-    found = join_lookup(words, known, ["word"], "left")
-    entry = F.struct("at", "word", "vec", "idf")
+def known_words(word_vectors: DataFrame | Lookup) -> Lookup:
+    """Words with a vector and a weight, written and measured once for all the joins below."""
+    if isinstance(word_vectors, Lookup):
+        return word_vectors
+    known = word_vectors.filter(F.col("vec").isNotNull() & F.col("idf").isNotNull())
+    return written_lookup(known.select("word", F.col("vec").cast("array<double>"), F.col("idf").cast("double")))
+
+
+def _placed_words(texts: DataFrame, text: str) -> DataFrame:
+    return texts.select(text, F.posexplode(split_words(F.col(text))).alias("at", "word"))
+
+
+def _fully_known(texts: DataFrame, words: Lookup, text: str) -> DataFrame:
+    """``text, words``: texts all of whose words have a vector and a weight, with ``at, word, idf`` of each.
+
+    No vector is moved to see that.
+    """
+    found = join_lookup(_placed_words(texts, text), words.select("word", "idf"), ["word"], "left")
     return (
-        found.groupBy(title)
-        .agg(F.array_sort(F.collect_list(entry)).alias("words"), F.count_if(F.col("vec").isNull()).alias("unknown"))
+        found.groupBy(text)
+        .agg(
+            F.array_sort(F.collect_list(F.struct("at", "word", "idf"))).alias("words"),
+            F.count_if(F.col("idf").isNull()).alias("unknown"),
+        )
         .filter(F.col("unknown") == 0)
-        .select(title, "words")
+        .select(text, "words")
     )
 
 
+def _with_vectors(known: DataFrame, words: Lookup, text: str) -> DataFrame:
+    """Texts of known words with an array ``words`` of ``at, word, vec, idf``."""
+    placed = known.select(text, F.inline("words")).drop("idf")
+    found = join_lookup(placed, words, ["word"], "inner")
+    return found.groupBy(text).agg(F.array_sort(F.collect_list(F.struct("at", "word", "vec", "idf"))).alias("words"))
+
+
 def _total(weights: Column) -> Column:
     return F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
 
 
-def title_embedding(titles: DataFrame, word_vectors: DataFrame, title: str = "title") -> DataFrame:
+def title_embedding(titles: DataFrame, word_vectors: DataFrame | Lookup, title: str = "title") -> DataFrame:
     """``title, embedding, weight``: idf-weighted sum over the words, by the idf of the distinct words."""
-    known = _words_with_vectors(titles, word_vectors, title)
+    words = known_words(word_vectors)
+    known = _with_vectors(_fully_known(titles.select(title).distinct(), words, title), words, title)
     distinct = F.array_distinct(F.transform("words", lambda w: F.struct(w["word"].alias("word"), w["idf"].alias("idf"))))
     weighted = known.select(
         title,
@@ -59,29 +80,46 @@ def title_embedding(titles: DataFrame, word_vectors: DataFrame, title: str = "ti
     )
 
 
-def ngram_embedding(titles: DataFrame, word_vectors: DataFrame, title: str = "norm_title") -> DataFrame:
-    """``title, start, end, ngram, embedding`` for every word sequence of a title.
+def title_spans(titles: DataFrame, word_vectors: DataFrame | Lookup, title: str = "norm_title") -> DataFrame:
+    """``title, start, end, ngram`` for every word sequence of a title.
 
     A title with a word that has no embedding of its own gives no row at all.
     """
-    known = _words_with_vectors(titles, word_vectors, title).filter(~F.exists("words", lambda w: w["idf"] == 0))
+    known = _fully_known(titles.select(title).distinct(), known_words(word_vectors), title)
+    known = known.filter(~F.exists("words", lambda w: w["idf"] == 0)).select(title, F.col("words.word").alias("words"))
     starts = known.select(title, "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("start"))
     ends = starts.select(
         title, "words", "start", F.explode(F.sequence(F.col("start") + 1, F.size("words"))).alias("end")
     )
-    parts = ends.select(
-        title, "start", "end", F.slice("words", F.col("start") + 1, F.col("end") - F.col("start")).alias("part")
-    )
+    part = F.slice("words", F.col("start") + 1, F.col("end") - F.col("start"))
+    return ends.select(title, "start", "end", F.array_join(part, " ").alias("ngram"))
+
+
+def ngram_vectors(ngrams: DataFrame, word_vectors: DataFrame | Lookup) -> DataFrame:
+    """``ngram, embedding`` of distinct sequences of known words: the vectors over the weights."""
+    words = known_words(word_vectors)
+    placed = ngrams.select("ngram", F.transform(
+        F.split("ngram", " "), lambda w, at: F.struct(at.alias("at"), w.alias("word"), F.lit(None).alias("idf"))
+    ).alias("words"))
     return (
-        parts.withColumn("weight", _total(F.col("part.idf")))
+        _with_vectors(placed, words, "ngram")
+        .withColumn("weight", _total(F.col("words.idf")))
         .filter(F.col("weight") != 0)
-        .select(
-            title, "start", "end", F.array_join(F.col("part.word"), " ").alias("ngram"),
-            scaled(summed(F.col("part.vec")), 1 / F.col("weight")).alias("embedding"),
-        )
+        .select("ngram", scaled(summed(F.col("words.vec")), 1 / F.col("weight")).alias("embedding"))
     )
 
 
+def ngram_embedding(titles: DataFrame, word_vectors: DataFrame | Lookup, title: str = "norm_title") -> DataFrame:
+    """``title, start, end, ngram, embedding`` for every word sequence of a title.
+
+    Each distinct sequence is embedded once.
+    """
+    words = known_words(word_vectors)
+    spans = title_spans(titles, words, title)
+    vectors = ngram_vectors(spans.select("ngram").distinct(), words)
+    return join_hot(spans, vectors, ["ngram"], "inner").select(title, "start", "end", "ngram", "embedding")
+
+
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
     rows = np.array(vectors.tolist(), dtype=np.float64)
     lengths = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -195,17 +233,20 @@ def best_similarity_fold(candidates: DataFrame, title: str = "norm_title") -> Da
 
 def match_embedding(titles: DataFrame, catalogue: DataFrame, word_vectors: DataFrame) -> DataFrame:
     """``norm_title, matched_title, similarity`` for titles near enough to a catalogue title."""
-    grams = ngram_embedding(titles, word_vectors, "norm_title")
-    texts = grams.groupBy(F.col("ngram").alias("text")).agg(F.first("embedding").alias("embedding"))
+    words = known_words(word_vectors)
+    shared_folder(titles.sparkSession)
+    # Read for the texts to compare and again for the titles they stand in.
+    spans = title_spans(titles, words).checkpoint()
+    texts = ngram_vectors(spans.select("ngram").distinct(), words).withColumnRenamed("ngram", "text")
     against = title_embedding(
-        catalogue.select(F.col("processed_title").alias("matched_title")), word_vectors, "matched_title"
+        catalogue.select(F.col("processed_title").alias("matched_title")), words, "matched_title"
     )
     near = nearest_titles(texts, against, above=fv.MIN_SIMILARITY)
     # A text has at most five near titles; one row per text keeps the join a lookup.
     per_text = near.groupBy(F.col("text").alias("ngram")).agg(
         F.collect_list(F.struct("rank", "matched_title", "similarity")).alias("near")
     )
-    candidates = join_hot(grams.drop("embedding"), per_text, ["ngram"], "inner").select(
+    candidates = join_hot(spans, per_text, ["ngram"], "inner").select(
         "norm_title", "start", "end", F.inline("near")
     )
     return best_similarity_fold(starting_role_filter(candidates))

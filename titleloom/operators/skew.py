@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ SKETCH_GROUPS = 512
 SALTS = 16
 # A lookup within both bounds is broadcast.
 BROADCAST_ROWS = 1_000_000
-BROADCAST_CHARACTERS = 64 * 1024 * 1024
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 _HASH, _SALT, _REPEATS = "__hash", "__salt", "__repeats"
 
@@ -99,25 +100,57 @@ def _merged(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str) -
     return rows.join(lookup.hint("merge"), list(keys), how)
 
 
+class Lookup(NamedTuple):
+    """A lookup table in the shared folder, and whether it was measured to be small enough to broadcast."""
+
+    table: DataFrame
+    small: bool
+
+    def select(self, *columns: Column | str) -> Lookup:
+        """Some columns of the lookup; what was small stays small."""
+        return Lookup(self.table.select(*columns), self.small)
+
+
+def _bytes(table: DataFrame) -> Column:
+    """About how many bytes a row takes."""
+    total = F.lit(0).cast("long")
+    for name, kind in table.dtypes:
+        if kind == "string":
+            size = F.length(name)
+        elif kind in ("array<double>", "array<float>", "array<int>", "array<bigint>"):
+            size = F.size(name) * 8
+        elif kind.startswith(("array", "struct", "map")):
+            size = F.length(F.to_json(F.struct(name)))
+        else:
+            size = F.lit(8)
+        total = total + F.coalesce(size, F.lit(0)) + 8
+    return total
+
+
+def written_lookup(lookup: DataFrame) -> Lookup:
+    """Write a lookup once to the shared folder and measure it against both broadcast bounds."""
+    shared_folder(lookup.sparkSession)
+    written = lookup.checkpoint()
+    size = written.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(_bytes(written)), F.lit(0))).first()
+    return Lookup(written, size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES)
+
+
 def join_lookup(
     rows: DataFrame,
-    lookup: DataFrame,
+    lookup: DataFrame | Lookup,
     keys: Sequence[str],
     how: str = "left",
     spread: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join rows that are costly to compute to a lookup that is usually small.
 
-    The lookup is written once to the shared folder and measured: up to ``BROADCAST_ROWS`` rows and
-    ``BROADCAST_CHARACTERS`` it is broadcast, beyond that the join is salted.
+    A lookup within ``BROADCAST_ROWS`` and ``BROADCAST_BYTES`` is broadcast, beyond that the join is salted.
     """
-    shared_folder(rows.sparkSession)
-    written = lookup.checkpoint()
-    text = F.to_json(F.struct(*written.columns))
-    size = written.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
-    if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_CHARACTERS:
-        return rows.join(F.broadcast(written), list(keys), how)
-    return join_salted(rows, written, keys, how, spread=spread)
+    if not isinstance(lookup, Lookup):
+        lookup = written_lookup(lookup)
+    if lookup.small:
+        return rows.join(F.broadcast(lookup.table), list(keys), how)
+    return join_salted(rows, lookup.table, keys, how, spread=spread)
 
 
 def join_salted(

@@ -7,7 +7,6 @@ experiences and role rows, customers for users, events for applies and contacts.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=4)
-def _gazetteer(application: str) -> Gazetteer:
-    return sample_gazetteer(SparkSession.getActiveSession())
+_GAZETTEERS: dict[str, Gazetteer] = {}
 
 
 def gazetteer(spark: SparkSession) -> Gazetteer:
-    return _gazetteer(spark.sparkContext.applicationId)
+    """The sample lists, read once per application."""
+    application = spark.sparkContext.applicationId
+    if application not in _GAZETTEERS:
+        _GAZETTEERS[application] = sample_gazetteer(spark)
+    return _GAZETTEERS[application]
 
 
 _PART_TITLE = "concat(p_type, ' / ', p_name, ' de ', p_brand)"
