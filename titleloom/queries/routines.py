@@ -28,14 +28,14 @@ def _windowed(function):
 
 
 def _target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One role row per order that has a line item by air of returns: a subset of all orders."""
+    """One role row per order with a returned line item."""
     rows = view(spark, sf_dir, "job_role_rows")
     return rows.groupBy("vag_id").agg(F.max("cargo_id").alias("cargo_id"))
 
 
 def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Role updates from line items, several per order."""
-    return table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").selectExpr(
+    return table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'").selectExpr(
         "l_orderkey AS vag_id", "CAST(l_partkey + 1 AS INT) AS cargo_id", "l_linenumber * 1000000 + l_partkey AS pos"
     )
 
@@ -43,7 +43,7 @@ def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TARGET = "target AS (SELECT vag_id, max(cargo_id) AS cargo_id FROM job_role_rows GROUP BY vag_id)"
 _UPDATES = (
     "updates AS (SELECT l_orderkey AS vag_id, arg_min(CAST(l_partkey + 1 AS INT), l_linenumber * 1000000 + l_partkey) "
-    "AS cargo_id FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey)"
+    "AS cargo_id FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey)"
 )
 _PARENT = "(SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')"
 
@@ -72,15 +72,20 @@ def write_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def values_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     updates = _updates(spark, sf_dir).select("vag_id", "cargo_id")
-    return wb.values_union(updates, _target(spark, sf_dir), updates.filter("cargo_id < 100"))
+    return wb.values_union(updates, _target(spark, sf_dir), updates)
 
 
 def _stamped(frame: DataFrame) -> DataFrame:
     return frame.withColumn("data_atualizacao", F.date_format("data_atualizacao", "yyyy-MM-dd HH:mm:ss"))
 
 
+def _old_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags that earlier runs left behind."""
+    return view(spark, sf_dir, "job_flags").filter(F.col("data_atualizacao") < F.lit(LAST_DAY).cast("timestamp"))
+
+
 def upsert_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = view(spark, sf_dir, "job_flags").filter("vag_id % 2 = 0")
+    flags = _old_flags(spark, sf_dir)
     return _stamped(wb.upsert_flags(flags, _updates(spark, sf_dir), ["vag_id"], NOW, "pos"))
 
 
@@ -121,7 +126,7 @@ def _assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _jobs_run(spark: SparkSession, sf_dir: str) -> plan.RoutineResult:
     return plan.normalize_pending_jobs(
         pending_jobs(spark, sf_dir), built_catalogue(spark, sf_dir), gazetteer(spark), _target(spark, sf_dir),
-        view(spark, sf_dir, "job_flags").filter("vag_id % 2 = 0"), NOW, steps=STEPS,
+        _old_flags(spark, sf_dir), NOW, steps=STEPS,
         assignments=_assignments(spark, sf_dir),
     )
 
@@ -151,7 +156,7 @@ def normalize_pending_work_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = plan.normalize_pending_work_exp(
         pending_work_exp(spark, sf_dir), built_catalogue(spark, sf_dir), gazetteer(spark),
         _roles_of(spark, sf_dir, "work_exp_role_rows", "curexpprof_id"),
-        view(spark, sf_dir, "work_experiences").filter("curexpprof_id % 4 <> 0"),
+        view(spark, sf_dir, "work_experiences").filter("cargo NOT LIKE 'small%'"),
         view(spark, sf_dir, "user_flags"), NOW, steps=STEPS,
     )
     return run.roles
@@ -264,16 +269,16 @@ ORACLES = {
     "values_union": with_views(
         ["job_role_rows"],
         f", {_TARGET}, u AS (SELECT l_orderkey AS vag_id, CAST(l_partkey + 1 AS INT) AS cargo_id FROM lineitem "
-        "WHERE l_linenumber <= 3) SELECT * FROM u UNION ALL SELECT * FROM target UNION ALL SELECT * FROM u WHERE cargo_id < 100",
+        "WHERE l_returnflag <> 'R') SELECT * FROM u UNION ALL SELECT * FROM target UNION ALL SELECT * FROM u",
     ),
     "upsert_flags": with_views(
         ["job_flags"],
         f", {_UPDATES} SELECT vag_id, cargo_id, strftime(data_atualizacao, '%Y-%m-%d %H:%M:%S') AS data_atualizacao "
-        "FROM job_flags WHERE vag_id % 2 = 0 AND vag_id NOT IN (SELECT vag_id FROM updates) "
+        f"FROM job_flags WHERE data_atualizacao < TIMESTAMP '{LAST_DAY}' AND vag_id NOT IN (SELECT vag_id FROM updates) "
         f"UNION ALL SELECT vag_id, cargo_id, '{NOW}' FROM updates",
     ),
     "job_index_messages": _messages(
-        "(SELECT l_orderkey AS vag_id FROM lineitem WHERE l_linenumber <= 3)", "vag_id",
+        "(SELECT l_orderkey AS vag_id FROM lineitem WHERE l_returnflag <> 'R')", "vag_id",
         "'{\"vag_id\":' || id || ',\"new_status\":\"A\"}'", "{\"events\":["
     ),
     "user_index_messages": _messages("(SELECT o_custkey AS usr_id FROM orders)", "usr_id", "CAST(id AS VARCHAR)", "{\"usr_ids\":["),
@@ -292,7 +297,7 @@ ORACLES = {
     "normalize_pending_flags": _run_sql(
         "jobs",
         f", done AS ({_DONE}) SELECT vag_id, cargo_id, strftime(data_atualizacao, '%Y-%m-%d %H:%M:%S') AS data_atualizacao "
-        "FROM job_flags WHERE vag_id % 2 = 0 AND vag_id NOT IN (SELECT vag_id FROM done) "
+        f"FROM job_flags WHERE data_atualizacao < TIMESTAMP '{LAST_DAY}' AND vag_id NOT IN (SELECT vag_id FROM done) "
         f"UNION ALL SELECT vag_id, min(cargo_id), '{NOW}' FROM done GROUP BY vag_id",
     ),
     "normalize_pending_counts": _run_sql(
@@ -312,6 +317,7 @@ ORACLES = {
         ", done AS (SELECT work_exp_id AS curexpprof_id, min(role_id) AS new FROM pending JOIN roles_found USING (title) "
         "GROUP BY work_exp_id) SELECT r.curexpprof_id, coalesce(new, cargo_id) AS cargo_id FROM work_exp_role_rows r "
         "LEFT JOIN done USING (curexpprof_id) UNION ALL SELECT curexpprof_id, new FROM done "
-        "WHERE curexpprof_id % 4 <> 0 AND curexpprof_id NOT IN (SELECT curexpprof_id FROM work_exp_role_rows)",
+        "WHERE curexpprof_id IN (SELECT curexpprof_id FROM work_experiences WHERE cargo NOT LIKE 'small%') "
+        "AND curexpprof_id NOT IN (SELECT curexpprof_id FROM work_exp_role_rows)",
     ),
 }

@@ -22,8 +22,8 @@ def all_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Id lists of two parts in three."""
-    return table(spark, sf_dir, "part").filter("p_partkey % 3 <> 0").selectExpr(
+    """Id lists of all parts but promotional ones."""
+    return table(spark, sf_dir, "part").filter("p_type <> 'PROMO'").selectExpr(
         "CAST(p_partkey AS INT) AS id", "array(p_size, p_size % 7 + 100) AS areap_ids",
         "array(p_size % 5) AS nivelh_ids", "array(p_size % 4, p_size % 3 + 10) AS perfil_ids",
     )
@@ -138,7 +138,7 @@ _MAPPED = (
     "coalesce(array_to_string(r.hierarchies, ','), '') AS hierarchies, "
     "coalesce(p_size || ',' || (p_size % 7 + 100), '') AS areap_ids, coalesce(CAST(p_size % 5 AS VARCHAR), '') AS nivelh_ids, "
     "coalesce((p_size % 4) || ',' || (p_size % 3 + 10), '') AS perfil_ids FROM roles_done r "
-    "LEFT JOIN part ON p_partkey = r.role_id AND p_partkey % 3 <> 0"
+    "LEFT JOIN part ON p_partkey = r.role_id AND p_type <> 'PROMO'"
 )
 
 
