@@ -52,7 +52,8 @@ def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _spread(rows: DataFrame, keys: Sequence[str], spread: Sequence[str] | None) -> Column:
     """A number from the contents of a row: a task that runs again gives every row the same one."""
-    spread = spread or [c for c in rows.columns if c not in keys] or list(keys)
+    # Spark hashes every type but maps.
+    spread = spread or [c for c, kind in rows.dtypes if c not in keys and "map<" not in kind] or list(keys)
     return F.xxhash64(F.lit("salt"), *spread)
 
 

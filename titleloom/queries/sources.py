@@ -135,24 +135,26 @@ _TOKENS = f"""tokens AS (
   SELECT line, list_transform(string_split(lower(text), ','), lambda t: {sql.strip('t')}) AS t
   FROM text_lines WHERE text NOT LIKE '#%')"""
 
-# The tables of pending rows, with the SQL of the routine itself: inner and left joins, then DISTINCT.
+
+
+def _open(roles: str, key: str, owner: str) -> str:
+    """Without any role row, or with one that holds no role."""
+    rows = f"FROM {roles} WHERE {roles}.{key} = {owner}.{key}"
+    return f"(NOT EXISTS (SELECT 1 {rows}) OR EXISTS (SELECT 1 {rows} AND coalesce(cargo_id, 0) = 0))"
+
+
+_ACTIVE_USERS = "(SELECT usr_id FROM users WHERE status = 'A' AND organizacao_id = 1)"
 PENDING_JOBS_SQL = f"""
-SELECT DISTINCT v.vag_id AS job_id, v.titulo AS title
-FROM jobs v JOIN job_display vex ON vex.vag_id = v.vag_id LEFT JOIN job_role_rows vca ON vca.vag_id = v.vag_id
-WHERE v.status = 'A' AND vex.organizacao_id = 1 AND v.titulo IS NOT NULL AND v.titulo <> ''
-  AND v.data_entrada > date_trunc('month', TIMESTAMP '{AS_OF}') - INTERVAL 6 MONTH
-  AND (vca.cargo_id IS NULL OR vca.cargo_id = 0)"""
-PENDING_CVS_SQL = """
-SELECT DISTINCT u.usr_id AS user_id, c.cur_id AS cv_id, c.objetivo AS title
-FROM users u JOIN cvs c ON u.usr_id = c.usr_id LEFT JOIN cv_role_rows r ON c.cur_id = r.cur_id
-WHERE u.status = 'A' AND u.organizacao_id = 1 AND c.objetivo IS NOT NULL AND c.objetivo <> ''
-  AND (r.cargo_id IS NULL OR r.cargo_id = 0)"""
-PENDING_WORK_EXP_SQL = """
-SELECT DISTINCT u.usr_id AS user_id, c.cur_id AS cv_id, w.curexpprof_id AS work_exp_id, w.cargo AS title
-FROM users u JOIN cvs c ON u.usr_id = c.usr_id JOIN work_experiences w ON c.cur_id = w.cur_id
-LEFT JOIN work_exp_role_rows r ON w.curexpprof_id = r.curexpprof_id
-WHERE u.status = 'A' AND u.organizacao_id = 1 AND w.cargo IS NOT NULL AND w.cargo <> ''
-  AND (r.cargo_id IS NULL OR r.cargo_id = 0)"""
+SELECT DISTINCT vag_id AS job_id, titulo AS title FROM jobs
+WHERE status = 'A' AND length(titulo) > 0 AND data_entrada > date_trunc('month', TIMESTAMP '{AS_OF}') - INTERVAL 6 MONTH
+  AND vag_id IN (SELECT vag_id FROM job_display WHERE organizacao_id = 1) AND {_open('job_role_rows', 'vag_id', 'jobs')}"""
+PENDING_CVS_SQL = f"""
+SELECT DISTINCT usr_id AS user_id, cur_id AS cv_id, objetivo AS title FROM cvs
+WHERE length(objetivo) > 0 AND usr_id IN {_ACTIVE_USERS} AND {_open('cv_role_rows', 'cur_id', 'cvs')}"""
+PENDING_WORK_EXP_SQL = f"""
+SELECT DISTINCT usr_id AS user_id, cur_id AS cv_id, curexpprof_id AS work_exp_id, cargo AS title
+FROM work_experiences JOIN cvs USING (cur_id)
+WHERE length(cargo) > 0 AND usr_id IN {_ACTIVE_USERS} AND {_open('work_exp_role_rows', 'curexpprof_id', 'work_experiences')}"""
 
 ORACLES = {
     "read_main_roles": with_views(
