@@ -89,6 +89,6 @@ def infer_job_roles(
 
 def inference_response(answers: DataFrame, id_column: str, order: str | None = None) -> DataFrame:
     """``id, response``: one JSON answer per id; of several the last by ``order`` counts."""
-    last = answers.groupBy(id_column).agg(F.max_by("role_id", order or "role_id").alias("role_id"))
+    last = answers.groupBy(id_column).agg(F.max_by("role_id", F.struct(order or "role_id", "role_id")).alias("role_id"))
     answer = F.struct(F.lit("").alias("role_title"), F.col("role_id"))
     return last.select(F.col(id_column).cast("string").alias("id"), F.to_json(answer).alias("response"))

@@ -17,7 +17,8 @@ from titleloom.operators.skew import join_hot
 
 def one_per_key(updates: DataFrame, keys: Sequence[str], position: str | None = None) -> DataFrame:
     """``keys, cargo_id``: the first listed role of each key."""
-    return updates.groupBy(*keys).agg(F.min_by("cargo_id", position or "cargo_id").alias("cargo_id"))
+    order = F.struct(position, "cargo_id") if position else F.col("cargo_id")
+    return updates.groupBy(*keys).agg(F.min_by("cargo_id", order).alias("cargo_id"))
 
 
 def values_union(*batches: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ def build_session(app_name: str = "titleloom", master: str | None = None, **conf
         # A title is few bytes and much work, so small shuffle partitions are worth a task.
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Written intermediate results go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
