@@ -34,10 +34,9 @@ def _named(rows: DataFrame, value: list[str]) -> DataFrame:
     """
     buckets = shuffle_partitions(rows.sparkSession)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "text_key", F.lit(7)), F.lit(buckets)))
-    near = salted.withColumn(
-        "__near", F.min(F.struct("doc_id", "text_key", "at")).over(Window.partitionBy(*value, "__salt"))
-    )
-    member = F.struct("doc_id", "text_key", "at")
+    # Both uses below need every column, so that they read one exchange.
+    member = F.struct("doc_id", "text_key", "at", "n_blocks")
+    near = salted.withColumn("__near", F.min(member).over(Window.partitionBy(*value, "__salt")))
     sorted_values = Window.partitionBy("__bucket").orderBy(*value)
     names = (
         near.filter(member.eqNullSafe(F.col("__near")))
