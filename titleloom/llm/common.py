@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +30,11 @@ def bucket_of(*keys: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(0x5EED)), F.lit(buckets)).cast("int")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, also where the body names it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def equal_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Equality that also holds between nulls."""
     same = F.lit(True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titleloom.llm.common import join_counted, staged
+from titleloom.llm.common import join_counted, let, staged
 
 WINDOW_LINES = 3
 
@@ -17,17 +17,13 @@ def lines_of(text: Column) -> Column:
 
 def _windows(docs: DataFrame, lines: int) -> DataFrame:
     """``doc_id, text_key, windows``: per start line, two hashes of the lines from there; null where all are blank."""
-    hashed = docs.select(
-        "doc_id",
-        F.xxhash64("text").alias("text_key"),
-        F.transform(
-            lines_of(F.col("text")),
-            lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), (F.trim(x) == "").alias("blank")),
-        ).alias("lines"),
-    ).filter(F.size("lines") >= lines)
-
-    def window(i: Column) -> Column:
-        part = [F.get("lines", i + k) for k in range(lines)]
+    hashed = F.transform(
+        lines_of(F.col("text")),
+        lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), (F.trim(x) == "").alias("blank")),
+    )
+
+    def window(all_lines: Column, i: Column) -> Column:
+        part = [F.get(all_lines, i + k) for k in range(lines)]
         blank = part[0]["blank"]
         for x in part[1:]:
             blank = blank & x["blank"]
@@ -39,8 +35,11 @@ def _windows(docs: DataFrame, lines: int) -> DataFrame:
             ),
         )
 
-    starts = F.sequence(F.lit(0), F.size("lines") - lines)
-    return hashed.select("doc_id", "text_key", F.transform(starts, window).alias("windows"))
+    def windows(all_lines: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(all_lines) - lines)
+        return F.when(F.size(all_lines) >= lines, F.transform(starts, lambda i: window(all_lines, i)))
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), let(hashed, windows).alias("windows"))
 
 
 def repeated_windows(docs: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:
@@ -74,16 +73,19 @@ def without_covered(lines: Column, starts: Column, window: int) -> Column:
     Between two neighbouring starts the lines from the end of the first window to the second start are kept; where
     windows touch or overlap there are none. So covered positions merge without being listed.
     """
-    gaps = F.transform(
-        F.sequence(F.lit(0), F.size(starts)),
-        lambda i: F.struct(
-            F.when(i == 0, F.lit(0)).otherwise(F.get(starts, i - 1) + window).alias("from"),
-            F.when(i == F.size(starts), F.size(lines)).otherwise(F.get(starts, i)).alias("to"),
-        ),
-    )
-    kept = F.filter(gaps, lambda g: g["to"] > g["from"])
-    parts = F.transform(kept, lambda g: F.slice(lines, g["from"] + 1, g["to"] - g["from"]))
-    return F.when(starts.isNull(), lines).otherwise(F.flatten(parts))
+
+    def rest(every: Column, at: Column) -> Column:
+        gaps = F.transform(
+            F.sequence(F.lit(0), F.size(at)),
+            lambda i: F.struct(
+                F.when(i == 0, F.lit(0)).otherwise(F.get(at, i - 1) + window).alias("from"),
+                F.when(i == F.size(at), F.size(every)).otherwise(F.get(at, i)).alias("to"),
+            ),
+        )
+        kept = F.filter(gaps, lambda g: g["to"] > g["from"])
+        return F.flatten(F.transform(kept, lambda g: F.slice(every, g["from"] + 1, g["to"] - g["from"])))
+
+    return F.when(starts.isNull(), lines).otherwise(let(lines, lambda every: let(starts, lambda at: rest(every, at))))
 
 
 def drop_repeated_windows(docs: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:
