@@ -84,17 +84,18 @@ def likeness(left: Column, right: Column) -> Column:
 
 
 def neighbours_by_id(docs: DataFrame) -> DataFrame:
-    """``key_id, key_text, prev_id, prev_text, prev_chars, rows``: the document before each one, by doc_id, in a ring.
+    """``key_id, key_null, key_text``, the same of ``prev``, ``prev_chars, rows``: the document before each one, by doc_id, in a ring.
 
     Ids are sorted by ranges; only the last document of each range is carried to the next range.
     """
-    me = F.struct(F.col("doc_id"), "key_text", "key_id", "n_chars")
+    order = [F.col("key_null").desc(), F.col("key_id"), F.col("key_text")]
+    me = F.struct("known", "key_id", "key_text", "n_chars")
     ids = (
-        docs.groupBy("doc_id", "key_id", "key_text")
+        docs.groupBy("key_id", "key_null", "key_text")
         .agg(F.max("n_chars").alias("n_chars"), F.count("*").alias("rows"))
-        .repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "key_text")
+        .repartitionByRange(shuffle_partitions(docs.sparkSession), *order)
     )
-    ranges = staged(ids.withColumn("range", F.spark_partition_id()), "ids")
+    ranges = staged(ids.withColumn("range", F.spark_partition_id()).withColumn("known", ~F.col("key_null")), "ids")
     # One row per range.
     edges = ranges.groupBy("range").agg(F.max(me).alias("last"))
     by_range = Window.orderBy("range")
@@ -103,14 +104,14 @@ def neighbours_by_id(docs: DataFrame) -> DataFrame:
         F.col("range").alias("to_range"),
         F.coalesce(F.lag("last").over(by_range), F.last("last").over(all_ranges)).alias("carried"),
     )
-    inside = Window.partitionBy("range").orderBy("doc_id", "key_text")
+    inside = Window.partitionBy("range").orderBy(*order)
     linked = ranges.withColumn("prev", F.lag(me).over(inside)).join(
         F.broadcast(carried), F.col("range") == F.col("to_range")
     )
     prev = F.coalesce("prev", "carried")
     return linked.select(
-        "key_id", "key_text", prev["key_id"].alias("prev_id"), prev["key_text"].alias("prev_text"),
-        prev["n_chars"].alias("prev_chars"), "rows",
+        "key_id", "key_null", "key_text", prev["key_id"].alias("prev_id"), (~prev["known"]).alias("prev_null"),
+        prev["key_text"].alias("prev_text"), prev["n_chars"].alias("prev_chars"), "rows",
     )
 
 
@@ -124,16 +125,17 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     one document and give one row; rows that share a doc_id alone follow each other. A null doc_id comes first.
     Extra columns are not read.
     """
-    keys = ["key_id", "key_text"]
+    # All uses of the texts need these columns and no others, so that they read one exchange.
+    keys = ["key_id", "key_null", "key_text"]
     zero = F.lit(0).cast(docs.schema["doc_id"].dataType)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
-        "doc_id",
         F.coalesce("doc_id", zero).alias("key_id"),
-        F.xxhash64("text", F.col("doc_id").isNull()).alias("key_text"),
+        F.col("doc_id").isNull().alias("key_null"),
+        F.xxhash64("text").alias("key_text"),
         "text",
     )
     ring = staged(
-        neighbours_by_id(texts.select("doc_id", *keys, F.char_length("text").alias("n_chars"))), "ring"
+        neighbours_by_id(texts.select(*keys, F.char_length("text").alias("n_chars"))), "ring"
     )
     if not ring.filter("rows > 1").isEmpty():
         texts = texts.dropDuplicates(keys)
@@ -143,13 +145,13 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     own_prints = fingerprints(placed, keys, F.col("text"))
     following = placed.join(own_prints, keys, "left").select(
         F.col("prev_id").alias("key_id"),
+        F.col("prev_null").alias("key_null"),
         F.col("prev_text").alias("key_text"),
         F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"),
         F.coalesce("samples", nothing).alias("next_samples"),
     )
     n_chars = F.char_length("text")
     edited = placed.join(following, keys).select(
-        "doc_id",
         *keys,
         n_chars.cast("long").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), n_chars - F.floor(n_chars / 4).cast("int")), F.col("head")).alias("edited"),
@@ -157,7 +159,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     )
     edited_prints = fingerprints(edited, keys, F.col("edited")).withColumnRenamed("samples", "edited_samples")
     done = (
-        edited.select("doc_id", *keys, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        edited.select(*keys, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                       "next_samples")
         .join(own_prints, keys, "left")
         .join(edited_prints, keys, "left")
@@ -165,7 +167,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         .withColumn("edited_samples", F.coalesce("edited_samples", nothing))
     )
     return done.select(
-        "doc_id",
+        F.when(~F.col("key_null"), F.col("key_id")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         fingerprint_text(F.col("samples")).alias("fingerprint"),
