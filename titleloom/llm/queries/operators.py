@@ -123,7 +123,7 @@ ORACLES = {
             FROM windows
             WHERE c IS NOT NULL AND NOT (trim(a, ' ') = '' AND trim(b, ' ') = '' AND trim(c, ' ') = '')),
         covered AS (
-            SELECT DISTINCT doc_id, at + step AS pos
+            SELECT DISTINCT doc_id, pos + step AS pos
             FROM marked, (SELECT unnest([0, 1, 2]) AS step) AS steps WHERE later)
         SELECT l.doc_id, count(*) AS n_lines, count(c.pos) AS n_removed,
                sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE c.pos IS NULL), '')) AS kept_sha256
