@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titleloom.llm import (
-    block_names, covering, langid, line_windows, mixing, packing, rendezvous, secrets, weighted_sampling,
+    block_names, bwt_merge, covering, langid, line_windows, mixing, packing, rendezvous, secrets, weighted_sampling,
 )
 from titleloom.llm.common import read_documents
 
@@ -60,6 +60,10 @@ def op4_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_duplicates(read_documents(spark, sf_dir))
 
 
+def op5_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_merge.drop_repeated_bytes(read_documents(spark, sf_dir))
+
+
 def op6_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_documents(spark, sf_dir), tokenizer_path(), CAPACITY)
 
@@ -93,6 +97,7 @@ QUERIES = {
     "op2_weighted_sampling": op2_weighted_sampling,
     "op3_rendezvous": op3_rendezvous,
     "op4_block_naming": op4_block_naming,
+    "op5_bwt_merge": op5_bwt_merge,
     "op6_shortest_pack_first": op6_shortest_pack_first,
     "op7_nearest_centroid": op7_nearest_centroid,
     "op8_covering_simhash": op8_covering_simhash,
