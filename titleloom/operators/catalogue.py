@@ -12,9 +12,11 @@ ID_COLUMNS = ("areap_ids", "nivelh_ids", "perfil_ids")
 ROLE_COLUMNS = ("role_id", "title", "source", "seniorities", "hierarchies", *ID_COLUMNS)
 
 
-def normalize_catalogue(roles: DataFrame, lists: Gazetteer, id_mapping: DataFrame | None = None) -> DataFrame:
+def normalize_catalogue(
+    roles: DataFrame, lists: Gazetteer, id_mapping: DataFrame | None = None, verbs: DataFrame | None = None
+) -> DataFrame:
     """Roles (``role_id, title, source``) with ``processed_title``, seniorities, hierarchies and id lists."""
-    done = normalize_title(roles, lists, CATALOGUE_STEPS).withColumnRenamed("norm_title", "processed_title")
+    done = normalize_title(roles, lists, CATALOGUE_STEPS, verbs=verbs).withColumnRenamed("norm_title", "processed_title")
     nothing = F.array().cast("array<int>")
     if id_mapping is None:
         return done.select("*", *[nothing.alias(c) for c in ID_COLUMNS])
@@ -39,12 +41,14 @@ def dedupe_similar(roles: DataFrame, main: DataFrame) -> DataFrame:
     return _first_role(roles.filter(F.col("source") == "similar")).join(main, "processed_title", "left_anti")
 
 
-def build_catalogue(roles: DataFrame, lists: Gazetteer, id_mapping: DataFrame | None = None) -> DataFrame:
+def build_catalogue(
+    roles: DataFrame, lists: Gazetteer, id_mapping: DataFrame | None = None, verbs: DataFrame | None = None
+) -> DataFrame:
     """One role per normalized title, main roles before alternate titles. An empty title names no role.
 
     A main row wins over any alternate one, so both picks are one grouping.
     """
-    done = normalize_catalogue(roles, lists, id_mapping).filter(F.col("processed_title") != "")
+    done = normalize_catalogue(roles, lists, id_mapping, verbs).filter(F.col("processed_title") != "")
     order = F.struct(F.when(F.col("source") == "main", 0).otherwise(1), "role_id", "title")
     picked = done.groupBy("processed_title").agg(F.min_by(F.struct(*ROLE_COLUMNS), order).alias("role"))
     return picked.select("processed_title", "role.*")

@@ -39,8 +39,10 @@ def write_logs_by_date(logs: DataFrame, path: str) -> None:
     """Add one folder per day that the path does not have yet. Tasks write side by side, no shuffle."""
     try:
         done = logs.sparkSession.read.parquet(path).select(F.col("day").cast("string").alias("day"))
-    except AnalysisException:  # nothing written yet
-        done = None
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done = None  # nothing written yet
     logs_by_date(logs, done).write.mode("append").partitionBy("day").parquet(path)
 
 

@@ -83,11 +83,17 @@ def rule_order_lint(lines: DataFrame) -> DataFrame:
 
 
 def rule_ambiguity_lint(
-    lines: DataFrame, catalogue: DataFrame, lists: Gazetteer, steps: Steps = Steps(), vocabulary: DataFrame | None = None
+    lines: DataFrame,
+    catalogue: DataFrame,
+    lists: Gazetteer,
+    steps: Steps = Steps(),
+    vocabulary: DataFrame | None = None,
+    verbs: DataFrame | None = None,
+    dictionary: DataFrame | None = None,
 ) -> DataFrame:
     """``line, role_ids``: lines whose terms lead to more than one role, with the roles in order of their terms."""
     terms = lines.select("line", F.posexplode(_pieces(F.col("text"))).alias("at", "title"))
-    roles = first_match(match_pieces(terms, catalogue, lists, steps, vocabulary))
+    roles = first_match(match_pieces(terms, catalogue, lists, steps, vocabulary, verbs=verbs, dictionary=dictionary))
     found = join_hot(terms, roles, ["title"], "inner", spread=["line", "at"])
     # A line holds at most one role per term.
     return (

@@ -80,10 +80,13 @@ def restrict_ids_to_profile(matches: DataFrame, profiles: DataFrame, profile_ids
     """Keep only the ids of a role that the chosen profiles (rows ``id`` + id lists) list as well."""
     if not profile_ids:
         return matches
-    chosen = profiles.filter(F.col("id").isin([int(p) for p in profile_ids])).limit(len(set(profile_ids))).collect()
+    # One row: the distinct ids that any row of the chosen profiles lists.
+    allowed_ids = profiles.filter(F.col("id").isin([int(p) for p in profile_ids])).agg(
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ID_COLUMNS]
+    ).first()
     role = F.col("role")
     for column in ID_COLUMNS:
-        allowed = sorted({i for row in chosen for i in (row[column] or [])})
+        allowed = list(allowed_ids[column])
         kept = F.array_intersect(F.col(f"role.{column}"), F.lit(allowed).cast("array<int>"))
         role = role.withField(column, F.array_sort(kept))
     return matches.withColumn("role", role)
@@ -145,6 +148,8 @@ def match_pieces(
     profile_ids: Sequence[int] = (),
     profiles: DataFrame | None = None,
     word_vectors: DataFrame | None = None,
+    verbs: DataFrame | None = None,
+    dictionary: DataFrame | None = None,
 ) -> DataFrame:
     """``title, pos, match_type, role`` for the pieces of distinct titles that match a role.
 
@@ -152,7 +157,8 @@ def match_pieces(
     """
     pieces = split_compound_title(titles.select("title").filter(F.col("title") != "").distinct())
     distinct = pieces.select(F.col("piece").alias("title")).filter(F.col("title") != "").distinct()
-    texts = normalize_distinct(distinct, lists, steps, vocabulary).select(F.col("title").alias("piece"), "norm_title")
+    normalized = normalize_distinct(distinct, lists, steps, vocabulary, verbs, dictionary)
+    texts = normalized.select(F.col("title").alias("piece"), "norm_title")
     matches = match_cascade(texts, catalogue, "piece", profile_ids, profiles, word_vectors)
     return join_hot(pieces, matches, ["piece"], "inner").select("title", "pos", "match_type", "role")
 
@@ -166,13 +172,17 @@ def normalize_titles(
     profile_ids: Sequence[int] = (),
     profiles: DataFrame | None = None,
     word_vectors: DataFrame | None = None,
+    verbs: DataFrame | None = None,
+    dictionary: DataFrame | None = None,
 ) -> DataFrame:
     """``title, roles``: each distinct title with the roles of its pieces, in their order.
 
     Titles without any role are left out. Each role is a struct with ``normalized_role, role_id, seniority,
     hierarchy``, the id lists and ``match_type``.
     """
-    found = match_pieces(titles, catalogue, lists, steps, vocabulary, profile_ids, profiles, word_vectors)
+    found = match_pieces(
+        titles, catalogue, lists, steps, vocabulary, profile_ids, profiles, word_vectors, verbs, dictionary
+    )
     answer = F.struct(
         "pos",
         F.col("role.title").alias("normalized_role"),

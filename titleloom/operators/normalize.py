@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from titleloom import fixed_values as fv
 from titleloom.functions import text as T
 from titleloom.functions.phrase_rules import apply_phrase_rules
 from titleloom.operators.skew import join_hot
 from titleloom.operators.typos import correct_typos
 from titleloom.sources.gazetteers import MAX_INLINE_VERBS, Gazetteer
+from titleloom.sources.tables import constant_table
 
 
 @dataclass(frozen=True)
@@ -81,6 +84,36 @@ def replace_words(rows: DataFrame, text: str, verbs: DataFrame, id_column: str)
     )
 
 
+def spelling_tables(
+    lists: Gazetteer, vocabulary: DataFrame, verbs: DataFrame | None = None, dictionary: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The vocabulary (``word, freq``) and the dictionary (``word``) that titles are corrected with.
+
+    Every word that a later step looks for is right as it is: stopwords, seniorities, hierarchies, verb forms and
+    bases, locations, and the words of the special terms and the thesaurus. The last two are also words that others
+    are corrected to, as often as the rules hold them.
+    """
+    spark = vocabulary.sparkSession
+    terms = Counter(
+        word
+        for rule in (*lists.special_terms, *lists.thesaurus)
+        for term in (rule.base, *rule.variations)
+        for word in term.lower().split()
+        if word not in lists.stopwords
+    )
+    targets = vocabulary.select("word", "freq").unionByName(
+        constant_table(spark, "word string, freq long", sorted(terms.items()))
+    )
+    verb_words = () if verbs is not None else (*lists.conjugation, *lists.conjugation.values())
+    right = sorted({*lists.stopwords, *lists.locations, *fv.SENIORITIES, *fv.HIERARCHIES, *verb_words, *terms})
+    known = constant_table(spark, "word string", [(w,) for w in right])
+    if verbs is not None:
+        known = known.unionByName(verbs.select(F.explode(F.array("variation", "base")).alias("word")))
+    if dictionary is not None:
+        known = known.unionByName(dictionary.select("word"))
+    return targets, known
+
+
 def normalize_distinct(
     titles: DataFrame,
     lists: Gazetteer,
@@ -91,15 +124,16 @@ def normalize_distinct(
 ) -> DataFrame:
     """``title, norm_title, seniorities, hierarchies`` for distinct titles.
 
-    Without a vocabulary nothing is shuffled. With one (``word, freq``), words outside it and outside the
-    ``dictionary`` (``word``) are corrected.
-    ``verbs`` (``variation, base``) replaces the verb list of the gazetteer where that is too large.
+    Without a vocabulary nothing is shuffled. With one (``word, freq``), words outside it, outside the gazetteer
+    and outside the ``dictionary`` (``word``) are corrected.
+    ``verbs`` (``variation, base``) replaces the verb list of the gazetteer; a list too long to inline becomes
+    such a table.
     """
-    if len(lists.conjugation) > MAX_INLINE_VERBS and verbs is None:
-        raise ValueError(f"more than {MAX_INLINE_VERBS} verb forms: pass them as the table `verbs`")
+    if verbs is None and len(lists.conjugation) > MAX_INLINE_VERBS:
+        verbs = constant_table(titles.sparkSession, "variation string, base string", sorted(lists.conjugation.items()))
     texts = titles.select("title", cleaned(F.col("title"), lists, steps).alias("text"))
     if steps.correct_typos and vocabulary is not None:
-        texts = correct_typos(texts, vocabulary, dictionary)
+        texts = correct_typos(texts, *spelling_tables(lists, vocabulary, verbs, dictionary))
     texts = texts.select("title", without_stopwords_and_accents(F.col("text"), lists).alias("text")).select(
         "title",
         "text",

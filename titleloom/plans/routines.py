@@ -34,9 +34,11 @@ def with_first_role(
     steps: Steps = Steps(),
     vocabulary: DataFrame | None = None,
     how: str = "left",
+    verbs: DataFrame | None = None,
+    dictionary: DataFrame | None = None,
 ) -> DataFrame:
     """Rows with a ``title``, plus the ``role_id`` of its first matched piece."""
-    roles = first_match(match_pieces(rows, catalogue, lists, steps, vocabulary))
+    roles = first_match(match_pieces(rows, catalogue, lists, steps, vocabulary, verbs=verbs, dictionary=dictionary))
     return join_hot(rows, roles, ["title"], how)
 
 
@@ -58,6 +60,8 @@ def pending_with_roles(
     vocabulary: DataFrame | None = None,
     assignments: DataFrame | None = None,
     group: str = "b",
+    verbs: DataFrame | None = None,
+    dictionary: DataFrame | None = None,
 ) -> DataFrame:
     """Pending rows with ``eligible`` (by test group, if assignments are given) and the ``role_id`` found."""
     if assignments is None:
@@ -67,7 +71,7 @@ def pending_with_roles(
         rows = join_hot(pending, members.withColumn("__in", F.lit(True)), [id_column]).withColumn(
             "eligible", F.coalesce("__in", F.lit(False))
         ).drop("__in")
-    return with_first_role(rows, catalogue, lists, steps, vocabulary)
+    return with_first_role(rows, catalogue, lists, steps, vocabulary, verbs=verbs, dictionary=dictionary)
 
 
 def _written_once(rows: DataFrame) -> DataFrame:

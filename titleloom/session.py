@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,7 +33,7 @@ def build_session(app_name: str = "titleloom", master: str | None = None, **conf
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can read: the one the cluster names, or a new one where none is named (tests)."""
+    """Folder every executor can read: the one the cluster names, or on one machine a new one where none is named."""
     named = spark.conf.get(CHECKPOINT_CONF, None)
     context = spark.sparkContext
     if named:
@@ -40,6 +41,8 @@ def shared_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named.rstrip("/")
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", None) or "local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="titleloom-"))
     return context.getCheckpointDir().rstrip("/")
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from titleloom.operators.normalize import Steps, normalize_distinct
 from titleloom.plans.routines import with_first_role
+from titleloom.session import new_shared_path
 from titleloom.sources.gazetteers import Gazetteer
 
 
@@ -49,11 +50,20 @@ def match_stream(
     checkpoint: str,
     steps: Steps = Steps(),
     vocabulary: DataFrame | None = None,
+    verbs: DataFrame | None = None,
+    dictionary: DataFrame | None = None,
 ) -> StreamingQuery:
     """Write ``keys, cargo_id`` of each arriving row with a matched title, one folder per micro-batch."""
 
+    # Read by every batch: written once, before the first.
+    written = new_shared_path(catalogue.sparkSession, "catalogue")
+    catalogue.write.parquet(written)
+    roles = catalogue.sparkSession.read.schema(catalogue.schema).parquet(written)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = with_first_role(batch.select(*keys, "title"), catalogue, lists, steps, vocabulary, "inner")
+        found = with_first_role(
+            batch.select(*keys, "title"), roles, lists, steps, vocabulary, "inner", verbs, dictionary
+        )
         flags = found.groupBy(*keys).agg(F.min("role_id").alias("cargo_id"))
         flags.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
