@@ -17,9 +17,16 @@ from titleloom.session import shared_folder
 from titleloom.sources.gazetteers import Gazetteer
 
 
-def title_ngrams(norm_title: Column) -> Column:
-    """Word sequences of a title, longest first, then leftmost; repeats and blocked single words left out."""
-    words = F.slice(split_words(norm_title), 1, fv.NGRAM_MAX_TITLE_WORDS)
+def title_ngrams(
+    norm_title: Column, max_words: int | None = fv.NGRAM_MAX_TITLE_WORDS, longest: int = fv.NGRAM_MAX_WORDS
+) -> Column:
+    """Word sequences of a title, longest first, then leftmost; repeats and blocked single words left out.
+
+    Sequences hold up to ``longest`` words and come from the first ``max_words`` words, or from all with None.
+    """
+    words = split_words(norm_title)
+    if max_words is not None:
+        words = F.slice(words, 1, max_words)
 
     def of_length(all_words: Column, n: Column) -> Column:
         return F.array_distinct(
@@ -36,7 +43,7 @@ def title_ngrams(norm_title: Column) -> Column:
                 F.when(
                     F.size(w) >= fv.NGRAM_MIN_WORDS,
                     F.transform(
-                        F.sequence(F.least(F.size(w), F.lit(fv.NGRAM_MAX_WORDS)), F.lit(fv.NGRAM_MIN_WORDS), F.lit(-1)),
+                        F.sequence(F.least(F.size(w), F.lit(longest)), F.lit(fv.NGRAM_MIN_WORDS), F.lit(-1)),
                         lambda n: of_length(w, n),
                     ),
                 ).otherwise(F.array().cast("array<array<string>>"))
@@ -61,11 +68,21 @@ def _best_candidate(candidates: DataFrame, catalogue: DataFrame, key: str) -> Da
     return hits.groupBy(key).agg(best).select(key, "best.*")
 
 
-def match_longest_ngram(titles: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """``norm_title, matched_title, role`` by the longest word sequence that is a whole catalogue title."""
-    distinct = titles.select("norm_title").distinct()
-    candidates = distinct.select("norm_title", F.posexplode(title_ngrams(F.col("norm_title"))).alias("rank", "candidate"))
-    return _best_candidate(candidates, catalogue, "norm_title").select(
+def match_longest_ngram(
+    titles: DataFrame,
+    catalogue: DataFrame,
+    max_words: int | None = fv.NGRAM_MAX_TITLE_WORDS,
+    longest: int = fv.NGRAM_MAX_WORDS,
+) -> DataFrame:
+    """``norm_title, matched_title, role`` by the longest word sequence that is a whole catalogue title.
+
+    Parameters as in ``title_ngrams``. Sequences go under a digest of their text, which comes back by one join.
+    """
+    distinct = titles.select("norm_title").distinct().withColumn("digest", F.md5("norm_title"))
+    sequences = title_ngrams(F.col("norm_title"), max_words, longest)
+    candidates = distinct.select("digest", F.posexplode(sequences).alias("rank", "candidate"))
+    best = _best_candidate(candidates, catalogue, "digest")
+    return best.join(distinct, "digest").select(
         "norm_title", F.lit(fv.MATCH_NGRAM).alias("match_type"), F.col("candidate").alias("matched_title"), "role"
     )
 

@@ -23,8 +23,9 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``word, vec, idf``: a vector and a weight picked by the word itself; very long and very short words have none."""
     picked = _words(spark, sf_dir).withColumn("h", F.expr("CAST(conv(substr(md5(word), 1, 7), 16, 10) AS BIGINT)"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vec"))
+    # Every vector of the table can be picked.
     return (
-        picked.withColumn("v", F.col("h") % 400)
+        picked.withColumn("v", F.col("h") % F.lit(vectors.count()))
         .join(vectors, "v")
         .filter("length(word) <= 13")
         .selectExpr("word", "vec", "CASE WHEN length(word) = 1 THEN NULL ELSE 1 + (h % 9) / 4.0 END AS idf")
@@ -132,7 +133,7 @@ words AS (SELECT DISTINCT word FROM (SELECT unnest({_W}) AS word FROM (SELECT ti
   UNION ALL SELECT text FROM conversations))),
 picked AS (SELECT word, CAST('0x' || substr(md5(word), 1, 7) AS BIGINT) AS h FROM words),
 vectors AS (SELECT word, CAST(embedding AS DOUBLE[]) AS vec, CASE WHEN length(word) = 1 THEN NULL ELSE 1 + (h % 9) / 4.0 END AS idf
-  FROM picked JOIN embeddings ON vec_id = h % 400 WHERE length(word) <= 13),
+  FROM picked JOIN embeddings ON vec_id = h % (SELECT count(*) FROM embeddings) WHERE length(word) <= 13),
 known AS (SELECT * FROM vectors WHERE idf IS NOT NULL)"""
 _PARTS = (
     "SELECT DISTINCT lower(p_type || ' ' || p_name || CASE WHEN p_size % 3 = 0 THEN ' ' || p_type ELSE '' END) AS title FROM part"

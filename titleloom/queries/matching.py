@@ -63,7 +63,8 @@ def match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "processed_title", F.lit(1).alias("role_id"), F.col("processed_title").alias("title"), F.lit("main").alias("source"),
         *[F.array().cast(t).alias(c) for c, t in roles.dtypes if t.startswith("array")],
     )
-    found = m.match_longest_ngram(titles, prose)
+    # Whole texts; no known title has more than three words.
+    found = m.match_longest_ngram(titles, prose, max_words=None, longest=3)
     return found.select("norm_title", "matched_title")
 
 
@@ -145,13 +146,13 @@ QUERIES = {
 }
 
 
-def ngram_ctes(source: str, key: str = "norm_title") -> str:
+def ngram_ctes(source: str, key: str = "norm_title", words: str = "[1:50]", longest: int = 10) -> str:
     """``ngrams``: distinct word sequences of ``norm_title`` with length and first position."""
     blocked = sql.listed(fv.SINGLE_WORD_BLOCKLIST)
     return f"""
 titles_in AS (SELECT DISTINCT {key}{'' if key == 'norm_title' else ', norm_title'} FROM {source}),
-title_words AS (SELECT *, ({sql.words('norm_title')})[1:{fv.NGRAM_MAX_TITLE_WORDS}] AS w FROM titles_in),
-spans AS (SELECT *, unnest(range(1, least(len(w) - first + 1, {fv.NGRAM_MAX_WORDS}) + 1)) AS n
+title_words AS (SELECT *, ({sql.words('norm_title')}){words} AS w FROM titles_in),
+spans AS (SELECT *, unnest(range(1, least(len(w) - first + 1, {longest}) + 1)) AS n
   FROM (SELECT *, unnest(range(1, len(w) + 1)) AS first FROM title_words)),
 ngrams AS (SELECT {key}, array_to_string(w[first:first + n - 1], ' ') AS ngram, n, min(first) AS first
   FROM spans GROUP BY 1, 2, 3 HAVING NOT list_contains({blocked}, ngram))"""
@@ -225,7 +226,7 @@ ORACLES = {
     ),
     "match_documents": (
         "WITH texts AS (SELECT DISTINCT lower(text) AS norm_title FROM (SELECT text FROM documents UNION ALL "
-        f"SELECT text FROM conversations)), {ngram_ctes('texts')}, known AS (SELECT DISTINCT "
+        f"SELECT text FROM conversations)), {ngram_ctes('texts', words='', longest=3)}, known AS (SELECT DISTINCT "
         f"array_to_string(({sql.words('norm_title')})[1:3], ' ') AS processed_title FROM texts) "
         "SELECT norm_title, ngram AS matched_title FROM (SELECT *, row_number() OVER (PARTITION BY norm_title "
         "ORDER BY n DESC, first) AS rn FROM ngrams JOIN known ON ngram = processed_title) WHERE rn = 1"
