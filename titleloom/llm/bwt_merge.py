@@ -11,8 +11,8 @@ from titleloom.llm.common import join_counted, staged
 
 LENGTH = 50
 GRAM = 16
-# Strings whose transforms are merged at once, and strings of one shard.
-MERGED = 16_384
+# Strings whose transforms are merged at once (few enough for a core's cache), and strings of one shard.
+MERGED = 2048
 SHARD = 256
 
 
@@ -74,45 +74,54 @@ def shard_transform(strings: list[bytes], width: int):
 def merged_intervals(strings: list[bytes], length: int, shard: int = SHARD):
     """``(string, offset, block)`` of all suffixes in merged order: equal blocks have equal first ``length`` bytes.
 
-    The transforms of the shards are merged by refining their interleave: each round deals the rows out by the symbol
-    before them, in order, which sorts the rows of all shards by one symbol more. A block holds the rows that
-    agree so far, so its bounds are the common prefixes shorter than the number of rounds. Suffixes are sorted within
+    The transforms of the shards are merged by refining their interleave: each round deals the rows out by the two
+    symbols before them, in order, which sorts the rows of all shards by two symbols more. A block holds the rows that
+    agree so far, so its bounds are the common prefixes shorter than the symbols dealt. Suffixes are sorted within
     shards only. A row that has met the end of its string is a block of its own.
     """
     import numpy as np
 
     width = max(map(len, strings))
-    parts, base, count = [], 0, 0
+    parts, base = [], 0
     for begin in range(0, len(strings), shard):
         string, offset, before, following = shard_transform(strings[begin : begin + shard], width)
-        parts.append((string + begin, offset, before, following + base))
+        parts.append((string + begin, offset, before.astype(np.uint16), (following + base).astype(np.int32)))
         base += len(string)
-        count += len(strings[begin : begin + shard])
-    string, offset, before, following = (np.concatenate(x) for x in zip(*parts, strict=True))
-    ends = np.flatnonzero(offset == np.array([len(s) for s in strings])[string])
-    order, block = np.arange(base), np.zeros(base, np.int64)
-    for _ in range(length):
+    string, offset, one, step = (np.concatenate(x) for x in zip(*parts, strict=True))
+    two = np.where(offset == 1, 0, one[step] * 256 + one).astype(np.uint16)
+    order, block = np.arange(base, dtype=np.int32), np.zeros(base, np.int32)
+    for before, following in [(two, step[step])] * (length // 2) + [(one, step)] * (length % 2):
         symbol = before[order]
         dealt = np.argsort(symbol, kind="stable")
         symbol, block = symbol[dealt], block[dealt]
         order = following[order[dealt]]
-        order[:count] = ends
-        new = np.ones(base, bool)
-        new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1]) | (symbol[1:] == 0)
-        block = np.cumsum(new)
+        new = (symbol & 255) == 0
+        new[0] = True
+        new[1:] |= (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
+        block = np.cumsum(new, dtype=np.int32)
     return string[order], offset[order], block
 
 
-def first_holders(strings: list[bytes], holders: list[int], length: int) -> list[list[int]]:
-    """Per string and offset of a whole window: the smallest holder of any string with that window."""
+def first_holders(strings: list[bytes], holders: list[int], length: int):
+    """``(string, begin, end, holder)``: runs of offsets of whole windows, by string and offset.
+
+    The holder of a run is the smallest holder of any string that has the window at each of its offsets.
+    """
     import numpy as np
 
     string, offset, block = merged_intervals(strings, length)
     starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
     least = np.minimum.reduceat(np.array(holders, np.int64)[string], starts)
+    windows = np.array([len(s) - length + 1 for s in strings])
     found = np.zeros((len(strings), max(map(len, strings)) + 1), np.int64)
     found[string, offset] = np.repeat(least, np.diff(np.append(starts, len(block))))
-    return [found[i, : len(s) - length + 1].tolist() for i, s in enumerate(strings)]
+    string, offset = np.nonzero(np.arange(found.shape[1])[None, :] < windows[:, None])
+    holder = found[string, offset]
+    new = np.ones(len(string), bool)
+    new[1:] = (string[1:] != string[:-1]) | (holder[1:] != holder[:-1])
+    begins = np.flatnonzero(new)
+    ends = offset[np.append(begins[1:], len(string)) - 1] + 1
+    return string[begins], offset[begins], ends, holder[begins]
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -157,23 +166,33 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(work, "key_id long, key_text long, anchor long, begin long, context binary")
 
 
+RUNS = "array<struct<begin:int,end:int,holder:long>>"
+
+
 def _decided(contexts: DataFrame, length: int) -> DataFrame:
-    """``anchor, context_key, members, firsts``: per window of a context the smallest doc that holds it.
+    """``anchor, context_key, members, runs``: per window of a context the smallest doc that holds it, in runs.
 
     Contexts of one anchor lie together; those of many anchors are merged at once, up to ``MERGED`` contexts, more only
     where one anchor has more.
     """
 
     def work(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         def flush(rows: list) -> pa.RecordBatch:
-            firsts = first_holders([r["context"] for r in rows], [r["first"] for r in rows], length)
+            string, begin, end, holder = first_holders(
+                [r["context"] for r in rows], [r["first"] for r in rows], length
+            )
+            runs = pa.StructArray.from_arrays(
+                [pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(holder, pa.int64())],
+                ["begin", "end", "holder"],
+            )
+            bounds = np.searchsorted(string, np.arange(len(rows) + 1))
             return pa.RecordBatch.from_arrays(
-                [pa.array([r["anchor"] for r in rows], pa.int64()),
-                 pa.array([r["context_key"] for r in rows], pa.int64()),
-                 pa.array([r["members"] for r in rows], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
-                ["anchor", "context_key", "members", "firsts"],
+                [*[pa.array([r[c] for r in rows], pa.int64()) for c in ("anchor", "context_key", "members")],
+                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs)],
+                ["anchor", "context_key", "members", "runs"],
             )
 
         waiting: list = []
@@ -186,7 +205,7 @@ def _decided(contexts: DataFrame, length: int) -> DataFrame:
         if waiting:
             yield flush(waiting)
 
-    return contexts.mapInArrow(work, "anchor long, context_key long, members long, firsts array<long>")
+    return contexts.mapInArrow(work, f"anchor long, context_key long, members long, runs {RUNS}")
 
 
 def _cut(docs: DataFrame, length: int) -> DataFrame:
@@ -197,14 +216,15 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             out = []
-            for data, starts in zip(batch.column("content").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+            for data, covers in zip(batch.column("content").to_pylist(), batch.column("covers").to_pylist(), strict=True):
                 kept, end, spans, removed = [], 0, 0, 0
-                for start in starts or []:
+                for cover in covers or []:
+                    start, stop = cover["begin"], cover["end"]
                     if start > end or not spans:
                         kept.append(data[end:start])
                         spans += 1
-                    removed += start + length - max(end, start)
-                    end = start + length
+                    removed += max(0, stop - max(end, start))
+                    end = max(end, stop)
                 kept.append(data[end:])
                 out.append((len(data), removed, spans, hashlib.sha256(b"".join(kept)).hexdigest()))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)]
@@ -245,17 +265,39 @@ def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         _contexts(texts.dropDuplicates(keys).join(hits, keys), length).withColumn("context_key", F.xxhash64("context")),
         "contexts",
     )
-    distinct = members.groupBy("anchor", "context").agg(
-        F.min("key_id").alias("first"), F.count("*").alias("members"), F.first("context_key").alias("context_key")
+    # An anchor whose contexts are all equal needs no merge: its first holder holds every window.
+    held = staged(
+        members.groupBy("anchor").agg(
+            F.min("context_key").alias("context_key"),
+            (F.min("context_key") != F.max("context_key")).alias("differ"),
+            F.min(F.octet_length("context")).alias("size"),
+            F.min("key_id").alias("first"),
+            F.count("*").alias("members"),
+        ),
+        "held",
+    )
+    whole = F.array(F.struct(F.lit(0).alias("begin"), (F.col("size") - (length - 1)).alias("end"), F.col("first").alias("holder")))
+    alike = held.filter("not differ").select("anchor", "context_key", "members", whole.cast(RUNS).alias("runs"))
+    differing = held.filter("differ").select("anchor", "members")
+    distinct = (
+        join_counted(members.select("anchor", "key_id", "context", "context_key"), differing, ["anchor"], "members")
+        .groupBy("anchor", "context")
+        .agg(F.min("key_id").alias("first"), F.count("*").alias("members"), F.first("context_key").alias("context_key"))
     )
     decided = staged(
-        _decided(distinct.repartition("anchor").sortWithinPartitions("anchor", "context"), length), "decided"
+        _decided(distinct.repartition("anchor").sortWithinPartitions("anchor", "context"), length).unionByName(alike),
+        "decided",
     )
     found = join_counted(members.drop("context"), decided, ["anchor", "context_key"], "members")
-    starts = (
-        found.select(*keys, "begin", F.posexplode("firsts").alias("offset", "holder"))
-        .filter(F.col("holder") < F.col("key_id"))
+    later = F.filter("runs", lambda r: r["holder"] < F.col("key_id"))
+    cover = F.transform(
+        later,
+        lambda r: F.struct((F.col("begin") + r["begin"]).alias("begin"), (F.col("begin") + r["end"] + length - 1).alias("end")),
+    )
+    covers = (
+        found.select(*keys, cover.alias("cover"))
+        .filter(F.size("cover") > 0)
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_set(F.col("begin") + F.col("offset"))).alias("starts"))
+        .agg(F.sort_array(F.flatten(F.collect_list("cover"))).alias("covers"))
     )
-    return _cut(texts.dropDuplicates(keys).join(starts, keys, "left").select("doc_id", "content", "starts"), length)
+    return _cut(texts.dropDuplicates(keys).join(covers, keys, "left").select("doc_id", "content", "covers"), length)
