@@ -13,7 +13,9 @@ LENGTH = 50
 GRAM = 16
 # Strings whose transforms are merged at once (few enough for a core's cache), and strings of one shard.
 MERGED = 2048
-SHARD = 256
+SHARD = 64
+# Contexts that are cut out of texts at once.
+TOGETHER = 32_768
 
 
 def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM):
@@ -49,7 +51,7 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM):
 def shard_transform(strings: list[bytes], width: int):
     """The sorted suffixes of a shard as ``(string, offset, symbol before, next row)``.
 
-    Bytes are raised by one, 0 ends a string; ends of equal suffixes are sorted by string. ``next row`` is the row of the
+    Bytes are raised by one, 0 ends a string; equal suffixes stand in any order. ``next row`` is the row of the
     suffix that begins one symbol earlier, and the row of the string's end for a whole string.
     """
     import numpy as np
@@ -62,7 +64,7 @@ def shard_transform(strings: list[bytes], width: int):
     views = np.lib.stride_tricks.sliding_window_view(grid, width + 1, axis=1)[:, : width + 1]
     string, offset = np.nonzero(np.arange(width + 1)[None, :] <= lengths[:, None])
     suffixes = np.ascontiguousarray(views[string, offset]).view(f"S{width + 1}").ravel()
-    order = np.argsort(suffixes, kind="stable")
+    order = np.argsort(suffixes)
     string, offset = string[order], offset[order]
     row = np.zeros((n, width + 1), np.int64)
     row[string, offset] = np.arange(len(string))
@@ -72,12 +74,15 @@ def shard_transform(strings: list[bytes], width: int):
 
 
 def merged_intervals(strings: list[bytes], length: int, shard: int = SHARD):
-    """``(string, offset, block)`` of all suffixes in merged order: equal blocks have equal first ``length`` bytes.
+    """``(string, offset, block)`` of all suffixes: equal blocks have equal first ``length`` bytes.
+
+    Suffixes of repeated blocks come first, in merged order, then those that are alone in theirs.
 
     The transforms of the shards are merged by refining their interleave: each round deals the rows out by the two
     symbols before them, in order, which sorts the rows of all shards by two symbols more. A block holds the rows that
     agree so far, so its bounds are the common prefixes shorter than the symbols dealt. Suffixes are sorted within
-    shards only. A row that has met the end of its string is a block of its own.
+    shards only. A row that has met the end of its string is a block of its own. A row alone in its block stays alone
+    whatever stands before it, so it is not dealt again.
     """
     import numpy as np
 
@@ -96,9 +101,14 @@ def merged_intervals(strings: list[bytes], length: int, shard: int = SHARD):
         symbol, block = symbol[dealt], block[dealt]
         order = following[order[dealt]]
         new = (symbol & 255) == 0
-        new[0] = True
+        new[:1] = True
         new[1:] |= (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(new, dtype=np.int32)
+        repeated = ~(new & np.append(new[1:], True))
+        order, block = order[repeated], np.cumsum(new, dtype=np.int32)[repeated]
+    alone = np.ones(base, bool)
+    alone[order] = False
+    order = np.concatenate((order, np.flatnonzero(alone)))
+    block = np.concatenate((block, base + np.arange(len(order) - len(block))))
     return string[order], offset[order], block
 
 
@@ -147,19 +157,20 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
     """``key_id, key_text, anchor, begin, context``: the bytes in which a window around a shared anchor can lie."""
 
     def work(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for i, data in enumerate(batch.column("content").to_pylist()):
-                hits = batch.column("hits")[i].as_py()
-                if not hits:
-                    continue
-                begins = [max(0, h["pos"] - (length - GRAM)) for h in hits]
+            content, hits = batch.column("content").to_pylist(), batch.column("hits")
+            doc = np.repeat(np.arange(len(hits)), hits.value_lengths().to_numpy(zero_copy_only=False))
+            pos, anchor = (x.to_numpy(zero_copy_only=False) for x in hits.flatten().flatten())
+            for at in range(0, len(doc), TOGETHER):
+                rows, ends = doc[at : at + TOGETHER], pos[at : at + TOGETHER] + length
+                begins = np.maximum(ends - (2 * length - GRAM), 0)
+                cut = [content[i][b:e] for i, b, e in zip(rows.tolist(), begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column("key_id")[i].as_py()] * len(hits), pa.int64()),
-                     pa.array([batch.column("key_text")[i].as_py()] * len(hits), pa.int64()),
-                     pa.array([h["anchor"] for h in hits], pa.int64()), pa.array(begins, pa.int64()),
-                     pa.array([data[b : h["pos"] + length] for b, h in zip(begins, hits, strict=True)], pa.binary())],
+                    [*[batch.column(c).take(pa.array(rows)) for c in ("key_id", "key_text")],
+                     pa.array(anchor[at : at + TOGETHER]), pa.array(begins), pa.array(cut, pa.binary())],
                     ["key_id", "key_text", "anchor", "begin", "context"],
                 )
 
@@ -167,6 +178,7 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
 
 
 RUNS = "array<struct<begin:int,end:int,holder:long>>"
+COVERS = "array<struct<begin:long,end:long>>"
 
 
 def _decided(contexts: DataFrame, length: int) -> DataFrame:
@@ -208,18 +220,22 @@ def _decided(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.mapInArrow(work, f"anchor long, context_key long, members long, runs {RUNS}")
 
 
-def _cut(docs: DataFrame, length: int) -> DataFrame:
+def _cut(docs: DataFrame) -> DataFrame:
+    """Documents without their covered bytes; covers are sorted and may overlap."""
+
     def work(batches: Iterator) -> Iterator:
         import hashlib
 
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for data, covers in zip(batch.column("content").to_pylist(), batch.column("covers").to_pylist(), strict=True):
+            out, covers = [], batch.column("covers")
+            begins, ends = (x.to_pylist() for x in covers.flatten().flatten())
+            bounds = np.append(0, np.cumsum(covers.value_lengths().to_numpy(zero_copy_only=False))).tolist()
+            for data, a, b in zip(batch.column("content").to_pylist(), bounds, bounds[1:], strict=False):
                 kept, end, spans, removed = [], 0, 0, 0
-                for cover in covers or []:
-                    start, stop = cover["begin"], cover["end"]
+                for start, stop in zip(begins[a:b], ends[a:b], strict=True):
                     if start > end or not spans:
                         kept.append(data[end:start])
                         spans += 1
@@ -300,4 +316,5 @@ def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .groupBy(*keys)
         .agg(F.sort_array(F.flatten(F.collect_list("cover"))).alias("covers"))
     )
-    return _cut(texts.dropDuplicates(keys).join(covers, keys, "left").select("doc_id", "content", "covers"), length)
+    whole_texts = texts.dropDuplicates(keys).join(covers, keys, "left")
+    return _cut(whole_texts.select("doc_id", "content", F.coalesce("covers", F.array().cast(COVERS)).alias("covers")))
