@@ -151,6 +151,20 @@ def test_bytes_against_brute_force(spark, documents):
         assert (row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_sha256"]) == (len(data), sum(gone), runs, digest)
 
 
+@pytest.mark.parametrize("length", [1, 2, 3, 4, 5, 7, 12])
+def test_merged_intervals_of_any_length(length):
+    draw = np.random.default_rng(length)
+    strings = [bytes(draw.integers(97, 99, n).tolist()) for n in draw.integers(0, 14, 40)]
+    string, offset, block = bwt_merge.merged_intervals(strings, length, shard=3)
+    assert len(string) == sum(len(s) + 1 for s in strings)
+    found = defaultdict(set)
+    for s, o, b in zip(string.tolist(), offset.tolist(), block.tolist(), strict=True):
+        if o + length <= len(strings[s]):
+            found[strings[s][o : o + length]].add(b)
+    blocks = [b for x in found.values() for b in x]
+    assert all(len(x) == 1 for x in found.values()) and len(set(blocks)) == len(blocks)
+
+
 def test_merged_intervals_are_the_sorted_windows():
     strings = [b"abracadabra", b"cadabra", b"", b"\x00\xfe\x00\xfe\x00", b"abracadabra"]
     string, offset, block = bwt_merge.merged_intervals(strings, 4, shard=2)
