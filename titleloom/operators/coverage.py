@@ -101,8 +101,12 @@ def count_invalid(log: DataFrame) -> DataFrame:
 
 
 def non_normalized_titles(requests: DataFrame) -> DataFrame:
-    """``title``: requested titles without a role, sorted, repeats kept."""
-    return requests.filter(F.col("role_id").isNull()).select("title").orderBy("title")
+    """``title``: requested titles without a role, sorted, repeats kept.
+
+    The other columns come after the title in the order, so that a frequent title is split over several tasks.
+    """
+    others = [c for c, kind in requests.dtypes if c != "title" and "map<" not in kind]
+    return requests.filter(F.col("role_id").isNull()).orderBy("title", *others).select("title")
 
 
 def sample_requests(requests: DataFrame, n: int, seed: int, key: Column) -> DataFrame:
