@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from titleloom import fixed_values as fv
 from titleloom.operators.skew import join_hot
+from titleloom.session import shared_folder
 from titleloom.sources.events import read_applies, read_contacts
 
 
@@ -77,14 +78,15 @@ def infer_job_roles(
     A job whose contacts all lack a role keeps 0 and is not looked up by applies.
     """
     ids = job_ids.select("job_id").distinct()
-    by_apply = infer_job_roles_by_apply(ids, applies, user_roles).withColumnRenamed("role_id", "by_apply")
-    answers = ids.join(by_apply, "job_id", "left")
-    found = F.col("by_apply")
-    if use_contacts:
-        by_contact = infer_job_roles_by_contact(ids, contacts, user_roles).withColumnRenamed("role_id", "by_contact")
-        answers = answers.join(by_contact, "job_id", "left")
-        found = F.coalesce("by_contact", "by_apply")
-    return answers.select("job_id", F.coalesce(found, F.lit(0)).alias("role_id"))
+    if not use_contacts:
+        found = infer_job_roles_by_apply(ids, applies, user_roles)
+    else:
+        shared_folder(job_ids.sparkSession)
+        # Read by the join below and to leave out the jobs that need no applies.
+        by_contact = infer_job_roles_by_contact(ids, contacts, user_roles).checkpoint()
+        silent = ids.join(by_contact, "job_id", "left_anti")
+        found = by_contact.unionByName(infer_job_roles_by_apply(silent, applies, user_roles))
+    return ids.join(found, "job_id", "left").select("job_id", F.coalesce("role_id", F.lit(0)).alias("role_id"))
 
 
 def inference_response(answers: DataFrame, id_column: str, order: str | None = None) -> DataFrame:
