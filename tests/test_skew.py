@@ -61,6 +61,29 @@ def test_joins_of_rows_are_never_broadcast(spark, capsys):
     assert "SortMergeJoin" in plan and "Cartesian" not in plan
 
 
+def test_rows_of_keys_alone_are_repeated_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(skew, "PIECE", 7)
+    left, right = rows(spark).select("key"), lookup(spark)
+    for how in ("left", "inner"):
+        expected = sorted((tuple(r) for r in left.join(right, "key", how).collect()), key=sort_key)
+        found = skew.join_hot(left, right, ["key"], how)
+        assert found.columns == ["key", "value"]
+        assert sorted((tuple(r) for r in found.collect()), key=sort_key) == expected
+    assert skew.join_hot(left.filter("key = 'none'"), right, ["key"]).count() == 0
+
+
+def test_more_hot_keys_than_the_least_number(spark, monkeypatch):
+    """With many partitions the sketch returns as many keys as can exceed a share."""
+    monkeypatch.setattr(skew, "HOT_KEYS", 2)
+    frame = spark.range(900).selectExpr("id", "id % 3 AS key")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        assert sorted(r["__repeats"] for r in skew.hot_keys(frame, ["key"]).collect()) == [4, 4, 4]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_keep_hot_is_a_semi_join(spark):
     left, ids = rows(spark), lookup(spark).unionByName(lookup(spark))
     expected = left.join(ids, "key", "left_semi").select("id", "key")

@@ -16,7 +16,7 @@ from titleloom import fixed_values as fv
 from titleloom.functions.text import split_words
 from titleloom.functions.vectors import scaled, summed
 from titleloom.operators.skew import Lookup, join_hot, join_lookup, written_lookup
-from titleloom.session import shared_folder
+from titleloom.session import written_once
 
 # Similarities are compared after rounding, so that the order of additions does not decide ties.
 DIGITS = 9
@@ -136,10 +136,9 @@ def nearest_titles(
     of titles and keeps k titles per text, so no list of all pairs exists anywhere. ``above`` leaves out
     titles that are not more similar than that.
     """
-    shared_folder(texts.sparkSession)
     # Counted to size the blocks and then read again: written once instead of computed twice.
-    texts = texts.select("text", "embedding").checkpoint()
-    titles = titles.select("matched_title", "embedding").checkpoint()
+    texts = written_once(texts.select("text", "embedding"), "texts")
+    titles = written_once(titles.select("matched_title", "embedding"), "titles")
     text_blocks = max(1, math.ceil(texts.count() / BLOCK_ROWS))
     title_blocks = max(1, math.ceil(titles.count() / BLOCK_ROWS))
 
@@ -234,9 +233,8 @@ def best_similarity_fold(candidates: DataFrame, title: str = "norm_title") -> Da
 def match_embedding(titles: DataFrame, catalogue: DataFrame, word_vectors: DataFrame) -> DataFrame:
     """``norm_title, matched_title, similarity`` for titles near enough to a catalogue title."""
     words = known_words(word_vectors)
-    shared_folder(titles.sparkSession)
     # Read for the texts to compare and again for the titles they stand in.
-    spans = title_spans(titles, words).checkpoint()
+    spans = written_once(title_spans(titles, words), "spans")
     texts = ngram_vectors(spans.select("ngram").distinct(), words).withColumnRenamed("ngram", "text")
     against = title_embedding(
         catalogue.select(F.col("processed_title").alias("matched_title")), words, "matched_title"

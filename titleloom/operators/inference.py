@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from titleloom import fixed_values as fv
 from titleloom.operators.skew import join_hot
-from titleloom.session import shared_folder
+from titleloom.session import written_once
 from titleloom.sources.events import read_applies, read_contacts
 
 
@@ -81,9 +81,8 @@ def infer_job_roles(
     if not use_contacts:
         found = infer_job_roles_by_apply(ids, applies, user_roles)
     else:
-        shared_folder(job_ids.sparkSession)
         # Read by the join below and to leave out the jobs that need no applies.
-        by_contact = infer_job_roles_by_contact(ids, contacts, user_roles).checkpoint()
+        by_contact = written_once(infer_job_roles_by_contact(ids, contacts, user_roles), "by-contact")
         silent = ids.join(by_contact, "job_id", "left_anti")
         found = by_contact.unionByName(infer_job_roles_by_apply(silent, applies, user_roles))
     return ids.join(found, "job_id", "left").select("job_id", F.coalesce("role_id", F.lit(0)).alias("role_id"))

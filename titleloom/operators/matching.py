@@ -13,7 +13,7 @@ from titleloom.operators.catalogue import ID_COLUMNS, ROLE_COLUMNS
 from titleloom.operators.embedding import match_embedding
 from titleloom.operators.normalize import Steps, normalize_distinct
 from titleloom.operators.skew import join_hot, join_lookup, keep_hot
-from titleloom.session import shared_folder
+from titleloom.session import written_once
 from titleloom.sources.gazetteers import Gazetteer
 
 
@@ -125,8 +125,7 @@ def match_cascade(
     whole = F.array(F.col("norm_title"))
     if word_vectors is not None:
         # Read again for the titles left over.
-        shared_folder(texts.sparkSession)
-        texts = texts.checkpoint()
+        texts = written_once(texts, "texts")
     candidates = (
         texts.filter(F.col("norm_title") != "")
         .select(key, F.posexplode(F.concat(whole, title_ngrams(F.col("norm_title")))).alias("rank", "candidate"))

@@ -8,11 +8,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from titleloom.session import shared_folder
+from titleloom.session import written_once
 
-# The sketch returns at most this many keys, so the table of hot keys can always be broadcast.
+# The sketch returns a key per shuffle partition, since no more can exceed a partition's share: at least the first
+# number, and no more than the second, so the table of hot keys can always be broadcast. It tracks four times as many.
 HOT_KEYS = 2048
-TRACKED_KEYS = 8192
+MOST_HOT_KEYS = 100_000
+# Rows that equal each other are counted, and come back in pieces of this many.
+PIECE = 10_000
 # Tasks hand in their sketches in this many groups first, so that no task reads the sketches of all others.
 SKETCH_GROUPS = 512
 SALTS = 16
@@ -28,23 +31,24 @@ def _hash(keys: Sequence[str]) -> Column:
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``__hash, __repeats`` of keys too frequent for one task, at most ``HOT_KEYS`` rows.
+    """``__hash, __repeats`` of keys too frequent for one task.
 
     A key is split so that each piece is about as large as an average shuffle partition. Frequencies come
     from a sketch kept per task; they only decide how work is spread, never what a join returns.
     """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(max(HOT_KEYS, tasks), MOST_HOT_KEYS)
     per_group = (
         rows.select(_hash(keys).alias(_HASH), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
         .groupBy("g")
-        .agg(F.expr(f"approx_top_k_accumulate({_HASH}, {TRACKED_KEYS})").alias("sketch"), F.count("*").alias("n"))
+        .agg(F.expr(f"approx_top_k_accumulate({_HASH}, {4 * most})").alias("sketch"), F.count("*").alias("n"))
     )
     # Grouped by a constant, so that no rows give no group: an empty sketch cannot be read.
     top = per_group.groupBy(F.lit(0).alias("all")).agg(
-        F.expr(f"approx_top_k_combine(sketch, {TRACKED_KEYS})").alias("sketch"), F.sum("n").alias("n")
+        F.expr(f"approx_top_k_combine(sketch, {4 * most})").alias("sketch"), F.sum("n").alias("n")
     )
     return (
-        top.select("n", F.expr(f"explode(approx_top_k_estimate(sketch, {HOT_KEYS}))").alias("top"))
+        top.select("n", F.expr(f"explode(approx_top_k_estimate(sketch, {most}))").alias("top"))
         .select(F.col("top.item").alias(_HASH), F.ceil(F.col("top.count") * tasks / F.col("n")).cast("int").alias(_REPEATS))
         .filter(F.col(_REPEATS) > 1)
     )
@@ -68,8 +72,11 @@ def join_hot(
 
     Rows of hot keys are spread over as many tasks as they need by the ``spread`` columns (all others than the
     keys unless named) and only the lookup rows of those keys are repeated; all other rows are joined as usual.
-    ``how`` is ``inner`` or ``left``. With a lookup of keys alone an inner join is a semi join.
+    ``how`` is ``inner`` or ``left``. With a lookup of keys alone an inner join is a semi join. Rows of keys alone,
+    which hold nothing to spread them by, are counted, joined once per key and repeated.
     """
+    if not spread and set(rows.columns) <= set(keys):
+        return _join_counted(rows, lookup, keys, how)
     hot = F.broadcast(hot_keys(rows, keys))
     number = _spread(rows, keys, spread)
     salted = (
@@ -87,6 +94,15 @@ def join_hot(
     return _merged(salted, repeated, [*keys, _SALT], how).drop(_SALT)
 
 
+def _join_counted(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    counted = rows.groupBy(*keys).agg(F.count("*").alias(_REPEATS))
+    joined = _merged(counted, lookup, keys, how)
+    pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col(_REPEATS) - 1) / PIECE))
+    cut = joined.withColumn(_SALT, F.explode(pieces)).repartition(*keys, _SALT)
+    size = F.least(F.lit(PIECE), F.col(_REPEATS) - F.col(_SALT) * PIECE)
+    return cut.withColumn("__one", F.explode(F.sequence(F.lit(1).cast("long"), size))).drop(_REPEATS, _SALT, "__one")
+
+
 def keep_hot(rows: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is among the ids: a semi join that stands frequent keys."""
     return join_hot(rows, ids.select(*keys).distinct(), keys, "inner").select(*rows.columns)
@@ -130,9 +146,8 @@ def _bytes(table: DataFrame) -> Column:
 
 def written_lookup(lookup: DataFrame) -> Lookup:
     """Write a lookup once to the shared folder and measure it against both broadcast bounds."""
-    shared_folder(lookup.sparkSession)
-    written = lookup.checkpoint()
-    size = written.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(_bytes(written)), F.lit(0))).first()
+    written = written_once(lookup, "lookup")
+    size = written.agg(F.count("*"), F.coalesce(F.sum(_bytes(written)), F.lit(0))).first()
     return Lookup(written, size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES)
 
 

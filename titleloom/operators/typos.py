@@ -9,7 +9,7 @@ from titleloom import fixed_values as fv
 from titleloom.functions.edit_distance import edits_up_to_two, letters
 from titleloom.functions.text import split_words
 from titleloom.operators.skew import join_hot
-from titleloom.session import shared_folder
+from titleloom.session import written_once
 
 # A word of n letters has up to 1 + n + n(n-1)/2 deletion keys. Longer vocabulary words are found by
 # segments instead, whose number does not grow with the word.
@@ -116,16 +116,16 @@ def corrections(words: DataFrame, vocabulary: DataFrame, dictionary: DataFrame |
     Nearest first, then most frequent, then first by name. Words of ``dictionary`` (``word``) are right too,
     but nothing is corrected to them.
     """
-    shared_folder(words.sparkSession)
     # Both are read several times below, and finding the unknown words takes a pass over all texts.
     known = vocabulary.groupBy("word").agg(F.sum("freq").alias("freq"))
-    known = known.withColumn("letters", letters(F.col("word"))).checkpoint()
+    known = written_once(known.withColumn("letters", letters(F.col("word"))), "known-words")
     unknown = words.select("word").distinct().join(known, "word", "left_anti")
     if dictionary is not None:
         unknown = unknown.join(dictionary.select("word").distinct(), "word", "left_anti")
     # The words are few bytes and much work: they are spread over all tasks.
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    unknown = unknown.repartition(tasks, "word").withColumn("word_letters", letters(F.col("word"))).checkpoint()
+    unknown = unknown.repartition(tasks, "word").withColumn("word_letters", letters(F.col("word")))
+    unknown = written_once(unknown, "unknown-words")
     offered = known.select(
         F.col("word").alias("corrected"), "freq", F.col("letters").alias("corrected_letters"),
         F.explode(_key_hashes(F.filter(vocabulary_keys(F.col("word")), lambda k: k != ""))).alias("key"),
