@@ -109,12 +109,24 @@ def test_flags(spark):
     ]
 
 
+def sent_ids():
+    return sorted({i * 17 % 9001 for i in range(1234)} | {0, 1, 2})
+
+
+def test_ids_far_apart_fill_their_messages(spark):
+    ids = spark.range(1000).selectExpr("id * 10007 AS usr_id").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS usr_id"))
+    found = sorted((r.batch, json.loads(r.message)["usr_ids"]) for r in wb.user_index_messages(ids).collect())
+    assert found == [(b, [i * 10007 for i in range(100 * b, 100 * b + 100)]) for b in range(10)]
+    assert wb.user_index_messages(ids.filter("usr_id < 0")).collect() == []
+
+
 def test_messages_hold_up_to_a_hundred_distinct_ids(spark):
     ids = spark.range(1234).selectExpr("id * 17 % 9001 AS vag_id").unionByName(spark.range(3).selectExpr("id AS vag_id"))
     messages = [json.loads(r.message)["events"] for r in wb.job_index_messages(ids).collect()]
-    assert all(1 <= len(m) <= 100 and m[0]["new_status"] == "A" for m in messages)
+    assert sorted(len(m) for m in messages) == sorted([len(sent_ids()) % 100] + [100] * (len(sent_ids()) // 100))
+    assert all(m[0]["new_status"] == "A" for m in messages)
     sent = [e["vag_id"] for m in messages for e in m]
-    assert sorted(sent) == sorted({i * 17 % 9001 for i in range(1234)} | {0, 1, 2})
+    assert sorted(sent) == sent_ids()
     users = wb.user_index_messages(ids.withColumnRenamed("vag_id", "usr_id")).first()
     assert list(json.loads(users.message)) == ["usr_ids"]
 
@@ -146,12 +158,12 @@ def test_the_job_routine(spark, lists):
     assert rows(run.normalized.select("vag_id", "cargo_id")) == [(1, 2), (2, 3)]
     assert rows(run.roles) == [(1, 2), (2, 3), (9, 9)]
     assert rows(run.flags.select("vag_id", "cargo_id")) == [(1, 2), (2, 3)]
-    assert tuple(run.counts.first()) == (5, 3, 2)
+    assert tuple(run.counts.first()) == (5, 3, 2, 2)
     assert [json.loads(r.message)["events"] for r in run.messages.collect()] == [
         [{"vag_id": 1, "new_status": "A"}, {"vag_id": 2, "new_status": "A"}]
     ]
     everyone = routines.normalize_pending_jobs(waiting, catalogue, lists, target, flags, AS_OF, steps=STEPS)
-    assert tuple(everyone.counts.first()) == (5, 5, 3)
+    assert tuple(everyone.counts.first()) == (5, 5, 3, 3)
 
 
 def test_the_user_routines(spark, lists):
@@ -169,4 +181,5 @@ def test_the_user_routines(spark, lists):
     roles = spark.createDataFrame([], "curexpprof_id long, cargo_id int")
     run = routines.normalize_pending_work_exp(work, catalogue, lists, roles, parent, flags, AS_OF, steps=STEPS)
     assert rows(run.roles) == [(7, 2)]
+    assert tuple(run.counts.first()) == (2, 2, 2, 1)
     assert [json.loads(r.message) for r in run.messages.collect()] == [{"usr_ids": [1]}]

@@ -49,7 +49,6 @@ WEEK_WINDOWS = 24
 FIRST_MONTH_WINDOW = 6
 LAST_MONTH_WINDOW = 12
 MESSAGE_BATCH = 100
-READ_BATCH = 5000
 RECENT_MONTHS = 6
 
 # --- fixed values: match types and comparison classes -------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from titleloom import fixed_values as fv
 from titleloom.operators.skew import join_hot
+from titleloom.session import written_once
 
 
 def one_per_key(updates: DataFrame, keys: Sequence[str], position: str | None = None) -> DataFrame:
@@ -79,36 +80,43 @@ def upsert_flags(
     return kept.unionByName(fresh.select(*flags.columns))
 
 
-def _batches(ids: DataFrame, id_column: str, span: int) -> DataFrame:
-    """Distinct ids with ``span`` and ``batch``: at most 100 ids per batch.
+def _batches(ids: DataFrame, id_column: str) -> DataFrame:
+    """Distinct ids with ``batch``: in order, 100 ids per batch, only the last may hold fewer.
 
-    Ids are numbered inside spans of the id range, never over the whole table, so the ranking of one task
-    sees at most ``span`` ids, and a repeated run cuts the same batches.
+    The ids are cut into ranges and written, so that a repeated task numbers the same rows. A task numbers the ids of
+    one range; what lies before a range comes from one count per range. Rows without an id are left out.
     """
-    group = F.floor(F.col(id_column) / span).alias("span")
-    order = Window.partitionBy("span").orderBy(id_column)
-    return (
-        ids.select(id_column).distinct()
-        .select(group, id_column)
-        .withColumn("batch", F.floor((F.row_number().over(order) - 1) / fv.MESSAGE_BATCH).cast("int"))
+    spark = ids.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = written_once(
+        ids.select(id_column).filter(F.col(id_column).isNotNull()).distinct()
+        .repartitionByRange(ranges, id_column).withColumn("range", F.spark_partition_id()),
+        "ids",
+    )
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range: no more than there are shuffle partitions.
+    starts = cut.groupBy("range").agg(F.count("*").alias("n")).select(
+        "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    )
+    place = F.row_number().over(Window.partitionBy("range").orderBy(id_column)) - 1
+    return cut.withColumn("place", place).join(F.broadcast(starts), "range").select(
+        id_column, F.floor((F.col("before") + F.col("place")) / fv.MESSAGE_BATCH).alias("batch")
     )
 
 
-def job_index_messages(jobs: DataFrame, id_column: str = "vag_id", span: int = fv.READ_BATCH) -> DataFrame:
-    """``span, batch, message``: jobs to index again, up to 100 per message."""
+def job_index_messages(jobs: DataFrame, id_column: str = "vag_id") -> DataFrame:
+    """``batch, message``: jobs to index again, 100 per message."""
     event = F.struct(F.col(id_column).alias("vag_id"), F.lit(fv.ACTIVE_STATUS).alias("new_status"))
-    grouped = _batches(jobs, id_column, span).groupBy("span", "batch").agg(
-        F.array_sort(F.collect_list(event)).alias("events")
-    )
-    return grouped.select("span", "batch", F.to_json(F.struct("events")).alias("message"))
+    grouped = _batches(jobs, id_column).groupBy("batch").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    return grouped.select("batch", F.to_json(F.struct("events")).alias("message"))
 
 
-def user_index_messages(users: DataFrame, id_column: str = "usr_id", span: int = fv.READ_BATCH) -> DataFrame:
-    """``span, batch, message``: users to index again, up to 100 per message."""
-    grouped = _batches(users, id_column, span).groupBy("span", "batch").agg(
+def user_index_messages(users: DataFrame, id_column: str = "usr_id") -> DataFrame:
+    """``batch, message``: users to index again, 100 per message."""
+    grouped = _batches(users, id_column).groupBy("batch").agg(
         F.array_sort(F.collect_list(id_column)).alias("usr_ids")
     )
-    return grouped.select("span", "batch", F.to_json(F.struct("usr_ids")).alias("message"))
+    return grouped.select("batch", F.to_json(F.struct("usr_ids")).alias("message"))
 
 
 def _flagged(flags: DataFrame, first_day: str | None, last_day: str | None) -> DataFrame:

@@ -93,6 +93,12 @@ def job_index_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wb.job_index_messages(_updates(spark, sf_dir))
 
 
+def job_index_messages_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids far apart still fill their messages."""
+    far = F.col("vag_id") * F.lit(10007)
+    return wb.job_index_messages(_updates(spark, sf_dir).select(far.alias("vag_id")))
+
+
 def user_index_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wb.user_index_messages(view(spark, sf_dir, "cvs"))
 
@@ -144,6 +150,33 @@ def normalize_pending_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jobs_run(spark, sf_dir).counts
 
 
+def normalize_pending_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jobs_run(spark, sf_dir).roles
+
+
+def normalize_pending_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jobs_run(spark, sf_dir).messages
+
+
+def normalize_pending_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job routine on the last 24 weeks."""
+    run = plan.run_jobs_routine(
+        *[view(spark, sf_dir, name) for name in ("jobs", "job_display", "job_role_rows")], AS_OF,
+        built_catalogue(spark, sf_dir), gazetteer(spark), _target(spark, sf_dir), _old_flags(spark, sf_dir), steps=STEPS,
+    )
+    return run.normalized.select("vag_id", "title", "cargo_id")
+
+
+def normalize_pending_cvs_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CV routine on the 31 windows."""
+    run = plan.run_cvs_routine(
+        *[view(spark, sf_dir, name) for name in ("users", "cvs", "cv_role_rows")], AS_OF,
+        built_catalogue(spark, sf_dir), gazetteer(spark), _roles_of(spark, sf_dir, "cv_role_rows", "cur_id"),
+        view(spark, sf_dir, "user_flags"), steps=STEPS,
+    )
+    return run.normalized.select("cur_id", "title", "cargo_id")
+
+
 def normalize_pending_cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = plan.normalize_pending_cvs(
         pending_cvs(spark, sf_dir), built_catalogue(spark, sf_dir), gazetteer(spark),
@@ -178,12 +211,17 @@ QUERIES = {
     "values_union": values_union,
     "upsert_flags": upsert_flags,
     "job_index_messages": job_index_messages,
+    "job_index_messages_sparse": job_index_messages_sparse,
     "user_index_messages": user_index_messages,
     "rollback_users": rollback_users,
     "rollback_jobs": rollback_jobs,
     "normalize_pending": normalize_pending,
     "normalize_pending_flags": normalize_pending_flags,
     "normalize_pending_counts": normalize_pending_counts,
+    "normalize_pending_roles": normalize_pending_roles,
+    "normalize_pending_messages": normalize_pending_messages,
+    "normalize_pending_windowed": normalize_pending_windowed,
+    "normalize_pending_cvs_windowed": normalize_pending_cvs_windowed,
     "normalize_pending_cvs": normalize_pending_cvs,
     "normalize_pending_work_exp": normalize_pending_work_exp,
 }
@@ -210,12 +248,13 @@ _FLAGGED = (
 
 def _messages(ids: str, column: str, item: str, start: str) -> str:
     return (
-        f"SELECT span, batch, '{start}' || string_agg({item}, ',' ORDER BY id) || ']}}' AS message FROM ("
-        f"SELECT id, span, CAST((row_number() OVER (PARTITION BY span ORDER BY id) - 1) // {fv.MESSAGE_BATCH} AS INT) AS batch "
-        f"FROM (SELECT DISTINCT {column} AS id, {column} // {fv.READ_BATCH} AS span FROM {ids})) GROUP BY span, batch"
+        f"SELECT batch, '{start}' || string_agg({item}, ',' ORDER BY id) || ']}}' AS message FROM ("
+        f"SELECT id, (row_number() OVER (ORDER BY id) - 1) // 100 AS batch "
+        f"FROM (SELECT DISTINCT {column} AS id FROM {ids})) GROUP BY batch"
     )
 
 
+_JOB_ITEM, _JOB_START = "'{\"vag_id\":' || id || ',\"new_status\":\"A\"}'", "{\"events\":["
 _BACK = "SELECT '{kind}' AS kind, r.{key} AS id, CASE WHEN f.{key} IS NOT NULL THEN 0 ELSE cargo_id END AS cargo_id, " \
     "f.{key} IS NOT NULL AS rolled_back FROM {table} r LEFT JOIN (SELECT DISTINCT {key} FROM user_flags " \
     "WHERE curexpprof_id {which} 0 AND " + _FLAGGED + ") f ON f.{key} = r.{key}"
@@ -279,7 +318,10 @@ ORACLES = {
     ),
     "job_index_messages": _messages(
         "(SELECT l_orderkey AS vag_id FROM lineitem WHERE l_returnflag <> 'R')", "vag_id",
-        "'{\"vag_id\":' || id || ',\"new_status\":\"A\"}'", "{\"events\":["
+        _JOB_ITEM, _JOB_START
+    ),
+    "job_index_messages_sparse": _messages(
+        "(SELECT l_orderkey * 10007 AS vag_id FROM lineitem WHERE l_returnflag <> 'R')", "vag_id", _JOB_ITEM, _JOB_START
     ),
     "user_index_messages": _messages("(SELECT o_custkey AS usr_id FROM orders)", "usr_id", "CAST(id AS VARCHAR)", "{\"usr_ids\":["),
     "rollback_users": with_views(
@@ -303,9 +345,31 @@ ORACLES = {
     "normalize_pending_counts": _run_sql(
         "jobs",
         f"SELECT count(*) AS total, count(*) FILTER (job_id IN {_ELIGIBLE}) AS eligible, "
-        f"count(*) FILTER (job_id IN {_ELIGIBLE} AND role_id IS NOT NULL) AS normalized "
+        f"count(*) FILTER (job_id IN {_ELIGIBLE} AND role_id IS NOT NULL) AS normalized, "
+        f"count(*) FILTER (job_id IN {_ELIGIBLE} AND role_id IS NOT NULL) AS written "
         "FROM pending LEFT JOIN roles_found USING (title)",
     ),
+    "normalize_pending_roles": _run_sql(
+        "jobs",
+        f", done AS ({_DONE}), new AS (SELECT vag_id, min(cargo_id) AS new FROM done GROUP BY vag_id), {_TARGET} "
+        "SELECT vag_id, coalesce(new, cargo_id) AS cargo_id FROM target LEFT JOIN new USING (vag_id) "
+        "UNION ALL SELECT vag_id, new FROM new WHERE vag_id NOT IN (SELECT vag_id FROM target)",
+    ),
+    "normalize_pending_messages": _run_sql(
+        "jobs", f", done AS ({_DONE}) " + _messages("done", "vag_id", _JOB_ITEM, _JOB_START)
+    ),
+    "normalize_pending_windowed": _run_sql(
+        "jobs",
+        "SELECT p.job_id AS vag_id, p.title, f.role_id AS cargo_id FROM pending p JOIN roles_found f USING (title) "
+        f"WHERE p.job_id IN (SELECT o_orderkey FROM orders WHERE o_orderdate > {_NOW_SQL} - INTERVAL 168 DAY "
+        f"AND o_orderdate <= {_NOW_SQL})",
+    ),
+    "normalize_pending_cvs_windowed": _run_sql(
+        "cvs",
+        "SELECT p.cv_id AS cur_id, p.title, f.role_id AS cargo_id FROM pending p JOIN roles_found f USING (title) "
+        f"WHERE p.cv_id IN (SELECT o_orderkey FROM orders WHERE o_orderdate > {_NOW_SQL} - INTERVAL 12 MONTH "
+        f"AND o_orderdate <= {_NOW_SQL})",
+    ),
     "normalize_pending_cvs": _run_sql(
         "cvs",
         ", done AS (SELECT cv_id AS cur_id, min(role_id) AS new FROM pending JOIN roles_found USING (title) GROUP BY cv_id) "
