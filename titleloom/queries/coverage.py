@@ -68,7 +68,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     remote = lines.filter("l_linestatus = 'O'").selectExpr(
         title, "p_name AS normalized_role", "CASE WHEN l_returnflag = 'N' THEN 0 ELSE p_size END AS role_id", seq
     )
-    local = lines.filter("l_returnflag <> 'R' AND l_discount > 0.03").selectExpr(
+    local = lines.filter("l_returnflag <> 'R'").selectExpr(
         title, "CASE WHEN p_size % 2 = 0 THEN p_name END AS normalized_role",
         "CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_tax > 0.06 THEN p_size + 1 ELSE p_size END AS role_id", seq,
     )
@@ -140,7 +140,7 @@ WITH remote AS (SELECT {_TITLE} AS title, arg_max({{'name': p_name, 'id': CASE W
     {_SEQ}) AS r FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'O' GROUP BY 1),
 local AS (SELECT {_TITLE} AS title, arg_max({{'name': CASE WHEN p_size % 2 = 0 THEN p_name END, 'id': CASE WHEN l_linenumber % 3 = 0
     THEN NULL WHEN l_tax > 0.06 THEN p_size + 1 ELSE p_size END}}, {_SEQ}) AS r FROM lineitem JOIN part ON l_partkey = p_partkey
-    WHERE l_returnflag <> 'R' AND l_discount > 0.03 GROUP BY 1),
+    WHERE l_returnflag <> 'R' GROUP BY 1),
 both_runs AS (SELECT coalesce(a.title, b.title) AS title, nullif(a.r.id, 0) AS x, a.r.name AS xn, nullif(b.r.id, 0) AS y, b.r.name AS yn
   FROM remote a FULL OUTER JOIN local b ON a.title = b.title),
 compared AS (SELECT title, CASE WHEN x IS NULL THEN '-' ELSE x || ': ' || coalesce(xn, '-') END AS remote,

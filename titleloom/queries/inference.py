@@ -54,11 +54,8 @@ def infer_job_roles_by_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _job_answers(spark: SparkSession, sf_dir: str, use_contacts: bool) -> DataFrame:
-    """Only users of large parts were contacted."""
-    large = table(spark, sf_dir, "part").filter("p_size > 20").select(F.col("p_partkey").alias("vag_id"))
-    contacts = view(spark, sf_dir, "contacts").join(large, "vag_id", "left_semi")
     return inf.infer_job_roles(
-        _job_ids(spark, sf_dir), contacts, view(spark, sf_dir, "applies"), user_roles(spark, sf_dir), use_contacts,
+        _job_ids(spark, sf_dir), view(spark, sf_dir, "contacts"), view(spark, sf_dir, "applies"), user_roles(spark, sf_dir), use_contacts,
     )
 
 
@@ -142,7 +139,7 @@ ORACLES = {
     "infer_job_roles_by_apply": with_views(_VIEWS, f", {_USER_ROLES}, {_BY_APPLY} SELECT * FROM by_apply {_OF_PARTS}"),
     "infer_job_roles": with_views(
         _VIEWS,
-        f", {_USER_ROLES}, {_BY_APPLY}, {_by_contact('(SELECT * FROM contacts WHERE vag_id IN (SELECT p_partkey FROM part WHERE p_size > 20))')} "
+        f", {_USER_ROLES}, {_BY_APPLY}, {_by_contact('contacts')} "
         "SELECT p_partkey AS job_id, coalesce(c.role_id, a.role_id, 0) AS role_id FROM part "
         "LEFT JOIN by_contact c ON c.job_id = p_partkey LEFT JOIN by_apply a ON a.job_id = p_partkey",
     ),

@@ -189,7 +189,7 @@ def normalize_pending_work_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = plan.normalize_pending_work_exp(
         pending_work_exp(spark, sf_dir), built_catalogue(spark, sf_dir), gazetteer(spark),
         _roles_of(spark, sf_dir, "work_exp_role_rows", "curexpprof_id"),
-        view(spark, sf_dir, "work_experiences").filter("cargo NOT LIKE 'small%'"),
+        view(spark, sf_dir, "work_experiences"),
         view(spark, sf_dir, "user_flags"), NOW, steps=STEPS,
     )
     return run.roles
@@ -381,7 +381,7 @@ ORACLES = {
         ", done AS (SELECT work_exp_id AS curexpprof_id, min(role_id) AS new FROM pending JOIN roles_found USING (title) "
         "GROUP BY work_exp_id) SELECT r.curexpprof_id, coalesce(new, cargo_id) AS cargo_id FROM work_exp_role_rows r "
         "LEFT JOIN done USING (curexpprof_id) UNION ALL SELECT curexpprof_id, new FROM done "
-        "WHERE curexpprof_id IN (SELECT curexpprof_id FROM work_experiences WHERE cargo NOT LIKE 'small%') "
+        "WHERE curexpprof_id IN (SELECT curexpprof_id FROM work_experiences) "
         "AND curexpprof_id NOT IN (SELECT curexpprof_id FROM work_exp_role_rows)",
     ),
 }
