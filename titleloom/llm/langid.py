@@ -15,8 +15,10 @@ CENTROIDS = 4
 # Rows per language that the centroids are fitted on; statistics of n-grams come from all labelled rows.
 FITTED_ROWS = 400
 UNDETERMINED = "und"
-# A document is rejected beyond this multiple of the spread of its centroid's own rows.
-SPREAD = 8.0
+# A document is rejected below this share of the median cosine of fitted texts of like length.
+SHARE = 0.5
+# Length classes: powers of two of the number of n-grams.
+CLASSES = 24
 ROUNDS = 12
 
 
@@ -74,7 +76,7 @@ def _unit(counts, weights):
 
 @dataclass
 class Model:
-    """Inverse document frequencies, unit centroids with their language, and the least cosine of each language."""
+    """Inverse document frequencies, unit centroids with their language, and the least cosine of each language by length."""
 
     languages: list[str]
     weights: object
@@ -142,6 +144,30 @@ def _cluster(vectors, count: int):
     return centers
 
 
+def _windows(text: str) -> Iterator[str]:
+    """The text, and of each power of two below its length the first characters and those in its middle."""
+    yield text
+    size = 1
+    while size < len(text):
+        yield text[:size]
+        yield text[(len(text) - size) // 2 :][:size]
+        size *= 2
+
+
+def _least(texts: list[str], weights, centers):
+    """Per length class the share of the median cosine of texts of that length, linear in between."""
+    import numpy as np
+
+    found: dict[int, list[float]] = {}
+    for text in texts:
+        for counts in map(ngram_counts, _windows(text)):
+            if counts is not None:
+                cosine = float((centers @ _unit(counts, weights)).max())
+                found.setdefault(int(np.rint(np.log2(counts.sum()))), []).append(cosine)
+    classes = sorted(found)
+    return np.interp(np.arange(CLASSES), classes, [SHARE * float(np.median(found[c])) for c in classes])
+
+
 def fit(labelled: DataFrame, rows: int = FITTED_ROWS, centroids: int = CENTROIDS) -> Model:
     """A model from ``text, lang`` (``doc_id`` only spreads the sample). Rows without language or letters teach nothing.
 
@@ -157,21 +183,19 @@ def fit(labelled: DataFrame, rows: int = FITTED_ROWS, centroids: int = CENTROIDS
     def cluster(rows):
         import pandas as pd
 
-        vectors = [_unit(c, weights) for c in map(ngram_counts, rows["text"]) if c is not None]
-        if not vectors:
-            return pd.DataFrame({"lang": [], "centers": [], "mean": [], "spread": []})
-        stack = np.stack(vectors)
-        centers = _cluster(stack, centroids)
-        best = (stack @ centers.T).max(axis=1)
+        counted = [(t, c) for t, c in zip(rows["text"], map(ngram_counts, rows["text"]), strict=True) if c is not None]
+        if not counted:
+            return pd.DataFrame({"lang": [], "centers": [], "least": []})
+        centers = _cluster(np.stack([_unit(c, weights) for _, c in counted]), centroids)
+        least = _least([t for t, _ in counted], weights, centers)
         return pd.DataFrame(
-            {"lang": rows["lang"].iloc[:1], "centers": [[c.tolist() for c in centers]], "mean": float(best.mean()),
-             "spread": float(best.std())}
-        )
+            {"lang": rows["lang"].iloc[:1], "centers": [[c.tolist() for c in centers]], "least": [least.tolist()]}
+        )
 
     learned = sorted(
         _sample(known, rows)
         .groupBy("lang")
-        .applyInPandas(cluster, "lang string, centers array<array<float>>, mean double, spread double")
+        .applyInPandas(cluster, "lang string, centers array<array<float>>, least array<double>")
         .collect(),
         key=lambda r: r["lang"],
     )
@@ -182,7 +206,7 @@ def fit(labelled: DataFrame, rows: int = FITTED_ROWS, centroids: int = CENTROIDS
         weights,
         np.array([c for r in learned for c in r["centers"]], np.float32).reshape(-1, DIMENSIONS),
         np.array(owner, np.int64),
-        np.array([max(0.05, r["mean"] - SPREAD * max(r["spread"], 0.01)) for r in learned]),
+        np.array([r["least"] for r in learned], np.float64).reshape(-1, CLASSES),
     )
 
 
@@ -191,8 +215,8 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame
 
     The language of the centroid with the largest cosine; ties go to the first language by name. ``score`` is that
     cosine, 0 to 1. A document is rejected if it has no letters (then ``und`` and 0), or if its cosine is less than
-    the least of its language: the mean over the rows fitted on less ``SPREAD`` standard deviations. Short texts
-    have smaller cosines, so the bound falls with the number of n-grams. Without any language all are ``und``.
+    the least of its language: ``SHARE`` of the median over fitted texts, whole and cut, with as many n-grams. Short
+    texts have smaller cosines, so each length has its own bound. Without any language all are ``und``.
     """
     dropped = {"lang_pred", "score", "rejected"} | (set() if keep_text else {"text"})
     kept = [c for c in docs.columns if c not in dropped]
@@ -212,8 +236,7 @@ def predict(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame
                 at = int(cosines.argmax())
                 language = int(model.owner[at])
                 score = min(1.0, max(0.0, float(cosines[at])))
-                grams = float(counts.sum())
-                bound = model.least[language] * min(1.0, np.sqrt(grams / 600.0))
+                bound = np.interp(np.log2(counts.sum()), np.arange(CLASSES), model.least[language])
                 names.append(model.languages[language]), scores.append(score), out.append(bool(score < bound))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], pa.array(names, pa.string()), pa.array(scores, pa.float64()),
