@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,13 +90,11 @@ def _bare(text: str) -> Iterator[tuple[int, int, int]]:
 def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The weak parts of a text that overlap no strong form; of equal ones the earlier kind."""
     taken = sorted((b, u) for b, _, u in base)
-    free, k, end = [], 0, -1
-    for begin, kind, until in sorted({*_assigned(text), *_bare(text)}):
-        while k < len(taken) and taken[k][0] < until:
-            end, k = max(end, taken[k][1]), k + 1
-        if begin >= end:
-            free.append((begin, kind, until))
-    return free
+    begins = [b for b, _ in taken]
+    # The furthest end of the strong forms that begin before a place.
+    ends = [-1, *accumulate((u for _, u in taken), max)]
+    found = sorted({*_assigned(text), *_bare(text)})
+    return [(b, kind, u) for b, kind, u in found if b >= ends[bisect_left(begins, u)]]
 
 
 def _find(batches: Iterator) -> Iterator:
