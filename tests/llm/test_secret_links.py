@@ -17,3 +17,10 @@ def test_address_inside_an_url_links_the_password(spark):
     rows = spark.createDataFrame([(1, TEXT)], "doc_id long, text string")
     found = secrets.scan_secrets(rows).first()["spans"]
     assert (4, 44, 61) in [(s["kind"], s["begin"], s["until"]) for s in found]
+
+
+def test_parts_exactly_at_reach_are_linked(spark):
+    """With a reach of 200 bins are 400 wide: the endpoint ends at a border, the password's range begins there."""
+    rows = [(1, 5, 390, 400, 0), (1, 4, 600, 610, 0), (2, 5, 390, 399, 0), (2, 4, 600, 610, 0)]
+    parts = spark.createDataFrame(rows, "row_id long, kind int, begin long, until long, scope int")
+    assert {(r["row_id"], r["kind"]) for r in secrets.link_parts(parts, 200).collect()} == {(1, 5), (1, 4)}

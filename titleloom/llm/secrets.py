@@ -125,7 +125,7 @@ def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
 
     An access identifier and an endpoint need a secret (weak, assigned or hexadecimal), a weak secret needs an access
     identifier (weak or strong) or an endpoint. Two parts are within reach if at most ``reach`` code points lie
-    between them. The interval join is an equality join on bins of the text: a part stands in the bins that it covers,
+    between them. The interval join is an equality join on bins of the text: a part stands in the bins that it covers or ends at,
     its counterpart's search range in all that it touches. A bin holds few parts as they do not overlap within a
     kind, so no more pairs arise than the text is long, and a semi join returns each part once.
     """
@@ -134,7 +134,7 @@ def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
     weak = _bins(parts.filter("kind >= 3"), F.greatest(F.col("begin") - reach, F.lit(0)), F.col("until") + reach, width)
     wanted = weak.withColumn("wants", F.explode(F.when(F.col("kind") == 4, F.array(F.lit(1), F.lit(2))).otherwise(
         F.array(F.lit(0)))))
-    offered = _bins(parts, F.col("begin"), F.col("until") - 1, width).select(
+    offered = _bins(parts, F.col("begin"), F.col("until"), width).select(
         F.col("row_id").alias("o_row"),
         F.col("scope").alias("o_scope"),
         F.col("bin").alias("o_bin"),
@@ -159,7 +159,8 @@ def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
     A span is ``(kind, begin, until)`` in code points, the end exclusive; ``kind`` indexes ``KINDS``. A null or
     empty text has none. Rows are told apart by a number of their own, so repeated doc_ids and null ones are no
-    matter; extra columns are not read. Scopes are the parts of a text between empty lines.
+    matter; extra columns are not read. Scopes are the parts of a text between empty lines; parts are linked inside one
+    scope and with at most ``reach`` code points between them.
     """
     found = staged(
         docs.select("doc_id", "text")
