@@ -99,28 +99,30 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     """Every document with its group of equal texts: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z; a null text is empty, and empty texts are equal. The
-    largest doc_id of a group stays. Rows equal in doc_id and text count once; rows that share a doc_id but not the
-    text are documents of their own. A null doc_id is smaller than any other. Columns beside ``doc_id`` and
+    largest doc_id of a group stays. One row per input row: rows equal in doc_id and text are named once, but each counts
+    in ``group_size`` and comes back; rows that share a doc_id but not the text are documents of their own. A null doc_id is smaller than any other. Columns beside ``doc_id`` and
     ``text`` are not read.
     """
     lowered = docs.select(F.col("doc_id"), ascii_lower(F.col("text")).alias("text"))
     content = F.col("text").cast("binary")
-    names = staged(block_names(lowered, content, block_bytes), "identities")
-    groups = staged(
-        names.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")),
-        "groups",
-    )
-    grouped = join_counted(names, groups, ["n_blocks", "name"], "group_size")
-    digests = lowered.select(
+    names = block_names(lowered, content, block_bytes)
+    digests = lowered.groupBy(
         F.col("doc_id").alias("__doc_id"),
         F.xxhash64(content).alias("__text_key"),
         F.sha2(content, 256).alias("text_sha256"),
-    ).dropDuplicates(["__doc_id", "__text_key"])
-    joined = grouped.join(
-        digests,
-        grouped["doc_id"].eqNullSafe(digests["__doc_id"]) & (grouped["text_key"] == digests["__text_key"]),
+    ).agg(F.count("*").alias("copies"))
+    same = names["doc_id"].eqNullSafe(digests["__doc_id"]) & (names["text_key"] == digests["__text_key"])
+    documents = staged(
+        names.join(digests, same).select("doc_id", "n_blocks", "name", "copies", "text_sha256"), "identities"
+    )
+    groups = staged(
+        documents.groupBy("n_blocks", "name").agg(
+            F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"), F.count("*").alias("documents")
+        ),
+        "groups",
     )
-    return joined.select(
+    grouped = join_counted(documents, groups, ["n_blocks", "name"], "documents")
+    return grouped.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
         "doc_id",
         "keep_id",
         "group_size",
