@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 
+import corpus_pipeline
 from titleloom.llm import block_names
 from titleloom.llm.queries import operators as Q
 
@@ -19,3 +20,13 @@ def test_block_names_count_repeated_rows_as_the_sql(spark, tmp_path):
     base.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
     assert found == Counter(base.execute(Q.ORACLES["op4_block_naming"]).fetchall())
     assert sum(found.values()) == len(rows)
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    """doc_id 1 stands for the first component; its other row is a copy of document 0."""
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, a), (2, a), (1, b), (0, b), (None, a), (None, "alone"), (5, "five"), (5, "five")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "")
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (0, b), (None, "alone"), (5, "five")])
