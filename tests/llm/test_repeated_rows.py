@@ -6,7 +6,7 @@ from collections import Counter
 
 import duckdb
 
-import corpus_pipeline
+from titleloom.llm import pipeline as corpus_pipeline
 from titleloom.llm import block_names
 from titleloom.llm.queries import operators as Q
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-import corpus_pipeline
+from titleloom.llm import pipeline as corpus_pipeline
 from titleloom.llm import mixing
 from titleloom.llm.common import read_documents
 from titleloom.llm.queries.operators import word_count

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,15 +165,17 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``doc_id, fingerprint, component_id``: documents linked by fingerprints at most ``radius`` bits apart.
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The ``keys`` and ``fingerprint, component_id, root``: documents linked by fingerprints at most ``radius`` bits apart.
 
-    ``component_id`` is the smallest doc_id that can be reached over links, the own included. Documents of equal
+    ``component_id`` is the smallest doc_id that can be reached over links, the own included; ``root`` names the
+    component also where doc_ids repeat. Documents of equal
     fingerprint are linked, also those without words (fingerprint 0; null text: no words). Work on pairs is done once per distinct
     fingerprint. One row per input row; rows that repeat a doc_id are linked only if their texts are; a
-    null doc_id counts for a component only if it has no other. Extra columns are not read.
+    null doc_id counts for a component only if it has no other. Extra columns are not read; further ``keys`` are
+    passed through.
     """
-    printed = staged(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
+    printed = staged(fingerprints(docs.select(*dict.fromkeys([*keys, "doc_id", "text"])), shingle), "fingerprints")
     distinct = staged(
         printed.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "distinct"
     )
@@ -189,6 +191,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
         named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints")), "groups"
     )
     classes = staged(join_counted(named, groups, ["root"], "prints"), "classes").select(
-        "fingerprint", "copies", "component_id"
+        "fingerprint", "copies", "component_id", "root"
     )
-    return join_counted(printed, classes, ["fingerprint"], "copies").select("doc_id", "fingerprint", "component_id")
+    return join_counted(printed, classes, ["fingerprint"], "copies").select(*keys, "fingerprint", "component_id", "root")

@@ -10,15 +10,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def llm_queries() -> dict[str, Query]:
-    import corpus_pipeline
+    from titleloom.llm import pipeline
     from titleloom.llm.queries import operators
 
-    return {**operators.QUERIES, "pipeline": corpus_pipeline.run}
+    return {**operators.QUERIES, "pipeline": pipeline.run}
 
 
 def llm_oracles() -> dict[str, str]:
-    import corpus_pipeline
+    from titleloom.llm import pipeline
     from titleloom.llm.queries import operators
 
-    sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    sql = {"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {}
     return {**operators.ORACLES, **sql}
