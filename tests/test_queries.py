@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, on the smallest data folder."""
+"""Every query of the library against its SQL, on the smallest data folder."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import duckdb
 import pytest
 
 import check
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from titleloom.queries import all_oracles, all_queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no data folder")
@@ -27,12 +28,12 @@ def test_the_flagship_query(spark):
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(all_oracles()) == set(all_queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_its_sql(spark, base, name):
-    frame = queries()[name](spark, FOLDER)
+    frame = all_queries()[name](spark, FOLDER)
     found = check._sorted_rows(frame.columns, [tuple(r) for r in frame.collect()])
-    result = base.execute(oracle_sql()[name])
+    result = base.execute(all_oracles()[name])
     assert found == check._sorted_rows([d[0] for d in result.description], result.fetchall())
