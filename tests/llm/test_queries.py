@@ -19,6 +19,8 @@ HELD_AGAINST = {
     "op7_nearest_centroid": "test_operators.py::test_language_of_held_out_rows",
     "op8_covering_simhash": "test_queries.py::test_covering_query_against_all_pairs",
     "op10_entropy_balancing": "test_operators.py::test_mixture_meets_its_targets",
+    "op11_byte_bpe": "test_byte_bpe.py::test_query_against_the_library",
+    "op12_fill_in_middle": "test_fill_middle.py::test_query_against_the_plain_version",
     "pipeline": "test_pipeline.py::test_stages",
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titleloom.llm import (
-    block_names, bwt_merge, covering, langid, line_windows, mixing, packing, rendezvous, secrets, weighted_sampling,
+    block_names, bwt_merge, byte_bpe, covering, fill_middle, langid, line_windows, mixing, packing, rendezvous, secrets, weighted_sampling,
 )
 from titleloom.llm.common import read_documents
 
@@ -92,6 +92,37 @@ def op10_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
 
 
+def rank_path() -> str:
+    """Where this machine keeps the ranks that the query encodes with; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    coded = byte_bpe.decode_ids(byte_bpe.encode_texts(docs, rank_path(), public_tokenizers.PATTERN), rank_path())
+    numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(read_documents(spark, sf_dir))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_weighted_sampling": op2_weighted_sampling,
@@ -103,6 +134,8 @@ QUERIES = {
     "op8_covering_simhash": op8_covering_simhash,
     "op9_line_windows": op9_line_windows,
     "op10_entropy_balancing": op10_entropy_balancing,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLES = {
