@@ -21,6 +21,7 @@ HELD_AGAINST = {
     "op10_entropy_balancing": "test_operators.py::test_mixture_meets_its_targets",
     "op11_byte_bpe": "test_byte_bpe.py::test_query_against_the_library",
     "op12_fill_in_middle": "test_fill_middle.py::test_query_against_the_plain_version",
+    "op13_conversation_repair": "test_conversations.py::test_query_against_the_plain_version",
     "pipeline": "test_pipeline.py::test_stages",
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titleloom.llm import (
-    block_names, bwt_merge, byte_bpe, covering, fill_middle, langid, line_windows, mixing, packing, rendezvous, secrets, weighted_sampling,
+    block_names, bwt_merge, byte_bpe, conversations, covering, fill_middle, langid, line_windows, mixing, packing, rendezvous, secrets, weighted_sampling,
 )
 from titleloom.llm.common import read_documents
 
@@ -123,6 +123,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.summarize(conversations.repair_conversations(damaged))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_weighted_sampling": op2_weighted_sampling,
@@ -136,6 +141,7 @@ QUERIES = {
     "op10_entropy_balancing": op10_entropy_balancing,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES = {
