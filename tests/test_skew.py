@@ -104,3 +104,46 @@ def test_first_per_key_equals_brute_force(spark):
     for key in (1, 2, 3):
         expected = sorted(((t, i) for k, t, i in data if k == key), reverse=True)[:200]
         assert [(r.ts, r.id) for r in sorted((r for r in found if r.key == key), key=lambda r: r.rank)] == expected
+
+
+def both_sides(spark):
+    """One key holds a third of both sides; some keys are null."""
+    key = "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('k', id % 97) END AS key"
+    return spark.range(6000).selectExpr("id AS a", key), spark.range(3000).selectExpr("id AS b", key)
+
+
+def test_many_to_many_join_equals_the_plain_join(spark):
+    left, right = both_sides(spark)
+    found = skew.join_both_hot(left, right, ["key"], ["a"], ["b"])
+    plain = left.join(right, "key")
+    assert found.columns == plain.columns
+
+    def digest(frame):
+        return frame.agg(F.count("*"), F.sum(F.xxhash64("key", "a", "b").cast("decimal(38,0)"))).first()
+
+    assert digest(found) == digest(plain)
+    assert skew.join_both_hot(left.filter("a < 0"), right, ["key"], ["a"], ["b"]).count() == 0
+    assert skew.join_both_hot(left, right.filter("b < 0"), ["key"], ["a"], ["b"]).count() == 0
+
+
+def test_pairs_of_a_hot_key_are_spread(spark):
+    """With one key in a third of both sides the largest task makes at most twice the pairs of the median one."""
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        left, right = both_sides(spark)
+
+        def sizes(joined):
+            pairs = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            return sorted([r["count"] for r in pairs] + [0] * (16 - len(pairs)))
+
+        spread = sizes(skew.join_both_hot(left, right, ["key"], ["a"], ["b"]))
+        plain = sizes(left.join(right.hint("merge"), "key"))
+        assert sum(spread) == sum(plain)
+        assert plain[-1] > 0.9 * sum(plain)
+        assert spread[-1] <= 2 * spread[8]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

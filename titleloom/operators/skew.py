@@ -23,18 +23,21 @@ SALTS = 16
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-_HASH, _SALT, _REPEATS = "__hash", "__salt", "__repeats"
+# Cells per task for the pairs of a many-to-many join: enough that their chance placement evens out.
+CELLS = 8
+
+_HASH, _SALT, _REPEATS, _COUNT = "__hash", "__salt", "__repeats", "__count"
+_ROWS, _COLUMNS, _ROW, _COLUMN = "__rows", "__columns", "__row", "__column"
 
 
 def _hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys)
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``__hash, __repeats`` of keys too frequent for one task.
+def frequent_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``__hash, __count, n``: about how often the most frequent keys stand, and the number of all rows.
 
-    A key is split so that each piece is about as large as an average shuffle partition. Frequencies come
-    from a sketch kept per task; they only decide how work is spread, never what a join returns.
+    Frequencies come from a sketch kept per task; they only decide how work is spread, never what a join returns.
     """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = min(max(HOT_KEYS, tasks), MOST_HOT_KEYS)
@@ -47,13 +50,55 @@ def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     top = per_group.groupBy(F.lit(0).alias("all")).agg(
         F.expr(f"approx_top_k_combine(sketch, {4 * most})").alias("sketch"), F.sum("n").alias("n")
     )
+    return top.select("n", F.expr(f"explode(approx_top_k_estimate(sketch, {most}))").alias("top")).select(
+        F.col("top.item").alias(_HASH), F.col("top.count").alias(_COUNT), "n"
+    )
+
+
+def hot_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``__hash, __repeats`` of keys too frequent for one task: each piece is about as large as an average partition."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        top.select("n", F.expr(f"explode(approx_top_k_estimate(sketch, {most}))").alias("top"))
-        .select(F.col("top.item").alias(_HASH), F.ceil(F.col("top.count") * tasks / F.col("n")).cast("int").alias(_REPEATS))
+        frequent_keys(rows, keys)
+        .select(_HASH, F.ceil(F.col(_COUNT) * tasks / F.col("n")).cast("int").alias(_REPEATS))
         .filter(F.col(_REPEATS) > 1)
     )
 
 
+def key_grid(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``__hash, __rows, __columns`` of keys whose pairs, or whose rows of one side, are too many for one task.
+
+    A key with ``a`` rows on the left and ``b`` on the right is cut into cells of about equal work: the left is dealt to
+    ``__rows`` parts, the right to ``__columns`` parts, and each cell joins one part with one part. Parts
+    are cut as ``a : b``, which moves the fewest rows for that many cells. A key that a sketch does not name is rare on
+    that side and counts once.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(max(HOT_KEYS, tasks), MOST_HOT_KEYS)
+    a = frequent_keys(left, keys).toDF(_HASH, "a", "n")
+    b = frequent_keys(right, keys).toDF(_HASH, "b", "m")
+    # Small by construction: at most ``most`` keys a side. Written, since both sides of the join read the result.
+    both = written_once(
+        a.join(b.hint("merge"), _HASH, "full").select(
+            _HASH, F.coalesce("a", F.lit(1)).alias("a"), F.coalesce("b", F.lit(1)).alias("b"), "n", "m"
+        ),
+        "frequent-keys",
+    )
+    totals = both.agg(F.sum(F.col("a").cast("double") * F.col("b")), F.max("n"), F.max("m")).first()
+    pairs, n, m = totals[0] or 0.0, totals[1] or 0, totals[2] or 0
+    # Keys that no sketch names make pairs too, about as many as there are rows.
+    share = max(1.0, (pairs + n + m) / (tasks * CELLS))
+    cells = F.greatest(F.lit(1.0), F.ceil(F.col("a").cast("double") * F.col("b") / share))
+    by_pairs = F.least(cells, F.ceil(F.sqrt(cells * F.col("a") / F.col("b"))))
+    by_size = F.ceil(F.col("a") * tasks / F.lit(max(1, n)))
+    grid = both.select(_HASH, "a", "b", cells.alias("cells"), F.greatest(by_pairs, by_size).cast("int").alias(_ROWS))
+    columns = F.greatest(F.ceil(F.col("cells") / F.col(_ROWS)), F.ceil(F.col("b") * tasks / F.lit(max(1, m))))
+    return (
+        grid.select(_HASH, _ROWS, columns.cast("int").alias(_COLUMNS))
+        .filter((F.col(_ROWS) > 1) | (F.col(_COLUMNS) > 1))
+    )
+
+
 def _spread(rows: DataFrame, keys: Sequence[str], spread: Sequence[str] | None) -> Column:
     """A number from the contents of a row: a task that runs again gives every row the same one."""
     # Spark hashes every type but maps.
@@ -94,6 +139,33 @@ def join_hot(
     return _merged(salted, repeated, [*keys, _SALT], how).drop(_SALT)
 
 
+def join_both_hot(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], by_left: Sequence[str], by_right: Sequence[str]
+) -> DataFrame:
+    """An inner join of two sides that may both repeat a key many times.
+
+    Keys with many pairs are cut into a grid of cells (``key_grid``): a left row goes to one row of the grid, by the
+    contents of ``by_left``, and to all its columns; a right row to one column, by ``by_right``, and to all rows. Each
+    pair meets in one cell. All other keys are joined as usual. Both sides are read twice.
+    """
+    grid = F.broadcast(written_once(key_grid(left, right, keys), "grid"))
+
+    def dealt(rows: DataFrame, own: str, parts: str, spread: Sequence[str], other: str, others: str) -> DataFrame:
+        number = F.pmod(F.xxhash64(F.lit("cell"), *spread), F.coalesce(F.col(parts), F.lit(1)))
+        return (
+            rows.withColumn(_HASH, _hash(keys))
+            .join(grid, _HASH, "left")
+            .withColumn(own, number.cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(others), F.lit(1)) - 1)))
+            .drop(_HASH, _ROWS, _COLUMNS)
+        )
+
+    cells = [*keys, _ROW, _COLUMN]
+    on_left = dealt(left, _ROW, _ROWS, by_left, _COLUMN, _COLUMNS)
+    on_right = dealt(right, _COLUMN, _COLUMNS, by_right, _ROW, _ROWS)
+    return _merged(on_left, on_right, cells, "inner").drop(_ROW, _COLUMN)
+
+
 def _join_counted(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     counted = rows.groupBy(*keys).agg(F.count("*").alias(_REPEATS))
     joined = _merged(counted, lookup, keys, how)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from titleloom import fixed_values as fv
 from titleloom.functions.edit_distance import edits_up_to_two, letters
 from titleloom.functions.text import split_words
-from titleloom.operators.skew import join_hot
+from titleloom.operators.skew import join_both_hot, join_hot
 from titleloom.session import written_once
 
 # A word of n letters has up to 1 + n + n(n-1)/2 deletion keys. Longer vocabulary words are found by
@@ -133,7 +133,9 @@ def corrections(words: DataFrame, vocabulary: DataFrame, dictionary: DataFrame |
     wanted = unknown.select(
         "word", "word_letters", F.explode(_key_hashes(lookup_keys(F.col("word")))).alias("key")
     )
-    near = wanted.join(offered.unionByName(_best_short_words(known)), "key")
+    # Short keys are shared by many words on both sides.
+    offered = offered.unionByName(_best_short_words(known))
+    near = join_both_hot(wanted, offered, ["key"], ["word"], ["corrected"])
     distance = edits_up_to_two(*map(F.col, ("word", "corrected", "word_letters", "corrected_letters")))
     candidates = near.withColumn("distance", distance)
     # Pairs further apart have no distance and no order, and so are never the smallest.
