@@ -5,9 +5,11 @@ from __future__ import annotations
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from titleloom.functions.edit_distance import edits_up_to_two
+from titleloom.operators import typos
 from titleloom.operators.typos import MAX_DELETION_LENGTH, correct_typos, corrections
 
 
@@ -61,7 +63,10 @@ def check(spark, vocabulary, words):
     assert found == {w: b for w, b in expected.items() if b}
 
 
-def test_corrections_equal_brute_force(spark):
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_corrections_equal_brute_force(spark, monkeypatch, rows):
+    """With the vocabulary's keys split over a grid of cells, and broadcast."""
+    monkeypatch.setattr(typos, "BROADCAST_ROWS", rows)
     rng = random.Random(2)
     letters = "abcé"
     vocabulary = {"".join(rng.choices(letters, k=rng.randint(1, 9))): rng.randint(1, 4) for _ in range(250)}

@@ -71,7 +71,7 @@ def key_grid(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
     A key with ``a`` rows on the left and ``b`` on the right is cut into cells of about equal work: the left is dealt to
     ``__rows`` parts, the right to ``__columns`` parts, and each cell joins one part with one part. Parts
     are cut as ``a : b``, which moves the fewest rows for that many cells. A key that a sketch does not name is rare on
-    that side and counts once.
+    that side and counts once. Only shares count, so both sides may be samples.
     """
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = min(max(HOT_KEYS, tasks), MOST_HOT_KEYS)
@@ -140,15 +140,21 @@ def join_hot(
 
 
 def join_both_hot(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], by_left: Sequence[str], by_right: Sequence[str]
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    by_left: Sequence[str],
+    by_right: Sequence[str],
+    seen: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """An inner join of two sides that may both repeat a key many times.
 
     Keys with many pairs are cut into a grid of cells (``key_grid``): a left row goes to one row of the grid, by the
     contents of ``by_left``, and to all its columns; a right row to one column, by ``by_right``, and to all rows. Each
-    pair meets in one cell. All other keys are joined as usual. Both sides are read twice.
+    pair meets in one cell. All other keys are joined as usual. Both sides are read twice, unless ``seen`` has samples
+    of them to count keys in.
     """
-    grid = F.broadcast(written_once(key_grid(left, right, keys), "grid"))
+    grid = F.broadcast(written_once(key_grid(*(seen or (left, right)), keys), "grid"))
 
     def dealt(rows: DataFrame, own: str, parts: str, spread: Sequence[str], other: str, others: str) -> DataFrame:
         number = F.pmod(F.xxhash64(F.lit("cell"), *spread), F.coalesce(F.col(parts), F.lit(1)))

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from titleloom import fixed_values as fv
 from titleloom.functions.edit_distance import edits_up_to_two, letters
 from titleloom.functions.text import split_words
-from titleloom.operators.skew import join_both_hot, join_hot
+from titleloom.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, join_both_hot, join_hot
 from titleloom.session import written_once
 
 # A word of n letters has up to 1 + n + n(n-1)/2 deletion keys. Longer vocabulary words are found by
 # segments instead, whose number does not grow with the word.
 MAX_DELETION_LENGTH = 24
+# Share of the words whose keys are counted before a join of two large sides.
+SKETCHED = 1 / 16
 _SEGMENTS = fv.MAX_EDIT_DISTANCE + 1
 
 
@@ -110,6 +112,15 @@ def _best_short_words(known: DataFrame) -> DataFrame:
     )
 
 
+def _fits_a_broadcast(known: DataFrame) -> bool:
+    """Whether all keys of the known words, with the words, lie within both broadcast bounds."""
+    n = F.length("word")
+    keys = F.when(n <= MAX_DELETION_LENGTH, 1 + n + n * (n - 1) / 2).otherwise(_SEGMENTS)
+    # A row has the word, its letters, and three numbers with their overhead.
+    rows, size = known.agg(F.sum(keys), F.sum(keys * (2 * F.octet_length("word") + 40))).first()
+    return (rows or 0) <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+
+
 def corrections(words: DataFrame, vocabulary: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """``word, corrected, distance`` for words outside a vocabulary (``word, freq``) with a near word in it.
 
@@ -126,16 +137,23 @@ def corrections(words: DataFrame, vocabulary: DataFrame, dictionary: DataFrame |
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     unknown = unknown.repartition(tasks, "word").withColumn("word_letters", letters(F.col("word")))
     unknown = written_once(unknown, "unknown-words")
-    offered = known.select(
-        F.col("word").alias("corrected"), "freq", F.col("letters").alias("corrected_letters"),
-        F.explode(_key_hashes(F.filter(vocabulary_keys(F.col("word")), lambda k: k != ""))).alias("key"),
-    )
-    wanted = unknown.select(
-        "word", "word_letters", F.explode(_key_hashes(lookup_keys(F.col("word")))).alias("key")
-    )
-    # Short keys are shared by many words on both sides.
-    offered = offered.unionByName(_best_short_words(known))
-    near = join_both_hot(wanted, offered, ["key"], ["word"], ["corrected"])
+
+    def offered(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            F.col("word").alias("corrected"), "freq", F.col("letters").alias("corrected_letters"),
+            F.explode(_key_hashes(F.filter(vocabulary_keys(F.col("word")), lambda k: k != ""))).alias("key"),
+        )
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        return rows.select("word", "word_letters", F.explode(_key_hashes(lookup_keys(F.col("word")))).alias("key"))
+
+    offers = offered(known).unionByName(_best_short_words(known))
+    if _fits_a_broadcast(known):
+        near = wanted(unknown).join(F.broadcast(offers), "key")
+    else:
+        # Short keys are shared by many words on both sides.
+        seen = wanted(unknown.sample(SKETCHED, 17)), offered(known.sample(SKETCHED, 17))
+        near = join_both_hot(wanted(unknown), offers, ["key"], ["word"], ["corrected"], seen)
     distance = edits_up_to_two(*map(F.col, ("word", "corrected", "word_letters", "corrected_letters")))
     candidates = near.withColumn("distance", distance)
     # Pairs further apart have no distance and no order, and so are never the smallest.
