@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from titleloom import fixed_values as fv
 from titleloom.operators import catalogue as cat
 from titleloom.operators import matching as m
+from titleloom.operators import skew
+from titleloom.operators.catalogue import ID_COLUMNS
 from titleloom.operators import vocabulary as voc
 from titleloom.operators.normalize import Steps
 from titleloom.sources.catalogue import read_id_mapping, read_main_roles, read_similar_roles
@@ -155,3 +157,35 @@ def test_vocabulary(spark):
     assert {r.word: r.freq for r in merged.collect()} == {"ab": 13, "cd": 3, "ef": 1}
     built = {r.word for r in voc.build_dictionary(words, words=["zz"]).collect()}
     assert built == {"ab", "cd", "ef", "zz", *fv.SENIORITIES, *fv.HIERARCHIES}
+
+
+@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
+def test_prefixes_find_the_longest_sequence(spark, monkeypatch, broadcast_rows):
+    """Word by word through the catalogue's prefixes, broadcast and joined: the first of all sequences in it."""
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", broadcast_rows)
+    rng = random.Random(4)
+    words = [*"abcdefgh", fv.SINGLE_WORD_BLOCKLIST[0]]
+    known = {" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(60)} | {words[-1], "a  b", " c", "b c d e f g h"}
+    titles = sorted({" ".join(rng.choices(words + ["x", "y", "z"], k=rng.randint(0, 9))) for _ in range(150)} | {"b c d e f g h"})
+    lists_of = {c: "array<string>" for c in ("seniorities", "hierarchies")} | {c: "array<int>" for c in ID_COLUMNS}
+    frame = spark.createDataFrame([(t,) for t in sorted(known)], "processed_title string").select(
+        "processed_title", F.lit(1).alias("role_id"), F.col("processed_title").alias("title"), F.lit("main").alias("source"),
+        *[F.array().cast(t).alias(c) for c, t in lists_of.items()],
+    )
+    asked = spark.createDataFrame([(t,) for t in titles], "norm_title string")
+    for max_words, longest in ((50, 10), (5, 3), (None, 2)):
+        expected = {}
+        for title in titles:
+            parts = title.split()[:max_words]
+            for n in range(min(longest, len(parts)), 0, -1):
+                hits = [s for i in range(len(parts) - n + 1) if (s := " ".join(parts[i : i + n])) in known and s not in fv.SINGLE_WORD_BLOCKLIST]
+                if hits:
+                    expected[title] = hits[0]
+                    break
+        found = m.match_longest_ngram(asked, frame, max_words, longest).collect()
+        assert {r.norm_title: r.matched_title for r in found} == expected
+        assert all(r.role.title == r.matched_title for r in found)
+        cascade = {r.norm_title: (r.match_type, r.role.title) for r in m.match_cascade(asked, frame, max_words=max_words, longest=longest).collect()}
+        assert cascade == {t: (fv.MATCH_EXACT, t) if t in known and t else (fv.MATCH_NGRAM, expected[t]) for t in {*expected, *(known & set(titles))} if t}
+    assert m.match_longest_ngram(asked, frame.limit(0)).count() == 0
+    assert m.match_cascade(asked.limit(0), frame).count() == 0

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from titleloom import fixed_values as fv
 from titleloom.functions import text as T
-from titleloom.functions.phrase_rules import PhraseRule, apply_phrase_rules
+from titleloom.functions.phrase_rules import PhraseRule, apply_phrase_rules, reached_rules
+from titleloom.functions.word_index import WordIndex
 from titleloom.operators.normalize import Steps, normalize_title, replace_words
 from titleloom.sources.gazetteers import (
     conjugation_of,
@@ -174,3 +175,34 @@ def test_gazetteer_files_of_a_folder(spark, tmp_path):
 def test_many_rules_stay_one_small_expression(spark):
     rules = [PhraseRule(f"base{i}", (f"term{i}", f"two {i}")) for i in range(400)]
     assert column(spark, ["term7 x two 399"], lambda c: apply_phrase_rules(c, rules)) == ["base7 x base399"]
+
+
+def test_long_rule_lists_equal_the_ordered_fold(spark):
+    """330 rules whose bases start later rules: the rules a text reaches do all that the whole list does."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    for _ in range(3):
+        rules = []
+        for _ in range(330):
+            phrases = {" ".join(rng.choices(words, k=rng.choice([1, 1, 2, 3]))) for _ in range(rng.randint(1, 4))}
+            longest_first = tuple(sorted(phrases, key=lambda p: (-len(p.split()), p)))
+            rules.append(PhraseRule(" ".join(rng.choices(words, k=rng.randint(1, 2))), longest_first))
+        rules.append(PhraseRule("", ("w3 w4",)))
+        texts = [" ".join(rng.choices(words, k=rng.randint(0, 7))) for _ in range(60)] + ["w1  w2", " w1", "other words", ""]
+        assert column(spark, texts, lambda c: apply_phrase_rules(c, rules)) == [by_regex(t, rules) for t in texts]
+
+
+def test_words_reach_rules_through_what_earlier_ones_write():
+    rules = [PhraseRule("b", ("a",)), PhraseRule("d", ("c",)), PhraseRule("e f", ("b x", "b")), PhraseRule("a", ("f",)), PhraseRule("z", ("a",))]
+    by_word, always = reached_rules(rules)
+    assert by_word == {"a": [0, 2, 3, 4], "b": [2, 3, 4], "c": [1], "f": [3, 4]}
+    assert always == []
+
+
+def test_word_index(spark):
+    values = {f"word {i}": i for i in range(3000)} | {"é": -1, "": -2}
+    index = WordIndex(values, "int")
+    asked = ["word 7", "word 2999", "é", "", "word", "WORD 7"]
+    assert column(spark, asked, index.get) == [7, 2999, -1, -2, None, None]
+    assert column(spark, asked, index.holds) == [True, True, True, True, False, False]
+    assert column(spark, ["x"], WordIndex({}, "int").get) == [None]

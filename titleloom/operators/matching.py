@@ -12,7 +12,7 @@ from titleloom.functions.text import regex_literal, split_words
 from titleloom.operators.catalogue import ID_COLUMNS, ROLE_COLUMNS
 from titleloom.operators.embedding import match_embedding
 from titleloom.operators.normalize import Steps, normalize_distinct
-from titleloom.operators.skew import join_hot, join_lookup, keep_hot
+from titleloom.operators.skew import join_hot, join_lookup, keep_hot, written_lookup
 from titleloom.session import written_once
 from titleloom.sources.gazetteers import Gazetteer
 
@@ -60,12 +60,87 @@ def match_exact(titles: DataFrame, catalogue: DataFrame) -> DataFrame:
     return join_lookup(distinct, roles, ["norm_title"], "inner").select("norm_title", F.lit(fv.MATCH_EXACT).alias("match_type"), "role")
 
 
-def _best_candidate(candidates: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
-    """Per key the first-ranked candidate text that is a catalogue title."""
+def catalogue_prefixes(catalogue: DataFrame, longest: int = fv.NGRAM_MAX_WORDS) -> DataFrame:
+    """``prefix, n, is_title, goes_on``: every start of n whole words of a catalogue title of up to ``longest`` words.
+
+    ``is_title`` says that a title ends there and may be found inside another, ``goes_on`` that a longer title starts so.
+    """
+    titles = catalogue.select("processed_title", split_words(F.col("processed_title")).alias("words"))
+    # A title with other white space than single spaces is no word sequence.
+    plain = titles.filter((F.array_join("words", " ") == F.col("processed_title")) & (F.size("words") <= longest))
+    starts = plain.select(
+        F.size("words").alias("length"),
+        F.posexplode(
+            F.transform(F.sequence(F.lit(1), F.size("words")), lambda n: F.array_join(F.slice("words", F.lit(1), n), " "))
+        ).alias("at", "prefix"),
+    ).filter(F.col("length") > 0)
+    whole = F.col("length") == F.col("at") + 1
+    allowed = (F.col("length") >= fv.NGRAM_MIN_WORDS) & ~F.col("prefix").isin(list(fv.SINGLE_WORD_BLOCKLIST))
+    return starts.groupBy("prefix", (F.col("at") + 1).alias("n")).agg(
+        F.max(whole & allowed).alias("is_title"), F.max(~whole).alias("goes_on")
+    )
+
+
+def _starts(words: Column, length: int) -> Column:
+    """``start, rest`` of every position of a title: the words from there, at most ``length``. The title is cut once."""
+    return F.flatten(
+        F.transform(
+            F.array(words),
+            lambda w: F.when(
+                F.size(w) > 0,
+                F.transform(
+                    F.sequence(F.lit(1), F.size(w)),
+                    lambda i: F.struct(i.alias("start"), F.slice(w, i, length).alias("rest")),
+                ),
+            ).otherwise(F.array().cast("array<struct<start:int,rest:array<string>>>")),
+        )
+    )
+
+
+def _longest_titles(
+    texts: DataFrame, catalogue: DataFrame, key: str, exact: bool, max_words: int | None, longest: int
+) -> DataFrame:
+    """``key, whole, candidate, role``: per key the whole title (if ``exact``), else the longest catalogue title inside it.
+
+    A position of a title goes on to its next word only while the words so far start a catalogue title, so most
+    positions end at their first word. The catalogue's prefixes are written and measured once; if they are small, all
+    steps are broadcast joins of one stage.
+    """
     roles = catalogue.select(F.col("processed_title").alias("candidate"), F.struct(*ROLE_COLUMNS).alias("role"))
-    hits = join_lookup(candidates, roles, ["candidate"], "inner")
-    best = F.min_by(F.struct("rank", "candidate", "role"), "rank").alias("best")
-    return hits.groupBy(key).agg(best).select(key, "best.*")
+    roles = written_lookup(roles)
+    prefixes = written_lookup(catalogue_prefixes(roles.table.select(F.col("candidate").alias("processed_title")), longest))
+    levels = prefixes.table.agg(F.max("n")).first()[0] or 0
+    rows = texts.select(key, F.col("norm_title").alias("candidate"))
+    if exact:
+        rows = join_lookup(rows, roles.select("candidate", F.col("role").alias("of_whole")), ["candidate"], "left")
+    else:
+        rows = rows.withColumn("of_whole", F.lit(None).cast(roles.table.schema["role"].dataType))
+    words = split_words(F.col("candidate"))
+    places = _starts(words if max_words is None else F.slice(words, 1, max_words), max(1, levels))
+    nowhere = F.array(F.struct(F.lit(0).alias("start"), F.array().cast("array<string>").alias("rest")))
+    found = rows.select(
+        key, "of_whole", F.inline(F.when(F.col("of_whole").isNotNull(), nowhere).otherwise(places))
+    ).select("*", F.lit(0).alias("best"), F.lit(True).alias("alive"))
+    for n in range(1, levels + 1):
+        step = prefixes.select("prefix", "n", "is_title", "goes_on")
+        step = step._replace(table=step.table.filter(F.col("n") == n).drop("n"))
+        so_far = F.when(F.col("alive") & (F.size("rest") >= n), F.array_join(F.slice("rest", 1, n), " "))
+        joined = join_lookup(found.withColumn("prefix", so_far), step, ["prefix"], "left", spread=[key, "start"])
+        found = joined.select(
+            key, "of_whole", "start", "rest",
+            F.when(F.col("is_title"), n).otherwise(F.col("best")).alias("best"),
+            F.coalesce("goes_on", F.lit(False)).alias("alive"),
+        ).filter((F.col("alive") & (F.lit(n) < levels)) | (F.col("best") > 0) | F.col("of_whole").isNotNull())
+    if not levels:
+        found = found.filter(F.col("of_whole").isNotNull())
+    best = F.max_by(F.struct("of_whole", "rest", "best"), F.struct("best", -F.col("start"))).alias("found")
+    chosen = found.groupBy(key).agg(best).select(
+        key, F.col("found.of_whole").alias("of_whole"),
+        F.when(F.col("found.of_whole").isNull(), F.array_join(F.slice("found.rest", F.lit(1), F.col("found.best")), " ")).alias("candidate"),
+    )
+    return join_lookup(chosen, roles, ["candidate"], "left", spread=[key]).select(
+        key, F.col("of_whole").isNotNull().alias("whole"), "candidate", F.coalesce("of_whole", "role").alias("role")
+    )
 
 
 def match_longest_ngram(
@@ -76,12 +151,10 @@ def match_longest_ngram(
 ) -> DataFrame:
     """``norm_title, matched_title, role`` by the longest word sequence that is a whole catalogue title.
 
-    Parameters as in ``title_ngrams``. Sequences go under a digest of their text, which comes back by one join.
+    Parameters as in ``title_ngrams``. Positions go under a digest of their text, which comes back by one join.
     """
     distinct = titles.select("norm_title").distinct().withColumn("digest", F.md5("norm_title"))
-    sequences = title_ngrams(F.col("norm_title"), max_words, longest)
-    candidates = distinct.select("digest", F.posexplode(sequences).alias("rank", "candidate"))
-    best = _best_candidate(candidates, catalogue, "digest")
+    best = _longest_titles(distinct, catalogue, "digest", False, max_words, longest)
     return best.join(distinct, "digest").select(
         "norm_title", F.lit(fv.MATCH_NGRAM).alias("match_type"), F.col("candidate").alias("matched_title"), "role"
     )
@@ -116,22 +189,20 @@ def match_cascade(
     profile_ids: Sequence[int] = (),
     profiles: DataFrame | None = None,
     word_vectors: DataFrame | None = None,
+    max_words: int | None = fv.NGRAM_MAX_TITLE_WORDS,
+    longest: int = fv.NGRAM_MAX_WORDS,
 ) -> DataFrame:
     """``key, match_type, role`` for distinct keys with a ``norm_title``: exact, then word sequence, then embedding.
 
-    The whole title is just the first candidate of a title, so one join decides the first two. A match that
-    fails the profile filter ends the search of its title. Titles without a match are left out.
+    A match that fails the profile filter ends the search of its title. Titles without a match are left out.
+    ``max_words`` and ``longest`` limit the word sequences as in ``title_ngrams``.
     """
-    whole = F.array(F.col("norm_title"))
     if word_vectors is not None:
         # Read again for the titles left over.
         texts = written_once(texts, "texts")
-    candidates = (
-        texts.filter(F.col("norm_title") != "")
-        .select(key, F.posexplode(F.concat(whole, title_ngrams(F.col("norm_title")))).alias("rank", "candidate"))
-    )
-    matches = _best_candidate(candidates, catalogue, key).select(
-        key, F.when(F.col("rank") == 0, fv.MATCH_EXACT).otherwise(fv.MATCH_NGRAM).alias("match_type"), "role"
+    named = texts.filter(F.col("norm_title") != "")
+    matches = _longest_titles(named, catalogue, key, True, max_words, longest).select(
+        key, F.when(F.col("whole"), fv.MATCH_EXACT).otherwise(fv.MATCH_NGRAM).alias("match_type"), "role"
     )
     if word_vectors is not None:
         rest = texts.filter(F.col("norm_title") != "").join(matches.select(key), key, "left_anti")
@@ -166,6 +237,8 @@ def match_pieces(
     word_vectors: DataFrame | None = None,
     verbs: DataFrame | None = None,
     dictionary: DataFrame | None = None,
+    max_words: int | None = fv.NGRAM_MAX_TITLE_WORDS,
+    longest: int = fv.NGRAM_MAX_WORDS,
 ) -> DataFrame:
     """``title, pos, match_type, role`` for the pieces of distinct titles that match a role.
 
@@ -175,7 +248,7 @@ def match_pieces(
     distinct = pieces.select(F.col("piece").alias("title")).filter(F.col("title") != "").distinct()
     normalized = normalize_distinct(distinct, lists, steps, vocabulary, verbs, dictionary)
     texts = normalized.select(F.col("title").alias("piece"), "norm_title")
-    matches = match_cascade(texts, catalogue, "piece", profile_ids, profiles, word_vectors)
+    matches = match_cascade(texts, catalogue, "piece", profile_ids, profiles, word_vectors, max_words, longest)
     return join_hot(pieces, matches, ["piece"], "inner").select("title", "pos", "match_type", "role")
 
 
@@ -190,6 +263,8 @@ def normalize_titles(
     word_vectors: DataFrame | None = None,
     verbs: DataFrame | None = None,
     dictionary: DataFrame | None = None,
+    max_words: int | None = fv.NGRAM_MAX_TITLE_WORDS,
+    longest: int = fv.NGRAM_MAX_WORDS,
 ) -> DataFrame:
     """``title, roles``: each distinct title with the roles of its pieces, in their order.
 
@@ -197,8 +272,9 @@ def normalize_titles(
     hierarchy``, the id lists and ``match_type``.
     """
     found = match_pieces(
-        titles, catalogue, lists, steps, vocabulary, profile_ids, profiles, word_vectors, verbs, dictionary
-    )
+        titles, catalogue, lists, steps, vocabulary, profile_ids, profiles, word_vectors, verbs, dictionary,
+        max_words, longest,
+    )
     answer = F.struct(
         "pos",
         F.col("role.title").alias("normalized_role"),
