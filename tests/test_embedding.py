@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 
 from titleloom import fixed_values as fv
@@ -109,3 +110,63 @@ def test_the_fold_is_no_maximum(spark):
     rows = [("t", 0, 1, 1, 0.95, "first"), ("t", 0, 2, 1, 0.945, "longer"), ("t", 1, 2, 1, 0.954, "best"), ("u", 0, 1, 1, 0.9, "low")]
     frame = spark.createDataFrame(rows, "norm_title string, start int, end int, rank int, similarity double, matched_title string")
     assert [tuple(r) for r in emb.best_similarity_fold(frame).collect()] == [("t", "longer", 0.945)]
+
+
+def clustered(count, centers, spread, seed, dimensions=16):
+    draw = np.random.default_rng(seed)
+    middles = draw.normal(size=(centers, dimensions))
+    rows = middles[draw.integers(0, centers, count)] + spread * draw.normal(size=(count, dimensions))
+    rows[:: count // 3 + 1] = 0
+    rows[1 : count // 3 : 2] = rows[1]
+    return rows
+
+
+@pytest.mark.parametrize("k, above, spread", [(5, None, 0.1), (5, 0.9, 0.1), (300, None, 0.3), (2, None, 2.0)])
+def test_nearest_titles_equal_all_with_all(spark, monkeypatch, k, above, spread):
+    monkeypatch.setattr(emb, "BLOCK_ROWS", 40)
+    vectors, asked = clustered(900, 12, spread, 1), clustered(160, 14, spread, 1)
+    titles = spark.createDataFrame([(f"t{i:03}", v.tolist()) for i, v in enumerate(vectors)], "matched_title string, embedding array<double>")
+    texts = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(asked)], "text string, embedding array<double>")
+
+    def unit(rows):
+        lengths = np.linalg.norm(rows, axis=1, keepdims=True)
+        return rows / np.where(lengths == 0, 1, lengths)
+
+    similarity = np.round(unit(asked) @ unit(vectors).T, emb.DIGITS)
+    expected = set()
+    for i, row in enumerate(similarity):
+        order = sorted((j for j in range(len(row)) if above is None or row[j] > above), key=lambda j: (-row[j], j))[:k]
+        expected |= {(f"q{i}", f"t{j:03}", n) for n, j in enumerate(order, 1)}
+    found = emb.nearest_titles(texts, titles, k, above).collect()
+    assert {(r["text"], r["matched_title"], r["rank"]) for r in found} == expected
+
+
+def test_most_blocks_of_clustered_titles_are_not_compared(spark):
+    vectors, asked = clustered(4000, 40, 0.1, 2), clustered(300, 40, 0.1, 2)[2:]
+    titles = spark.createDataFrame([(f"t{i}", v.tolist()) for i, v in enumerate(vectors)], "matched_title string, embedding array<double>")
+    texts = spark.createDataFrame([(f"q{i}", v.tolist(), 0.9) for i, v in enumerate(asked) if v.any()], "text string, embedding array<double>, least double")
+    index = emb.title_blocks(titles, 100)
+    assert index.count.max() <= 250
+    pairs = emb.block_pairs(texts, index, 5, False, "least").count()
+    share = pairs / (texts.count() * len(index.pivot))
+    print("share of block pairs", share)
+    assert share < 1 / 3
+
+
+def test_sequences_by_running_sums(spark, vectors, table):
+    asked = titles(60, 5)
+    frame = spark.createDataFrame([(t,) for t in asked], "norm_title string")
+    found = {(r.norm_title, r.start, r.end): r for r in emb.ngram_embedding(frame, table).collect()}
+    expected = {}
+    for title in asked:
+        words = title.split()
+        if not words or any(whole(w, vectors) is None for w in words):
+            continue
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                weight = sum(vectors[w][1] for w in words[i:j])
+                expected[title, i, j] = [sum(vectors[w][0][d] for w in words[i:j]) / weight for d in range(3)]
+    assert set(found) == set(expected)
+    for key, vector in expected.items():
+        assert found[key].embedding == pytest.approx(vector)
+        assert found[key].ngram == " ".join(key[0].split()[key[1] : key[2]])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titleloom import fixed_values as fv
+from titleloom.operators import keyed_tables as kt
 from titleloom.operators import windows as win
 from titleloom.operators import writeback as wb
 from titleloom.plans import routines as plan
@@ -14,8 +15,11 @@ from titleloom.queries.sources import PENDING_CVS_SQL, PENDING_JOBS_SQL, PENDING
 from titleloom.queries.sources import pending_cvs, pending_jobs, pending_work_exp
 from titleloom.queries.standins import AS_OF, gazetteer, table, view, with_views
 from titleloom.queries.vocabulary import built_catalogue
+from titleloom.session import new_shared_path
 
 NOW = "2001-08-02 10:00:00"
+# Few, as the tables are small.
+KEY_BUCKETS = 16
 FIRST_DAY, LAST_DAY = "1999-03-01", "2000-05-31"
 
 
@@ -89,6 +93,28 @@ def upsert_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stamped(wb.upsert_flags(flags, _updates(spark, sf_dir), ["vag_id"], NOW, "pos"))
 
 
+def update_existing_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same update, in place, on a table laid out by key."""
+    path = new_shared_path(spark, "roles")
+    kt.write_keyed_table(_target(spark, sf_dir), path, ["vag_id"], KEY_BUCKETS)
+    kt.update_existing_at(spark, path, _updates(spark, sf_dir), "vag_id", "pos", KEY_BUCKETS)
+    return kt.read_keyed_table(spark, path)
+
+
+def write_roles_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_shared_path(spark, "roles")
+    kt.write_keyed_table(_target(spark, sf_dir), path, ["vag_id"], KEY_BUCKETS)
+    kt.write_roles_at(spark, path, _updates(spark, sf_dir), "vag_id", _parent(spark, sf_dir), "pos", KEY_BUCKETS)
+    return kt.read_keyed_table(spark, path)
+
+
+def upsert_flags_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_shared_path(spark, "flags")
+    kt.write_keyed_table(_old_flags(spark, sf_dir), path, ["vag_id"], KEY_BUCKETS)
+    kt.upsert_flags_at(spark, path, _updates(spark, sf_dir), ["vag_id"], NOW, "pos", KEY_BUCKETS)
+    return _stamped(kt.read_keyed_table(spark, path))
+
+
 def job_index_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wb.job_index_messages(_updates(spark, sf_dir))
 
@@ -210,6 +236,9 @@ QUERIES = {
     "write_roles": write_roles,
     "values_union": values_union,
     "upsert_flags": upsert_flags,
+    "update_existing_in_buckets": update_existing_in_buckets,
+    "write_roles_in_buckets": write_roles_in_buckets,
+    "upsert_flags_in_buckets": upsert_flags_in_buckets,
     "job_index_messages": job_index_messages,
     "job_index_messages_sparse": job_index_messages_sparse,
     "user_index_messages": user_index_messages,
@@ -385,3 +414,7 @@ ORACLES = {
         "AND curexpprof_id NOT IN (SELECT curexpprof_id FROM work_exp_role_rows)",
     ),
 }
+
+# In place or as a new table, the rows are the same.
+for _name in ("update_existing", "write_roles", "upsert_flags"):
+    ORACLES[f"{_name}_in_buckets"] = ORACLES[_name]
