@@ -14,7 +14,7 @@ from titleloom.operators.keyed_tables import BUCKETS, rewrite_touched, write_key
 
 
 def latest_changes(updates: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
-    """``keys, cargo_id, position`` of the keys whose role changes, from a stream of the same columns.
+    """``keys, cargo_id`` of the keys whose role changes, from a stream of ``keys, cargo_id`` and a position.
 
     The state store holds the last position and role of each key. A row counts if its position (a long) is above
     what the key has; of several rows of a batch the last position, and of equal ones the lowest role. So rows that
@@ -36,14 +36,14 @@ def latest_changes(updates: DataFrame, keys: Sequence[str], position: str) -> Da
         if best is not held:
             state.update(best)
             if held is None or held[1] != best[1]:
-                yield pd.DataFrame([(*key, best[1], best[0])], columns=[*keys, "cargo_id", "position"])
+                yield pd.DataFrame([(*key, best[1])], columns=[*keys, "cargo_id"])
 
     wanted = updates.select(
         *keys, F.coalesce(F.col("cargo_id").cast("long"), F.lit(0)).alias("cargo_id"), F.col(position).cast("long").alias("position")
     ).dropna(subset=[*keys, "position"])
     return wanted.groupBy(*keys).applyInPandasWithState(
         step,
-        f"{named}, cargo_id long, position long",
+        f"{named}, cargo_id long",
         "position long, cargo_id long",
         "update",
         GroupStateTimeout.NoTimeout,
@@ -58,7 +58,7 @@ def upsert_stream(
     checkpoint: str,
     buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Keep the table at ``path`` (``keys, cargo_id, position``, one row per key) at the last role of each key.
+    """Keep the table at ``path`` (``keys, cargo_id``, one row per key) at the last role of each key.
 
     Each micro-batch rewrites only the buckets that hold changed keys, so reading costs the same after any
     number of batches. A batch that runs again after a stop leaves the table as it is. Works off what is there.
