@@ -2,52 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from titleloom.operators.keyed_tables import BUCKETS, rewrite_touched, write_keyed_table
 
 
-def latest_changes(updates: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
-    """``keys, cargo_id`` of the keys whose role changes, from a stream of ``keys, cargo_id`` and a position.
+def latest_roles(updates: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
+    """``keys, cargo_id`` of the keys that arrive, with the role of their last position so far.
 
-    The state store holds the last position and role of each key. A row counts if its position (a long) is above
-    what the key has; of several rows of a batch the last position, and of equal ones the lowest role. So rows that
-    arrive again, or late, change nothing. Only keys that get another role come out. Null keys and positions are skipped,
-    a null role counts as 0.
+    The state store holds one row per key. Of equal positions the lowest role counts. So rows that arrive again, or
+    late, change nothing. Null keys and positions are skipped, a null role counts as 0.
     """
-    kinds = dict(updates.dtypes)
-    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-
-    def step(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
-
-        held = state.getOption
-        best = held
-        for rows in batches:
-            for at, role in zip(rows["position"].tolist(), rows["cargo_id"].tolist(), strict=True):
-                if best is None or at > best[0] or (at == best[0] and best is not held and role < best[1]):
-                    best = (at, role)
-        if best is not held:
-            state.update(best)
-            if held is None or held[1] != best[1]:
-                yield pd.DataFrame([(*key, best[1])], columns=[*keys, "cargo_id"])
-
-    wanted = updates.select(
-        *keys, F.coalesce(F.col("cargo_id").cast("long"), F.lit(0)).alias("cargo_id"), F.col(position).cast("long").alias("position")
-    ).dropna(subset=[*keys, "position"])
-    return wanted.groupBy(*keys).applyInPandasWithState(
-        step,
-        f"{named}, cargo_id long",
-        "position long, cargo_id long",
-        "update",
-        GroupStateTimeout.NoTimeout,
-    )
+    role = F.coalesce(F.col("cargo_id").cast("long"), F.lit(0))
+    wanted = updates.dropna(subset=[*keys, position]).select(*keys, F.struct(position, (-role).alias("below")).alias("last"))
+    return wanted.groupBy(*keys).agg(F.max("last").alias("last")).select(*keys, (-F.col("last.below")).alias("cargo_id"))
 
 
 def upsert_stream(
@@ -60,7 +33,7 @@ def upsert_stream(
 ) -> StreamingQuery:
     """Keep the table at ``path`` (``keys, cargo_id``, one row per key) at the last role of each key.
 
-    Each micro-batch rewrites only the buckets that hold changed keys, so reading costs the same after any
+    Each micro-batch rewrites only the buckets that hold keys with another role, so reading costs the same after any
     number of batches. A batch that runs again after a stop leaves the table as it is. Works off what is there.
     """
 
@@ -74,7 +47,7 @@ def upsert_stream(
             write_keyed_table(batch, path, keys, buckets)
 
     return (
-        latest_changes(updates, keys, position)
+        latest_roles(updates, keys, position)
         .writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
