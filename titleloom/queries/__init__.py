@@ -24,6 +24,7 @@ def all_oracles() -> dict[str, str]:
 
 
 def _modules():
-    from titleloom.queries import coverage, embedding, inference, matching, routines, sources, streams, text, vocabulary
+    from titleloom.queries import coverage, embedding, inference, matching, routines, sources, spelling, streams, text
+    from titleloom.queries import vocabulary
 
-    return [sources, text, vocabulary, matching, embedding, inference, routines, coverage, streams]
+    return [sources, text, vocabulary, matching, embedding, spelling, inference, routines, coverage, streams]

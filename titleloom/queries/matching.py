@@ -22,8 +22,8 @@ def job_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.unionByName(view(spark, sf_dir, "long_titles").select("title"))
 
 
-_JOB_TITLES = "(SELECT title FROM part_titles UNION ALL SELECT title FROM long_titles)"
-_TITLE_VIEWS = ("part_titles", "long_titles")
+JOB_TITLES = "(SELECT title FROM part_titles UNION ALL SELECT title FROM long_titles)"
+TITLE_VIEWS = ("part_titles", "long_titles")
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_distinct(pieces, gazetteer(spark), STEPS).select("norm_title")
 
 
-def _role(frame: DataFrame, *keep: str) -> DataFrame:
+def role_columns(frame: DataFrame, *keep: str) -> DataFrame:
     lists = [F.array_join(F.col(f"role.{c}").cast("array<string>"), ",").alias(c) for c in ("areap_ids", "nivelh_ids", "perfil_ids")]
     return frame.select(*keep, F.col("role.role_id").alias("role_id"), F.col("role.title").alias("role_title"), *lists)
 
@@ -43,12 +43,12 @@ def title_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _role(m.match_exact(normalized(spark, sf_dir), built_catalogue(spark, sf_dir)), "norm_title", "match_type")
+    return role_columns(m.match_exact(normalized(spark, sf_dir), built_catalogue(spark, sf_dir)), "norm_title", "match_type")
 
 
 def match_longest_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = m.match_longest_ngram(normalized(spark, sf_dir), built_catalogue(spark, sf_dir))
-    return _role(found, "norm_title", "match_type", "matched_title")
+    return role_columns(found, "norm_title", "match_type", "matched_title")
 
 
 def match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = normalized(spark, sf_dir).distinct()
-    return _role(m.match_cascade(titles, built_catalogue(spark, sf_dir)), "norm_title", "match_type")
+    return role_columns(m.match_cascade(titles, built_catalogue(spark, sf_dir)), "norm_title", "match_type")
 
 
 def match_cascade_with_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def match_cascade_with_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = m.match_cascade(
         titles, built_catalogue(spark, sf_dir), profile_ids=PROFILES, profiles=profiles(spark, sf_dir)
     )
-    return _role(found, "norm_title", "match_type")
+    return role_columns(found, "norm_title", "match_type")
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,12 +93,12 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_by_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = m.match_exact(normalized(spark, sf_dir), built_catalogue(spark, sf_dir))
-    return _role(m.filter_by_profile(found, PROFILES), "norm_title")
+    return role_columns(m.filter_by_profile(found, PROFILES), "norm_title")
 
 
 def restrict_ids_to_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = m.match_exact(normalized(spark, sf_dir), built_catalogue(spark, sf_dir))
-    return _role(m.restrict_ids_to_profile(found, profiles(spark, sf_dir), PROFILES), "norm_title")
+    return role_columns(m.restrict_ids_to_profile(found, profiles(spark, sf_dir), PROFILES), "norm_title")
 
 
 def split_compound_title(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,10 +158,10 @@ ngrams AS (SELECT {key}, array_to_string(w[first:first + n - 1], ' ') AS ngram,
   FROM spans GROUP BY 1, 2, 3 HAVING NOT list_contains({blocked}, ngram))"""
 
 
-_PIECES = f"(SELECT unnest(regexp_split_to_array(title, '/|,| ou |;|[|]')) AS title FROM {_JOB_TITLES})"
+_PIECES = f"(SELECT unnest(regexp_split_to_array(title, '/|,| ou |;|[|]')) AS title FROM {JOB_TITLES})"
 _NORM = f"norm AS (SELECT DISTINCT norm_title FROM ({sql.normalized(_PIECES, 'title', 'title')}))"
 _IDS = "areap_ids, nivelh_ids, perfil_ids"
-_LONGEST = (
+LONGEST = (
     "longest AS (SELECT {key}, c.*, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, first) AS rn "
     "FROM ngrams JOIN catalogue c ON c.processed_title = ngrams.ngram)"
 )
@@ -169,10 +169,10 @@ _LONGEST = (
 
 def _matched(query: str) -> str:
     """A query over ``norm``, ``ngrams``, ``longest`` and ``catalogue``."""
-    return with_catalogue(", " + ", ".join([_NORM, ngram_ctes("norm"), _LONGEST.format(key="norm_title")]) + " " + query, *_TITLE_VIEWS)
+    return with_catalogue(", " + ", ".join([_NORM, ngram_ctes("norm"), LONGEST.format(key="norm_title")]) + " " + query, *TITLE_VIEWS)
 
 
-_CASCADE = (
+CASCADE = (
     "cascade AS (SELECT n.norm_title, CASE WHEN e.role_id IS NOT NULL THEN 'database' ELSE 'ahocorasick' END AS match_type, "
     "coalesce(e.role_id, l.role_id) AS role_id, coalesce(e.title, l.title) AS role_title, "
     + ", ".join(f"CASE WHEN e.role_id IS NOT NULL THEN e.{c} ELSE l.{c} END AS {c}" for c in _IDS.split(", "))
@@ -196,26 +196,31 @@ def _kept(column: str, allowed: str) -> str:
 _KEPT = ", ".join([_kept("areap_ids", "areap"), _kept("nivelh_ids", "nivelh"), _kept("perfil_ids", "perfil")])
 _EXACT = f"SELECT norm_title, 'database' AS match_type, role_id, title AS role_title, {_IDS} FROM norm JOIN catalogue ON processed_title = norm_title"
 
-# Pieces of compound titles, each matched by the cascade.
-PIECE_CTES = (
-    "pieces AS (SELECT title, pos - 1 AS pos, parts[pos] AS piece FROM (SELECT title, parts, "
-    "unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT title, regexp_split_to_array(title, '/|,| ou |;|[|]') AS parts "
-    "FROM (SELECT DISTINCT title FROM {titles})))), "
-    "norm AS (SELECT DISTINCT piece, norm_title FROM (" + sql.normalized("pieces", "piece", "piece") + ") WHERE norm_title <> ''), "
-    + ngram_ctes("norm").strip() + ", " + _LONGEST.format(key="norm_title") + ", " + _CASCADE + ", "
-    "found AS (SELECT p.title, p.pos, c.role_id, c.role_title, c.match_type FROM pieces p "
-    "JOIN norm n ON n.piece = p.piece JOIN (SELECT DISTINCT * FROM cascade) c ON c.norm_title = n.norm_title)"
+def piece_ctes(norm: str) -> str:
+    """Pieces of compound titles, each matched by the cascade; ``norm`` selects ``piece, norm_title`` of ``pieces``."""
+    return (
+        "pieces AS (SELECT title, pos - 1 AS pos, parts[pos] AS piece FROM (SELECT title, parts, "
+        "unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT title, regexp_split_to_array(title, '/|,| ou |;|[|]') AS parts "
+        "FROM (SELECT DISTINCT title FROM {titles})))), " + norm + ", "
+        + ngram_ctes("norm").strip() + ", " + LONGEST.format(key="norm_title") + ", " + CASCADE + ", "
+        "found AS (SELECT p.title, p.pos, c.role_id, c.role_title, c.match_type FROM pieces p "
+        "JOIN norm n ON n.piece = p.piece JOIN (SELECT DISTINCT * FROM cascade) c ON c.norm_title = n.norm_title)"
+    )
+
+
+PIECE_CTES = piece_ctes(
+    "norm AS (SELECT DISTINCT piece, norm_title FROM (" + sql.normalized("pieces", "piece", "piece") + ") WHERE norm_title <> '')"
 )
 
 
-def with_pieces(titles: str, query: str, *views: str) -> str:
+def with_pieces(titles: str, query: str, *views: str, ctes: str = PIECE_CTES) -> str:
     """A query over ``found``: title, pos, role of every matched piece of the titles of a FROM item."""
-    return with_catalogue(", " + PIECE_CTES.replace("{titles}", titles) + " " + query, *views)
+    return with_catalogue(", " + ctes.replace("{titles}", titles) + " " + query, *views)
 
 
 ORACLES = {
     "title_ngrams": with_views(
-        list(_TITLE_VIEWS) + ["main_table"],
+        list(TITLE_VIEWS) + ["main_table"],
         f", {_NORM}, {ngram_ctes('norm')} SELECT norm_title, CAST(row_number() OVER (PARTITION BY norm_title "
         "ORDER BY n DESC, first) - 1 AS INT) AS rank, ngram FROM ngrams",
     ),
@@ -231,9 +236,9 @@ ORACLES = {
         "SELECT norm_title, ngram AS matched_title FROM (SELECT *, row_number() OVER (PARTITION BY norm_title "
         "ORDER BY n DESC, first) AS rn FROM ngrams JOIN known ON ngram = processed_title) WHERE rn = 1"
     ),
-    "match_cascade": _matched(f", {_CASCADE} SELECT * FROM cascade"),
+    "match_cascade": _matched(f", {CASCADE} SELECT * FROM cascade"),
     "match_cascade_with_profile": _matched(
-        f", {_CASCADE}, {_ALLOWED} SELECT norm_title, match_type, role_id, role_title, {_KEPT} "
+        f", {CASCADE}, {_ALLOWED} SELECT norm_title, match_type, role_id, role_title, {_KEPT} "
         f"FROM cascade, allowed WHERE {_OF_PROFILE}"
     ),
     "filter_by_profile": _matched(
@@ -250,13 +255,13 @@ ORACLES = {
         "FROM documents)) GROUP BY 1, 2"
     ),
     "normalize_titles": with_pieces(
-        _JOB_TITLES,
+        JOB_TITLES,
         "SELECT title, string_agg(role_id || ':' || role_title || ':' || match_type, '|' ORDER BY pos) AS roles, "
         "CAST(count(*) AS INT) AS n_roles FROM found GROUP BY title",
-        *_TITLE_VIEWS,
+        *TITLE_VIEWS,
     ),
     "first_match": with_pieces(
-        _JOB_TITLES, "SELECT title, arg_min(role_id, pos) AS role_id FROM found GROUP BY title", *_TITLE_VIEWS
+        JOB_TITLES, "SELECT title, arg_min(role_id, pos) AS role_id FROM found GROUP BY title", *TITLE_VIEWS
     ),
     "ab_group_filter": with_views(
         ["jobs"],

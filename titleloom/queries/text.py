@@ -39,7 +39,7 @@ def _words_sql(kept) -> str:
     return with_views(["staff_titles"], f"SELECT id, {found} AS words FROM staff_titles")
 
 
-def _title_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def title_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part titles, order titles and whole conversation turns, each with an id."""
     turns = table(spark, sf_dir, "conversations").select(
         (-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("id"), F.col("text").alias("title")
@@ -48,13 +48,13 @@ def _title_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.unionByName(turns)
 
 
-_TITLE_ROWS = (
+TITLE_ROWS = (
     "(SELECT * FROM part_titles UNION ALL SELECT * FROM staff_titles UNION ALL SELECT -1 - conv_id * 1000 - turn AS id, text AS title FROM conversations)"
 )
 
 
 def normalize_title_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = normalize_title(_title_rows(spark, sf_dir), gazetteer(spark), Steps(correct_typos=False))
+    done = normalize_title(title_rows(spark, sf_dir), gazetteer(spark), Steps(correct_typos=False))
     return done.select(
         "id", "norm_title", _listed(F.col("seniorities")).alias("seniorities"),
         _listed(F.col("hierarchies")).alias("hierarchies"),
@@ -66,10 +66,10 @@ def normalize_title_with_locations(spark: SparkSession, sf_dir: str) -> DataFram
     steps = Steps(
         correct_typos=False, remove_locations=True, conjugation=False, gender=False, thesaurus=False, special_terms=False
     )
-    return normalize_title(_title_rows(spark, sf_dir), gazetteer(spark), steps).select("id", "norm_title")
+    return normalize_title(title_rows(spark, sf_dir), gazetteer(spark), steps).select("id", "norm_title")
 
 
-def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = table(spark, sf_dir, "benchmark").select(T.strip_line_breaks(F.col("text")).alias("text"))
     return extract_words(benchmark, "text", gazetteer(spark).stopwords)
 
@@ -80,30 +80,18 @@ def correct_typos_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", "conv_id", "turn").alias("title"),
         T.drop_symbols(T.symbols_to_space(T.strip_line_breaks(T.lowercase(F.col("text"))))).alias("text"),
     )
-    return correct_typos(turns, _vocabulary(spark, sf_dir)).select(F.col("title").alias("turn_id"), "text")
+    return correct_typos(turns, vocabulary(spark, sf_dir)).select(F.col("title").alias("turn_id"), "text")
 
 
-_ONE_BYTE = "translate({}.word, 'éèêçóñüäößíáúàâîôûëï', 'ABCDEFGHIJKLMNOPQRST')"
+_ONE_BYTE = "translate({}.word, 'éèêçóñüäößíáúàâîôûëïãõìò', 'ABCDEFGHIJKLMNOPQRSTUVWX')"
 
-_TYPO_SQL = f"""
-WITH vocabulary AS (
-  SELECT word, count(*) AS freq FROM (
-    SELECT unnest(list_transform(regexp_split_to_array({sql.line_breaks('text')}, '__BREAKS__'),
-      lambda w: lower({sql.strip('w')}))) AS word FROM benchmark)
-  WHERE length(word) >= 2 AND NOT list_contains({sql.listed(sql.stopwords())}, word) GROUP BY word),
-turns AS (
-  SELECT conv_id || '-' || turn AS turn_id,
-    {sql.words(sql.drop_symbols(sql.symbols_to_space(sql.line_breaks('lower(text)'))))} AS words FROM conversations),
-placed AS (
-  SELECT turn_id, words[pos] AS word, pos FROM (
-    SELECT turn_id, words, unnest(range(1, len(words) + 1)) AS pos FROM turns)),
-unknown AS (SELECT DISTINCT word FROM placed ANTI JOIN vocabulary USING (word)),
--- The distance function counts bytes: letters of two bytes stand as unused letters of one.
+# CTE ``best``: the correction of each word of ``unknown`` by a table ``word, freq``.
+NEAREST = """-- The distance function counts bytes: letters of two bytes stand as unused letters of one.
 near AS (
   SELECT * FROM (
-    SELECT u.word, v.word AS corrected, v.freq, damerau_levenshtein({_ONE_BYTE.format('u')}, {_ONE_BYTE.format('v')})
+    SELECT u.word, v.word AS corrected, v.freq, damerau_levenshtein(__U__, __V__)
       AS free_distance
-    FROM unknown u JOIN vocabulary v ON abs(length(u.word) - length(v.word)) <= 2)
+    FROM unknown u JOIN {known} v ON abs(length(u.word) - length(v.word)) <= 2)
   WHERE free_distance <= 2),
 -- A swap counts as one edit only where nothing else happens inside the swapped pair: three edits otherwise.
 cut AS (
@@ -122,7 +110,28 @@ best AS (
       AND b[2] NOT IN (a[1], a[2]))
     AND NOT (free_distance = 2 AND length(a) = 3 AND length(b) = 2 AND a[1] = b[2] AND a[3] = b[1]
       AND a[2] NOT IN (b[1], b[2]))
-  GROUP BY word)
+  GROUP BY word)"""
+
+
+def nearest_ctes(known: str) -> str:
+    text = NEAREST.replace("__U__", _ONE_BYTE.format("u")).replace("__V__", _ONE_BYTE.format("v"))
+    return text.replace("{known}", known)
+
+
+_TYPO_SQL = f"""
+WITH vocabulary AS (
+  SELECT word, count(*) AS freq FROM (
+    SELECT unnest(list_transform(regexp_split_to_array({sql.line_breaks('text')}, '__BREAKS__'),
+      lambda w: lower({sql.strip('w')}))) AS word FROM benchmark)
+  WHERE length(word) >= 2 AND NOT list_contains({sql.listed(sql.stopwords())}, word) GROUP BY word),
+turns AS (
+  SELECT conv_id || '-' || turn AS turn_id,
+    {sql.words(sql.drop_symbols(sql.symbols_to_space(sql.line_breaks('lower(text)'))))} AS words FROM conversations),
+placed AS (
+  SELECT turn_id, words[pos] AS word, pos FROM (
+    SELECT turn_id, words, unnest(range(1, len(words) + 1)) AS pos FROM turns)),
+unknown AS (SELECT DISTINCT word FROM placed ANTI JOIN vocabulary USING (word)),
+__NEAREST__
 SELECT turns.turn_id, coalesce(string_agg(coalesce(corrected, placed.word), ' ' ORDER BY pos), '') AS text
 FROM turns LEFT JOIN placed USING (turn_id) LEFT JOIN best ON placed.word = best.word GROUP BY turns.turn_id
 """
@@ -158,7 +167,7 @@ ORACLES = {
     "rewrite_special_terms": _sql(sql.phrase_rules("lower(text)", "mapping_special_character_terms")),
     "symbols_to_space": _sql(sql.symbols_to_space("text")),
     "drop_symbols": _sql(sql.drop_symbols("text")),
-    "correct_typos": _TYPO_SQL.replace("__BREAKS__", word_breaks().replace("'", "''")),
+    "correct_typos": _TYPO_SQL.replace("__BREAKS__", word_breaks().replace("'", "''")).replace("__NEAREST__", nearest_ctes("vocabulary")),
     "remove_stopwords": _sql(sql.remove_stopwords("lower(text)")),
     "strip_accents": _sql(sql.accents("text")),
     "extract_seniority": _words_sql(fv.SENIORITIES),
@@ -172,13 +181,13 @@ ORACLES = {
         ["part_titles", "staff_titles"],
         "SELECT id, norm_title, coalesce(array_to_string(seniorities, ','), '') AS seniorities, "
         "coalesce(array_to_string(hierarchies, ','), '') AS hierarchies "
-        f"FROM ({sql.normalized(_TITLE_ROWS, 'title', 'id')})",
+        f"FROM ({sql.normalized(TITLE_ROWS, 'title', 'id')})",
     ),
     "normalize_title_with_locations": with_views(
         ["part_titles", "staff_titles"],
         "SELECT id, "
         + sql.plural(sql.remove_locations(sql.accents(sql.remove_stopwords(sql.drop_symbols(
             sql.symbols_to_space(sql.line_breaks("lower(title)")))))))
-        + f" AS norm_title FROM {_TITLE_ROWS}",
+        + f" AS norm_title FROM {TITLE_ROWS}",
     ),
 }
