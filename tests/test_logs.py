@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import json
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from titleloom.operators import coverage as cov
@@ -137,3 +139,19 @@ def test_ambiguous_lines(spark, lists):
     assert [tuple(r) for r in found.collect()] == [(1, [3, 2])]
     bases = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "line int, base string")
     assert [tuple(r) for r in lint.repeated_bases(bases).collect()] == [("a", 2)]
+
+
+@pytest.mark.parametrize("digits", [1, 4])
+def test_samples_are_the_first_in_the_shuffled_order(spark, monkeypatch, digits):
+    monkeypatch.setattr(cov, "_PASS_DIGITS", digits)
+    frame = spark.range(700).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS key")
+    order = {i: hashlib.md5(f"7/{i}".encode()).hexdigest() for i in range(700)}
+    for n in (0, 1, 57, 699, 700, 5000):
+        found = [r["id"] for r in cov.sample_requests(frame, n, 7, F.col("id")).collect()]
+        assert sorted(found) == sorted(sorted(order, key=order.get)[:n])
+    # A third of the rows has one key; equal rows count each.
+    for n in (1, 200, 500):
+        by_key = cov.sample_requests(frame, n, 7, F.col("key"))
+        assert by_key.count() == n and sorted(map(tuple, by_key.collect())) == sorted(map(tuple, by_key.collect()))
+    same = spark.range(90).selectExpr("1 AS id")
+    assert cov.sample_requests(same, 40, 7, F.col("id")).count() == 40

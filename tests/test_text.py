@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 import re
 import unicodedata
 
@@ -206,3 +207,22 @@ def test_word_index(spark):
     assert column(spark, asked, index.get) == [7, 2999, -1, -2, None, None]
     assert column(spark, asked, index.holds) == [True, True, True, True, False, False]
     assert column(spark, ["x"], WordIndex({}, "int").get) == [None]
+
+
+def test_location_lists_of_any_size(spark, lists):
+    """In the expression word by word, by the index, and as a table of a million words: the same answers."""
+    from titleloom.operators.normalize import Steps, normalize_title
+
+    steps = Steps(correct_typos=False, remove_locations=True, plural=False, gender=False, thesaurus=False, conjugation=False)
+    titles = ["motorista t5 recife t999999", "t1000000 x", "t7", "", "T3  t3 cook"]
+    rows = spark.createDataFrame([(t,) for t in titles], "title string")
+    table = spark.range(1_000_000).selectExpr("concat('t', id) AS word")
+
+    def answers(gazetteer, locations=None):
+        done = normalize_title(rows, gazetteer, steps, locations=locations).collect()
+        return {r.title: r.norm_title for r in done}
+
+    expected = {titles[0]: "motorista recife", titles[1]: "t1000000 x", titles[2]: "", "": "", titles[4]: "cook"}
+    assert answers(lists, table) == expected
+    for words in (frozenset({"t5", "t999999", "t7", "t3"}), frozenset({"t5", "t999999", *(f"t{i}" for i in range(3000))})):
+        assert answers(lists._replace(locations=words) if hasattr(lists, "_replace") else replace(lists, locations=words)) == expected

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from titleloom import fixed_values as fv
+from titleloom.functions.word_index import WordIndex
 
 # Characters that count as white space when a title is cut into words (regex class body).
 WHITE_SPACE = (
@@ -65,8 +66,15 @@ def join_words(words: Column) -> Column:
     return F.array_join(words, " ")
 
 
+# Longer lists are looked up in a constant index instead of being part of the expression word by word.
+LISTED_WORDS = 200
+
+
 def without_words(words: Column, dropped: Iterable[str]) -> Column:
     dropped = sorted(dropped)
+    if len(dropped) > LISTED_WORDS:
+        index = WordIndex(dict.fromkeys(dropped, True), "boolean")
+        return F.filter(words, lambda w: ~index.holds(w))
     return F.filter(words, lambda w: ~w.isin(dropped)) if dropped else words
 
 
@@ -160,5 +168,5 @@ def normalize_conjugation(text: Column, verbs: dict[str, str]) -> Column:
     """Replace words by the base form listed for them."""
     if not verbs:
         return join_words(split_words(text))
-    table = F.from_json(F.lit(_json(verbs)), "map<string,string>")
-    return join_words(F.transform(split_words(text), lambda w: F.coalesce(F.try_element_at(table, w), w)))
+    index = WordIndex(verbs, "string")
+    return join_words(F.transform(split_words(text), lambda w: F.coalesce(index.get(w), w)))

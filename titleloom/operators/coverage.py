@@ -109,13 +109,41 @@ def non_normalized_titles(requests: DataFrame) -> DataFrame:
     return requests.filter(F.col("role_id").isNull()).orderBy("title", *others).select("title")
 
 
+# Digits of the shuffled order that one pass counts: at most 65,536 counts come back.
+_PASS_DIGITS = 4
+
+
 def sample_requests(requests: DataFrame, n: int, seed: int, key: Column) -> DataFrame:
     """n requests in an order shuffled by a seed; the same rows on every run.
 
-    Each task keeps its own first n, so nothing but those is moved.
+    The order is a digest of seed and key, then of the other columns. The n-th place is found by radix selection: each
+    pass counts the next digits of the rows that share the digits found so far. Then every row sees for itself
+    whether it stands before that place, so no task gathers the sample. Only of rows equal in all columns some are
+    taken by a limit.
     """
-    shuffled = F.md5(F.concat_ws("/", F.lit(seed).cast("string"), key.cast("string")))
-    return requests.withColumn("__at", shuffled).orderBy("__at").limit(n).drop("__at")
+    if n <= 0:
+        return requests.limit(0)
+    columns = [c for c, kind in requests.dtypes if "map<" not in kind]
+    shuffled = F.concat(
+        F.md5(F.concat_ws("/", F.lit(seed).cast("string"), key.cast("string"))), F.lpad(F.hex(F.xxhash64(*columns)), 16, "0")
+    )
+    rows = requests.withColumn("__at", shuffled)
+    found, left = "", n
+    while len(found) < 48:
+        digits = F.substring("__at", len(found) + 1, _PASS_DIGITS)
+        counts = sorted(rows.filter(F.startswith("__at", F.lit(found))).groupBy(digits).count().collect())
+        for value, count in counts:
+            if left <= count:
+                break
+            left -= count
+        else:
+            # Only in the first pass, where the rows are fewer than n.
+            return requests
+        found += value
+        if left == count:
+            return rows.filter(F.substring("__at", 1, len(found)) <= found).drop("__at")
+    equal = rows.filter(F.col("__at") == found).limit(left)
+    return rows.filter(F.col("__at") < found).unionByName(equal).drop("__at")
 
 
 def _last_answers(run: DataFrame, order: str) -> DataFrame:

@@ -84,6 +84,17 @@ def replace_words(rows: DataFrame, text: str, verbs: DataFrame, id_column: str)
     )
 
 
+def drop_words(rows: DataFrame, text: str, dropped: DataFrame, id_column: str) -> DataFrame:
+    """Leave out the words of a text that a table ``word`` of any size holds. Each distinct word is looked up once."""
+    words = rows.select(id_column, F.posexplode(T.split_words(F.col(text))).alias("at", "word"))
+    hits = words.select("word").distinct().join(dropped.select("word").distinct(), "word", "left_semi")
+    marked = join_hot(words, hits.withColumn("__drop", F.lit(True)), ["word"], "left", spread=[id_column, "at"])
+    texts = marked.groupBy(id_column).agg(
+        F.array_sort(F.collect_list(F.when(F.col("__drop").isNull(), F.struct("at", "word")))).alias("words")
+    ).select(id_column, F.array_join(F.col("words.word"), " ").alias("__text"))
+    return rows.join(texts, id_column, "left").withColumn(text, F.coalesce("__text", F.lit(""))).drop("__text")
+
+
 def spelling_tables(
     lists: Gazetteer, vocabulary: DataFrame, verbs: DataFrame | None = None, dictionary: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -121,25 +132,32 @@ def normalize_distinct(
     vocabulary: DataFrame | None = None,
     verbs: DataFrame | None = None,
     dictionary: DataFrame | None = None,
+    locations: DataFrame | None = None,
 ) -> DataFrame:
     """``title, norm_title, seniorities, hierarchies`` for distinct titles.
 
     Without a vocabulary nothing is shuffled. With one (``word, freq``), words outside it, outside the gazetteer
     and outside the ``dictionary`` (``word``) are corrected.
     ``verbs`` (``variation, base``) replaces the verb list of the gazetteer; a list too long to inline becomes
-    such a table.
+    such a table. ``locations`` (``word``, lower case) replaces the location list of the gazetteer, at any size.
     """
     if verbs is None and len(lists.conjugation) > MAX_INLINE_VERBS:
         verbs = constant_table(titles.sparkSession, "variation string, base string", sorted(lists.conjugation.items()))
     texts = titles.select("title", cleaned(F.col("title"), lists, steps).alias("text"))
     if steps.correct_typos and vocabulary is not None:
-        texts = correct_typos(texts, *spelling_tables(lists, vocabulary, verbs, dictionary))
+        right = spelling_tables(lists, vocabulary, verbs, dictionary)
+        if locations is not None:
+            right = right[0], right[1].unionByName(locations.select("word"))
+        texts = correct_typos(texts, *right)
     texts = texts.select("title", without_stopwords_and_accents(F.col("text"), lists).alias("text")).select(
         "title",
         "text",
         T.extract_seniority(F.col("text")).alias("seniorities"),
         T.extract_hierarchy(F.col("text")).alias("hierarchies"),
     )
+    if steps.remove_locations and locations is not None:
+        texts = drop_words(texts, "text", locations, "title")
+        steps = Steps(**{**steps.__dict__, "remove_locations": False})
     if steps.conjugation and verbs is not None:
         if steps.remove_locations:
             texts = texts.withColumn("text", T.remove_locations(F.col("text"), lists.locations))
@@ -156,13 +174,14 @@ def normalize_title(
     vocabulary: DataFrame | None = None,
     verbs: DataFrame | None = None,
     dictionary: DataFrame | None = None,
+    locations: DataFrame | None = None,
 ) -> DataFrame:
     """Rows with a ``title``, plus ``norm_title, seniorities, hierarchies``.
 
     Every distinct title is worked on once. Null and empty titles give an empty text and empty lists.
     """
     titles = rows.select("title").filter(F.col("title") != "").distinct()
-    done = normalize_distinct(titles, lists, steps, vocabulary, verbs, dictionary)
+    done = normalize_distinct(titles, lists, steps, vocabulary, verbs, dictionary, locations)
     joined = join_hot(rows, done, ["title"])
     nothing = F.array().cast("array<string>")
     return joined.select(
