@@ -90,14 +90,16 @@ def test_secret_base_spans(spark, documents):
         assert row["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
 
 
-def test_weighted_sampling_estimates_generalised_jaccard(spark, documents):
-    def weights(text):
-        return {k: 1 + math.log(n) for k, n in Counter(text.lower().split()).items()}
+def _weights(text):
+    return {k: 1 + math.log(n) for k, n in Counter(text.lower().split()).items()}
+
+
+def _generalised_jaccard(a, b):
+    words = {*a, *b}
+    return sum(min(a.get(w, 0), b.get(w, 0)) for w in words) / sum(max(a.get(w, 0), b.get(w, 0)) for w in words)
 
-    def jaccard(a, b):
-        words = {*a, *b}
-        return sum(min(a.get(w, 0), b.get(w, 0)) for w in words) / sum(max(a.get(w, 0), b.get(w, 0)) for w in words)
 
+def test_weighted_sampling_estimates_generalised_jaccard(spark, documents):
     ids, errors, prints = sorted(documents), [], defaultdict(set)
     found = {r["doc_id"]: r for r in Q.op2_weighted_sampling(spark, SMALL).collect()}
     for at, i in enumerate(ids):
@@ -106,12 +108,39 @@ def test_weighted_sampling_estimates_generalised_jaccard(spark, documents):
         edited = text[: len(text) - quarter] + following[:quarter]
         assert found[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         prints[text].add(found[i]["fingerprint"])
-        if len(text) > 400:
-            errors.append(found[i]["near_edited"] - jaccard(weights(text), weights(edited)))
+        errors.append(found[i]["near_edited"] - _generalised_jaccard(_weights(text), _weights(edited)))
     assert max(map(len, prints.values())) == 1
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08
 
 
+def test_collision_rate_has_no_bias_on_short_texts_and_unequal_weights(spark):
+    """Pairs of 5 to 80 words, one text repeating some words of the other up to 30 times."""
+    draw, rows = np.random.default_rng(7), []
+    for pair in range(1200):
+        words = [f"w{pair}x{k}" for k in range(int(draw.choice([5, 10, 20, 40, 80])))]
+        left = [w for w in words if draw.random() < 0.8]
+        right = [w for w in words if draw.random() < 0.7 for _ in range(int(draw.choice([1, 1, 2, 5, 30])))]
+        rows.append((pair, " ".join(left or words), " ".join(right or words)))
+    table = spark.createDataFrame(rows, "id long, a string, b string")
+    found = weighted_sampling.signatures(table, ["id"], [(F.col("a"), ("a",)), (F.col("b"), ("b",))])
+    rates = {r["id"]: r["rate"] for r in found.select("id", weighted_sampling.likeness(F.col("a"), F.col("b")).alias("rate")).collect()}
+    true = np.array([_generalised_jaccard(_weights(a), _weights(b)) for _, a, b in rows])
+    errors = np.array([rates[i] for i, _, _ in rows]) - true
+    # Independent draws: the spread is that of SAMPLES coins.
+    expected = np.sqrt(np.mean(true * (1 - true)) / weighted_sampling.SAMPLES)
+    assert abs(errors.mean()) < 0.006 and abs(errors.std() / expected - 1) < 0.1
+    for low, high in ((0, 0.25), (0.25, 0.5), (0.5, 1)):
+        inside = errors[(true >= low) & (true < high)]
+        assert len(inside) < 50 or abs(inside.mean()) < 0.012
+
+
+def test_weighted_sampling_gives_every_repeated_row(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "a b"), (2, None), (None, "x y z w"), (None, "x y z w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter(r["doc_id"] for r in weighted_sampling.fingerprint_documents(docs).collect())
+    assert found == {1: 3, 2: 2, None: 2}
+
+
 def test_shards_move_only_to_the_new_one(spark, documents):
     rows = Q.op3_rendezvous(spark, SMALL).collect()
     slots = defaultdict(list)

@@ -7,65 +7,99 @@ from pyspark.sql import functions as F
 
 from titleloom.llm.common import shuffle_partitions, staged
 
-SLOTS = 128
+SAMPLES = 64
+# Samples that one row of the drawing step takes: few, so that the generated code of that step stays small.
+LANES = 4
 # ln(a) is kept in steps of 2 ** -25 between -64 and 64.
 STEPS = float(1 << 25)
 WHITE_SPACE = "[ \t\n\r\f\u000b]+"
 
 
-def _uniform(bits: Column, shift: int) -> Column:
-    """A number in (0, 1] from 31 of the bits."""
-    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0x7FFFFFFF)) + 1) / float(1 << 31)
+def _exponential(bits: Column, low: int, high: int) -> Column:
+    """A draw from Gamma(2, 1): minus the logarithm of the product of two uniform numbers of 25 bits in (0, 1]."""
 
+    def uniform(shift: int) -> Column:
+        return F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0x1FFFFFF)) + 1
 
-def _gamma(bits: Column) -> Column:
-    """A draw from Gamma(2, 1): the sum of two exponential ones. Two uniforms of 1 stand for the least positive number."""
-    return F.greatest(-F.log(_uniform(bits, 0) * _uniform(bits, 32)), F.lit(1e-12))
+    # Two uniforms of 1 stand for the least positive number.
+    return F.greatest(-F.log(uniform(low) * uniform(high) / float(1 << 50)), F.lit(1e-9))
 
 
-def weighted_terms(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """``keys, h, weight``: words (lower case, between white space) by hash, with weight 1 + ln(occurrences)."""
-    words = rows.select(*keys, F.explode(F.split(F.lower(text), WHITE_SPACE)).alias("word")).filter("word != ''")
-    counted = words.groupBy(*keys, F.xxhash64("word").alias("h")).agg(F.count("*").alias("n"))
-    return counted.select(*keys, "h", (1 + F.log(F.col("n").cast("double"))).alias("weight"))
+def word_counts(rows: DataFrame, keys: list[str], pieces: list[tuple[Column, tuple[str, ...]]]) -> DataFrame:
+    """``keys, h`` and a count per name: words (lower case, between white space) by hash.
 
+    Each piece is a text with the names of those it is part of, so what several texts share is split once. Pieces of
+    one text meet at white space.
+    """
+    names = sorted({name for _, of in pieces for name in of})
+    texts = F.array(
+        *[F.struct(text.alias("text"), *[F.lit(int(n in of)).alias(n) for n in names]) for text, of in pieces]
+    )
+    words = rows.select(*keys, F.explode(texts).alias("piece")).select(
+        *keys, *[F.col(f"piece.{n}").alias(n) for n in names],
+        F.explode(F.split(F.lower("piece.text"), WHITE_SPACE)).alias("word"),
+    )
+    return words.filter("word != ''").groupBy(*keys, F.xxhash64("word").alias("h")).agg(
+        *[F.sum(n).alias(n) for n in names]
+    )
 
-def fingerprints(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """``keys, samples``: up to ``SLOTS`` samples per row with words, as sorted integers ``slot * 2 ** 24 + sample``.
+
+def signatures(rows: DataFrame, keys: list[str], pieces: list[tuple[Column, tuple[str, ...]]]) -> DataFrame:
+    """``keys`` and per name of the ``pieces`` an array: ``SAMPLES`` samples of that text, none without words.
 
     ``keys`` name a row and are not null. Where the rows already lie together by them, nothing is shuffled.
 
-    Each term draws r and c from Gamma(2, 1) and b from the unit interval, all from its hash. With weight w it is
-    quantised to t = floor(ln w / r + b) and gets a, where ln a = ln c - r * (t - b + 1). The (term, t) with the
-    smallest a is the sample: over the draws, two texts have the same one with a probability equal to their
-    generalised Jaccard similarity, the sum of the smaller weights over that of the larger. A hash of the term picks
-    the slot in which it competes, so each term is drawn once and not once per slot. For slots to carry about
-    equal weight, a term of weight over 1 is split into parts of weight 1 and a rest, each a term of its own: that
-    leaves both sums, and so the similarity, as they are. A slot without terms has no sample.
+    A word that occurs n times is a term of weight 1 + ln n. For each sample k, every term draws r and c from
+    Gamma(2, 1) and b from the unit interval, all from hashes of the term and k, so the draws of two samples are
+    independent and those of a term are the same in all texts. With weight w it is quantised to
+    t = floor(ln w / r + b) and gets a, where ln a = ln c - r * (t - b + 1). The (term, t) with the smallest a is
+    sample k: two texts have the same one with a probability equal to their generalised Jaccard similarity, the sum
+    of the smaller weights over that of the larger. A sample is kept as ``k * 2 ** 24`` plus 24 bits of its name.
     """
-    parts = weighted_terms(rows, keys, text).select(
-        *keys, "h", "weight", F.explode(F.sequence(F.lit(0), F.ceil("weight").cast("int") - 1)).alias("part")
-    )
-    drawn = parts.select(
-        *keys, F.xxhash64("h", "part").alias("h"), F.log(F.least(F.lit(1.0), F.col("weight") - F.col("part"))).alias("w")
-    ).select(
-        *keys,
-        F.col("h"),
-        F.col("w"),
-        _gamma(F.xxhash64("h", F.lit(1))).alias("r"),
-        F.log(_gamma(F.xxhash64("h", F.lit(2)))).alias("c"),
-        _uniform(F.xxhash64("h", F.lit(3)), 0).alias("b"),
+    names = sorted({name for _, of in pieces for name in of})
+    terms = word_counts(rows, keys, pieces).select(
+        *keys, "h", *[F.log(1 + F.log(F.col(n).cast("double"))).alias(f"w_{n}") for n in names],
+        F.explode(F.array(*[F.lit(g) for g in range(SAMPLES // LANES)])).alias("g"),
+    )
+    hashed = terms.select(
+        "*",
+        *[F.xxhash64("h", "g", F.lit(2 * k)).alias(f"x{k}") for k in range(LANES)],
+        *[F.xxhash64("h", "g", F.lit(2 * k + 1)).alias(f"y{k}") for k in range(LANES)],
     )
-    quantised = drawn.withColumn("t", F.floor(F.col("w") / F.col("r") + F.col("b")))
-    value = F.col("c") - F.col("r") * (F.col("t") - F.col("b") + 1)
-    step = F.floor(F.least(F.greatest(value + 64, F.lit(0.0)), F.lit(127.999999)) * STEPS)
-    # In one number, value first: the smallest number of a slot has its smallest value.
-    packed = F.shiftleft(step, 24).bitwiseOR(F.xxhash64("h", "t").bitwiseAND(F.lit(0xFFFFFF)))
-    least = quantised.groupBy(*keys, F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(
-        F.min(packed).alias("least")
+    drawn = hashed.select(
+        *keys, "h", "g", *[f"w_{n}" for n in names],
+        *[_exponential(F.col(f"x{k}"), 0, 25).alias(f"r{k}") for k in range(LANES)],
+        *[F.log(_exponential(F.col(f"y{k}"), 0, 25)).alias(f"c{k}") for k in range(LANES)],
+        # The 14 upper bits that neither gamma draw has read, from both hashes.
+        *[
+            ((F.shiftrightunsigned(f"x{k}", 50) * 16384 + F.shiftrightunsigned(f"y{k}", 50)) / float(1 << 28)).alias(f"b{k}")
+            for k in range(LANES)
+        ],
+    )
+
+    def packed(name: str, k: int) -> Column:
+        r, c, b = F.col(f"r{k}"), F.col(f"c{k}"), F.col(f"b{k}")
+        t = F.floor(F.col(f"w_{name}") / r + b)
+        step = F.floor(F.least(F.greatest(c - r * (t - b + 1) + 64, F.lit(0.0)), F.lit(127.999999)) * STEPS)
+        # In one number, value first: the smallest number has the smallest value. Without the word it is null.
+        return F.shiftleft(step, 24).bitwiseOR(F.col("h").bitwiseXOR(t * 0x9E3779).bitwiseAND(F.lit(0xFFFFFF)))
+
+    least = drawn.groupBy(*keys, "g").agg(*[F.min(packed(n, k)).alias(f"{n}_{k}") for n in names for k in range(LANES)])
+
+    def sample(name: str, k: int) -> Column:
+        place = F.shiftleft(F.col("g") * LANES + k, 24)
+        return place.bitwiseOR(F.col(f"{name}_{k}").bitwiseAND(F.lit(0xFFFFFF)).cast("int"))
+
+    lanes = least.select(*keys, "g", *[F.array(*[sample(n, k) for k in range(LANES)]).alias(n) for n in names])
+    found = lanes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("g", *names))).alias("lanes"))
+    return found.select(
+        *keys, *[F.filter(F.flatten(F.col(f"lanes.{n}")), lambda x: x.isNotNull()).alias(n) for n in names]
     )
-    sample = F.shiftleft("slot", 24).bitwiseOR(F.col("least").bitwiseAND(F.lit(0xFFFFFF))).cast("int")
-    return least.groupBy(*keys).agg(F.sort_array(F.collect_list(sample)).alias("samples"))
+
+
+def fingerprints(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """``keys, samples``: the signature of one text per row; rows without words are left out."""
+    return signatures(rows, keys, [(text, ("samples",))])
 
 
 def fingerprint_text(samples: Column) -> Column:
@@ -74,13 +108,10 @@ def fingerprint_text(samples: Column) -> Column:
 
 
 def likeness(left: Column, right: Column) -> Column:
-    """The share of slots in which two fingerprints agree, of those in which either has a sample; two empty ones: 1."""
-    slots = F.size(
-        F.array_union(
-            F.transform(left, lambda x: F.shiftright(x, 24)), F.transform(right, lambda x: F.shiftright(x, 24))
-        )
+    """The share of samples in which two fingerprints agree; two empty ones: 1, an empty one and another: 0."""
+    return F.when((F.size(left) == 0) & (F.size(right) == 0), F.lit(1.0)).otherwise(
+        F.size(F.array_intersect(left, right)) / SAMPLES
     )
-    return F.when(slots == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(left, right)) / slots)
 
 
 def neighbours_by_id(docs: DataFrame) -> DataFrame:
@@ -122,8 +153,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     document is that of the next larger doc_id; after the last comes the first. In the edited text the last quarter of
     the code points is replaced by as many of the next document's first, or all it has. A null text is empty; an
     empty fingerprint is like another empty one (1.0) and unlike any other (0.0). Rows equal in doc_id and text are
-    one document and give one row; rows that share a doc_id alone follow each other. A null doc_id comes first.
-    Extra columns are not read.
+    fingerprinted once, as one document in the order, and each comes back; rows that share a doc_id alone follow each
+    other. A null doc_id comes first. Extra columns are not read.
     """
     # All uses of the texts need these columns and no others, so that they read one exchange.
     keys = ["key_id", "key_null", "key_text"]
@@ -137,41 +168,55 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     ring = staged(
         neighbours_by_id(texts.select(*keys, F.char_length("text").alias("n_chars"))), "ring"
     )
-    if not ring.filter("rows > 1").isEmpty():
+    repeated = not ring.filter("rows > 1").isEmpty()
+    if repeated:
         texts = texts.dropDuplicates(keys)
-    # The texts move once, to where their keys lie; words and slots are counted there.
-    placed = texts.join(ring.drop("rows"), keys)
+    # The texts move once, to where their keys lie; words and samples are counted there.
+    placed = texts.join(ring, keys)
     nothing = F.array().cast("array<int>")
-    own_prints = fingerprints(placed, keys, F.col("text"))
-    following = placed.join(own_prints, keys, "left").select(
-        F.col("prev_id").alias("key_id"),
-        F.col("prev_null").alias("key_null"),
-        F.col("prev_text").alias("key_text"),
-        F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"),
-        F.coalesce("samples", nothing).alias("next_samples"),
+    previous = [F.col(f"prev_{k}").alias(f"key_{k}") for k in ("id", "null", "text")]
+    heads = placed.select(
+        *previous, F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head")
     )
     n_chars = F.char_length("text")
-    edited = placed.join(following, keys).select(
-        *keys,
-        n_chars.cast("long").alias("n_chars"),
-        F.concat(F.substring("text", F.lit(1), n_chars - F.floor(n_chars / 4).cast("int")), F.col("head")).alias("edited"),
-        "next_samples",
+    body = F.substring("text", F.lit(1), n_chars - F.floor(n_chars / 4).cast("int"))
+    # What both texts begin with, up to white space: its words are split and drawn once.
+    common = F.regexp_extract(body, r"(?s)^(.*[ \t\n\r\f\x0B])", 1)
+    edited = placed.join(heads, keys).select(
+        *keys, "prev_id", "prev_null", "prev_text", "rows", "text", n_chars.cast("long").alias("n_chars"),
+        F.concat(body, F.col("head")).alias("edited"), common.alias("common"),
+    )
+    behind = F.char_length("common") + 1
+    prints = signatures(
+        edited,
+        keys,
+        [
+            (F.col("common"), ("own", "changed")),
+            (F.substring("text", behind, F.lit(2**31 - 1)), ("own",)),
+            (F.substring("edited", behind, F.lit(2**31 - 1)), ("changed",)),
+        ],
     )
-    edited_prints = fingerprints(edited, keys, F.col("edited")).withColumnRenamed("samples", "edited_samples")
-    done = (
-        edited.select(*keys, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                      "next_samples")
-        .join(own_prints, keys, "left")
-        .join(edited_prints, keys, "left")
-        .withColumn("samples", F.coalesce("samples", nothing))
-        .withColumn("edited_samples", F.coalesce("edited_samples", nothing))
+    done = staged(
+        edited.select(
+            *keys, "prev_id", "prev_null", "prev_text", "rows", "n_chars",
+            F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        )
+        .join(prints, keys, "left")
+        .withColumn("own", F.coalesce("own", nothing))
+        .withColumn("changed", F.coalesce("changed", nothing)),
+        "prints",
     )
-    return done.select(
+    paired = done.drop("prev_id", "prev_null", "prev_text").join(
+        done.select(*previous, F.col("own").alias("next_own")), keys
+    )
+    if repeated:
+        paired = paired.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return paired.select(
         F.when(~F.col("key_null"), F.col("key_id")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
-        fingerprint_text(F.col("samples")).alias("fingerprint"),
-        fingerprint_text(F.col("edited_samples")).alias("edited_fingerprint"),
-        likeness(F.col("samples"), F.col("edited_samples")).alias("near_edited"),
-        likeness(F.col("samples"), F.col("next_samples")).alias("near_next"),
+        fingerprint_text(F.col("own")).alias("fingerprint"),
+        fingerprint_text(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
