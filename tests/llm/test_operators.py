@@ -74,7 +74,9 @@ def test_secrets_link_only_with_counterpart(spark):
     ]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kinds = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan_secrets(rows).collect()}
-    assert kinds == {0: [5, 4], 1: [], 2: [], 3: [3, 4], 4: [], 5: []}
+    assert kinds == {0: [5, 4], 1: [], 2: [], 3: [3, 4], 4: [5, 4], 5: []}
+    near = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan_secrets(rows, reach=200).collect()}
+    assert near == kinds | {4: []}
 
 
 def test_secret_base_spans(spark, documents):

@@ -35,9 +35,10 @@ DIGITS = re.compile(r"[0-9]+", re.ASCII)
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]+", re.ASCII)
 TOKEN_LENGTH = 20
 URL = re.compile(r"""https?://[^\s"'<>]{4,}""", re.ASCII)
-ADDRESS = re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])", re.ASCII)
-REACH = 200
-SCOPE_BREAK = "\n\n"
+# With a port or a path behind it; without one, four numbers may be a version.
+ADDRESS = re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5}(?![0-9.])|(?=/))", re.ASCII)
+# One or more lines of nothing but white space, with any line ends.
+SCOPE_BREAK = re.compile(r"(?:\n|\r(?!\n))\s*[\r\n]")
 SPAN = "struct<kind:int,begin:long,until:long,scope:int>"
 
 
@@ -83,18 +84,24 @@ def _bare(text: str) -> Iterator[tuple[int, int, int]]:
         for m in URL.finditer(text):
             yield m.start(), 5, m.end()
     for m in ADDRESS.finditer(text):
-        if not (m.start() and text[m.start() - 1] in "0123456789."):
+        octets = m.group().partition(":")[0].split(".")
+        if not (m.start() and text[m.start() - 1] in "0123456789.") and all(int(x) < 256 for x in octets):
             yield m.start(), 5, m.end()
 
 
 def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The weak parts of a text that overlap no strong form; of equal ones the earlier kind."""
+    """The weak parts of a text that overlap no strong form; of those of a kind that overlap, the leftmost, then longest."""
     taken = sorted((b, u) for b, _, u in base)
     begins = [b for b, _ in taken]
     # The furthest end of the strong forms that begin before a place.
     ends = [-1, *accumulate((u for _, u in taken), max)]
-    found = sorted({*_assigned(text), *_bare(text)})
-    return [(b, kind, u) for b, kind, u in found if b >= ends[bisect_left(begins, u)]]
+    found = sorted({*_assigned(text), *_bare(text)}, key=lambda span: (span[0], span[1], -span[2]))
+    kept, until = [], {}
+    for b, kind, u in found:
+        if b >= ends[bisect_left(begins, u)] and b >= until.get(kind, 0):
+            kept.append((b, kind, u))
+            until[kind] = u
+    return kept
 
 
 def _find(batches: Iterator) -> Iterator:
@@ -106,12 +113,11 @@ def _find(batches: Iterator) -> Iterator:
         for value in batch.column("text"):
             text = value.as_py() or ""
             base = base_spans(text)
-            out, scope, seen = [], 0, 0
-            for begin, name, until in sorted(base + weak_spans(text, base)):
-                scope += text.count(SCOPE_BREAK, seen, begin)
-                seen = begin
-                out.append({"kind": name, "begin": begin, "until": until, "scope": scope})
-            spans.append(out)
+            both = sorted(base + weak_spans(text, base))
+            breaks = [m.start() for m in SCOPE_BREAK.finditer(text)] if both else []
+            spans.append(
+                [{"kind": k, "begin": b, "until": u, "scope": bisect_left(breaks, b)} for b, k, u in both]
+            )
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
 
 
@@ -120,16 +126,26 @@ def _bins(parts: DataFrame, left: Column, right: Column, width: int) -> DataFram
     return parts.withColumn("bin", F.explode(F.sequence(first, last)))
 
 
-def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """The weak parts (``row_id, kind, begin, until``) that have their counterpart within reach in the same scope.
+def link_parts(parts: DataFrame, reach: int | None = None) -> DataFrame:
+    """The weak parts (``row_id, kind, begin, until``) that have their counterpart in the same scope.
 
     An access identifier and an endpoint need a secret (weak, assigned or hexadecimal), a weak secret needs an access
-    identifier (weak or strong) or an endpoint. Two parts are within reach if at most ``reach`` code points lie
-    between them. The interval join is an equality join on bins of the text: a part stands in the bins that it covers or ends at,
-    its counterpart's search range in all that it touches. A bin holds few parts as they do not overlap within a
-    kind, so no more pairs arise than the text is long, and a semi join returns each part once.
+    identifier (weak or strong) or an endpoint. A scope is the interval that both must lie in: per scope it is
+    counted once which parts occur, and each weak part meets that one row, so no pairs arise.
+
+    With ``reach``, at most so many code points may lie between the two as well. The interval join is then an equality
+    join on bins of the text: a part stands in the bins that it covers or ends at, its counterpart's search range in
+    all that it touches. A bin holds few parts as they do not overlap within a kind, and a semi join returns each
+    part once.
     """
     secret, access, endpoint = F.col("kind").isin(0, 2, 4), F.col("kind").isin(1, 3), F.col("kind") == 5
+    if reach is None:
+        scopes = parts.groupBy(F.col("row_id").alias("o_row"), F.col("scope").alias("o_scope")).agg(
+            F.max(secret).alias("secret"), F.max(access | endpoint).alias("target")
+        )
+        counterpart = F.when(F.col("kind") == 4, F.col("target")).otherwise(F.col("secret"))
+        inside = (F.col("row_id") == F.col("o_row")) & (F.col("scope") == F.col("o_scope")) & counterpart
+        return parts.filter("kind >= 3").join(scopes, inside, "left_semi").select("row_id", "kind", "begin", "until")
     width = 2 * reach
     weak = _bins(parts.filter("kind >= 3"), F.greatest(F.col("begin") - reach, F.lit(0)), F.col("until") + reach, width)
     wanted = weak.withColumn("wants", F.explode(F.when(F.col("kind") == 4, F.array(F.lit(1), F.lit(2))).otherwise(
@@ -154,13 +170,13 @@ def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
     return linked.select("row_id", "kind", "begin", "until").distinct()
 
 
-def scan_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def scan_secrets(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """``doc_id, spans``: per row of ``docs`` the strong spans and the linked weak ones, sorted by begin, then kind.
 
     A span is ``(kind, begin, until)`` in code points, the end exclusive; ``kind`` indexes ``KINDS``. A null or
     empty text has none. Rows are told apart by a number of their own, so repeated doc_ids and null ones are no
-    matter; extra columns are not read. Scopes are the parts of a text between empty lines; parts are linked inside one
-    scope and with at most ``reach`` code points between them.
+    matter; extra columns are not read. Scopes are the parts of a text between lines without anything but white space;
+    parts are linked inside one scope at any distance, or with at most ``reach`` code points between them.
     """
     found = staged(
         docs.select("doc_id", "text")
