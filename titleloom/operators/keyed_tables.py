@@ -20,10 +20,18 @@ def _bucket(keys: Sequence[str], buckets: int) -> Column:
 
 
 def write_keyed_table(table: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
-    """Write a table, one folder per bucket of its keys; buckets that the path has already are replaced."""
+    """Write a table, one folder per bucket of its keys; buckets that the path has already are replaced.
+
+    Its columns are kept in a folder beside it, so that a table without rows can be read and changed.
+    """
+    table.limit(0).withColumn(_BUCKET, F.lit(0)).write.mode("overwrite").parquet(_columns(path))
     _replace(table.withColumn(_BUCKET, _bucket(keys, buckets)), path)
 
 
+def _columns(path: str) -> str:
+    return f"{path.rstrip('/')}.columns"
+
+
 def _replace(placed: DataFrame, path: str) -> None:
     (
         placed.repartition(_BUCKET).write.mode("overwrite")
@@ -32,9 +40,14 @@ def _replace(placed: DataFrame, path: str) -> None:
 
 
 def read_keyed_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """The table of a path; with a ``schema`` also one that has no rows yet."""
-    reader = spark.read.schema(f"{schema}, {_BUCKET} int") if schema else spark.read
-    return reader.parquet(path).drop(_BUCKET)
+    """The table of a path; with a ``schema`` also one that was never written."""
+    if schema:
+        return spark.read.schema(f"{schema}, {_BUCKET} int").parquet(path).drop(_BUCKET)
+    return _placed(spark, path).drop(_BUCKET)
+
+
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(spark.read.parquet(_columns(path)).schema).parquet(path)
 
 
 def _fingerprints(rows: DataFrame) -> DataFrame:
@@ -66,7 +79,7 @@ def rewrite_touched(
     if not touched:
         return []
     # At most one number per bucket; the filter is on the folder's name, so that no other folder is read.
-    part = spark.read.parquet(path).filter(F.col(_BUCKET).isin(touched))
+    part = _placed(spark, path).filter(F.col(_BUCKET).isin(touched))
     after = merged(part.drop(_BUCKET), listed.drop(_BUCKET)).withColumn(_BUCKET, _bucket(keys, buckets))
     beside = new_shared_path(spark, "touched")
     after.repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(beside)

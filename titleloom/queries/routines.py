@@ -9,13 +9,14 @@ from titleloom import fixed_values as fv
 from titleloom.operators import keyed_tables as kt
 from titleloom.operators import windows as win
 from titleloom.operators import writeback as wb
+from titleloom.plans import ledger
 from titleloom.plans import routines as plan
 from titleloom.queries.matching import STEPS, with_pieces
 from titleloom.queries.sources import PENDING_CVS_SQL, PENDING_JOBS_SQL, PENDING_WORK_EXP_SQL
 from titleloom.queries.sources import pending_cvs, pending_jobs, pending_work_exp
 from titleloom.queries.standins import AS_OF, gazetteer, table, view, with_views
 from titleloom.queries.vocabulary import built_catalogue
-from titleloom.session import new_shared_path
+from titleloom.session import new_shared_path, written_once
 
 NOW = "2001-08-02 10:00:00"
 # Few, as the tables are small.
@@ -193,6 +194,21 @@ def normalize_pending_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.normalized.select("vag_id", "title", "cargo_id")
 
 
+def normalize_pending_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The role table after the job routine on the last 24 weeks, stopped after one step and started again."""
+    root = new_shared_path(spark, "resumed")
+    out = ledger.Outputs(*[f"{root}/{n}" for n in ("roles", "flags", "messages", "counts", "ledger")], KEY_BUCKETS)
+    kt.write_keyed_table(_target(spark, sf_dir), out.roles, ["vag_id"], KEY_BUCKETS)
+    kt.write_keyed_table(_old_flags(spark, sf_dir), out.flags, ["vag_id"], KEY_BUCKETS)
+    jobs, display, role_rows = (view(spark, sf_dir, name) for name in ("jobs", "job_display", "job_role_rows"))
+    catalogue = written_once(built_catalogue(spark, sf_dir), "catalogue")
+    for steps in (1, None):
+        ledger.resume_jobs_routine(
+            jobs, display, role_rows, AS_OF, catalogue, gazetteer(spark), out, together=12, at_most=steps, steps=STEPS
+        )
+    return kt.read_keyed_table(spark, out.roles)
+
+
 def normalize_pending_cvs_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The CV routine on the 31 windows."""
     run = plan.run_cvs_routine(
@@ -250,6 +266,7 @@ QUERIES = {
     "normalize_pending_roles": normalize_pending_roles,
     "normalize_pending_messages": normalize_pending_messages,
     "normalize_pending_windowed": normalize_pending_windowed,
+    "normalize_pending_resumed": normalize_pending_resumed,
     "normalize_pending_cvs_windowed": normalize_pending_cvs_windowed,
     "normalize_pending_cvs": normalize_pending_cvs,
     "normalize_pending_work_exp": normalize_pending_work_exp,
@@ -393,6 +410,14 @@ ORACLES = {
         f"WHERE p.job_id IN (SELECT o_orderkey FROM orders WHERE o_orderdate > {_NOW_SQL} - INTERVAL 168 DAY "
         f"AND o_orderdate <= {_NOW_SQL})",
     ),
+    "normalize_pending_resumed": _run_sql(
+        "jobs",
+        ", done AS (SELECT p.job_id AS vag_id, min(f.role_id) AS new FROM pending p JOIN roles_found f USING (title) "
+        f"WHERE p.job_id IN (SELECT o_orderkey FROM orders WHERE o_orderdate > {_NOW_SQL} - INTERVAL 168 DAY "
+        f"AND o_orderdate <= {_NOW_SQL}) GROUP BY p.job_id), {_TARGET} "
+        "SELECT vag_id, coalesce(new, cargo_id) AS cargo_id FROM target LEFT JOIN done USING (vag_id) "
+        "UNION ALL SELECT vag_id, new FROM done WHERE vag_id NOT IN (SELECT vag_id FROM target)",
+    ),
     "normalize_pending_cvs_windowed": _run_sql(
         "cvs",
         "SELECT p.cv_id AS cur_id, p.title, f.role_id AS cargo_id FROM pending p JOIN roles_found f USING (title) "

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from titleloom import fixed_values as fv
 from titleloom.operators import catalogue as cat
 from titleloom.operators import vocabulary as voc
+from titleloom.operators import word_loads
 from titleloom.queries import sql
 from titleloom.queries.standins import gazetteer, table, view, with_views
+from titleloom.session import new_shared_path
 from titleloom.sources import catalogue as roles
 from titleloom.sources import gazetteers
 
@@ -62,6 +64,14 @@ def merge_word_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voc.merge_word_freq(extract_words(spark, sf_dir), turns)
 
 
+def merge_word_freq_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same words from a table kept load by load; one load comes twice and counts once."""
+    stop, path = gazetteer(spark).stopwords, new_shared_path(spark, "word-loads")
+    for name in ("documents", "conversations", "documents"):
+        word_loads.add_word_load(spark, path, name, voc.extract_words(table(spark, sf_dir, name), "text", stop))
+    return word_loads.read_word_freq(spark, path)
+
+
 def rule_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gazetteers.rule_words_of(_document_lines(spark, sf_dir), _stop_table(spark))
 
@@ -97,6 +107,7 @@ QUERIES = {
     "distinct_titles": distinct_titles,
     "extract_words": extract_words,
     "merge_word_freq": merge_word_freq,
+    "merge_word_freq_loads": merge_word_freq_loads,
     "build_dictionary": build_dictionary,
     "rule_words": rule_words,
     "location_words": location_words,
@@ -175,3 +186,6 @@ ORACLES = {
     "dedupe_similar": with_catalogue("SELECT * FROM similar_roles"),
     "build_catalogue": with_catalogue("SELECT * FROM catalogue"),
 }
+
+# Load by load or at once, the words are the same.
+ORACLES["merge_word_freq_loads"] = ORACLES["merge_word_freq"]
