@@ -157,6 +157,17 @@ def test_shards_move_only_to_the_new_one(spark, documents):
     assert abs(next(r["count"] for r in shares if r["shard"] == 1) / 20_000 - 0.75) < 0.02
 
 
+def test_shards_against_all_scores(spark, documents):
+    """Equal weights: the shard with the largest draw of 13 hexadecimal digits wins."""
+
+    def best(doc_id, shards):
+        draws = [int(hashlib.md5(f"{doc_id}:{s}".encode()).hexdigest()[:13], 16) for s in range(shards)]
+        return draws.index(max(draws))
+
+    found = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in Q.op3_rendezvous(spark, SMALL).collect()}
+    assert found == {i: (best(i, 40), best(i, 41)) for i in documents}
+
+
 def test_block_names_of_long_texts(spark):
     texts = ["a" * 1000, "A" * 1000, "a" * 999, "a" * 999 + "b", "b" + "a" * 999, "", None, "a" * 64, "a" * 128]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -174,4 +174,22 @@ ORACLES = {
         FROM lines AS l LEFT JOIN covered AS c ON l.doc_id = c.doc_id AND l.pos = c.pos
         GROUP BY l.doc_id
     """,
+    "op12_fill_in_middle": r"""
+        WITH held AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
+        tokens AS (SELECT doc_id, text,
+            regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t,
+            CAST('0x' || hex[1:8] AS BIGINT) AS h1, CAST('0x' || hex[9:16] AS BIGINT) AS h2,
+            CAST('0x' || hex[17:24] AS BIGINT) AS h3, CAST('0x' || hex[25:32] AS BIGINT) AS h4 FROM held),
+        cuts AS (SELECT doc_id, text, t, len(t) AS n, least(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS a,
+            greatest(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS b,
+            CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50
+            THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM tokens),
+        parts AS (SELECT doc_id, text, n, form, coalesce(array_to_string(t[1:a], ''), '') AS prefix,
+            coalesce(array_to_string(t[a + 1:b], ''), '') AS middle, coalesce(array_to_string(t[b + 1:], ''), '') AS suffix FROM cuts)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256 FROM parts
+    """,
 }
