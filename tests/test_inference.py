@@ -35,9 +35,9 @@ def world(spark):
     return applies, contacts, jobs, users, frames
 
 
-def newest(applies, column, key):
+def newest(applies, column, key, limit=200):
     mine = [a for a in applies if a[column] == key]
-    return sorted(mine, key=lambda a: (a[2], a[3]), reverse=True)[:200]
+    return sorted(mine, key=lambda a: (a[2], a[3]), reverse=True)[:limit]
 
 
 def test_users(spark, world):
@@ -47,6 +47,21 @@ def test_users(spark, world):
     assert found == {u: mode([jobs[a[1]] for a in newest(applies, 0, u) if a[1] in jobs]) for u in range(1, 6)}
 
 
+def test_which_applies_count_is_a_setting(spark, world):
+    applies, _, jobs, users, frames = world
+    ids = spark.createDataFrame([(u,) for u in range(1, 6)], "user_id long")
+    recent = [a for a in applies if a[2] > 1200]
+    setting = {"limit": 4, "days": 1, "as_of": "1970-01-02 00:20:00"}
+    found = inf.infer_user_roles(ids, frames["applies"], frames["job_roles"], **setting).collect()
+    expected = {u: mode([jobs[a[1]] for a in newest(recent, 0, u, 4) if a[1] in jobs]) for u in range(1, 6)}
+    assert {r.user_id: r.role_id for r in found} == expected
+    ids = spark.createDataFrame([(j,) for j in range(9)], "job_id long")
+    nobody = frames["contacts"].filter("1 = 0")
+    found = inf.infer_job_roles(ids, nobody, frames["applies"], frames["user_roles"], **setting).collect()
+    expected = {j: mode([users[a[0]] for a in newest(recent, 1, j, 4) if a[0] in users]) for j in range(9)}
+    assert {r.job_id: r.role_id for r in found} == expected
+
+
 def by_apply(applies, users, job):
     return [users[a[0]] for a in newest(applies, 1, job) if a[0] in users]
 

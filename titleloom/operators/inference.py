@@ -41,10 +41,20 @@ def _votes(events: DataFrame, roles: DataFrame, id_column: str, other_column: st
     return join_hot(pairs, roles, [other_column], "inner", spread=[id_column])
 
 
-def infer_user_roles(user_ids: DataFrame, applies: DataFrame, job_roles: DataFrame) -> DataFrame:
-    """``user_id, role_id`` of every requested user: the usual role of the last 200 jobs applied to, else 0."""
+def infer_user_roles(
+    user_ids: DataFrame,
+    applies: DataFrame,
+    job_roles: DataFrame,
+    limit: int = fv.LAST_APPLIES,
+    days: int = 0,
+    as_of=None,
+) -> DataFrame:
+    """``user_id, role_id`` of every requested user: the usual role of the last 200 jobs applied to, else 0.
+
+    ``limit``, ``days`` and ``as_of`` say which applies count, as in ``read_applies``.
+    """
     ids = user_ids.select("user_id").distinct()
-    last = read_applies(applies, "user_id", ids)
+    last = read_applies(applies, "user_id", ids, limit, days, as_of)
     inferred = _weighted_mode(_votes(last, job_roles, "user_id", "job_id", F.col("rank")), "user_id")
     return ids.join(inferred, "user_id", "left").select("user_id", F.coalesce("role_id", F.lit(0)).alias("role_id"))
 
@@ -60,9 +70,19 @@ def infer_job_roles_by_contact(job_ids: DataFrame, contacts: DataFrame, user_rol
     return _weighted_mode(_votes(rows, user_roles, "job_id", "user_id", F.struct("ts", "event_id")), "job_id")
 
 
-def infer_job_roles_by_apply(job_ids: DataFrame, applies: DataFrame, user_roles: DataFrame) -> DataFrame:
-    """``job_id, role_id`` for jobs with applicants of known role rows, from the last 200 applies."""
-    last = read_applies(applies, "job_id", job_ids.select("job_id"))
+def infer_job_roles_by_apply(
+    job_ids: DataFrame,
+    applies: DataFrame,
+    user_roles: DataFrame,
+    limit: int = fv.LAST_APPLIES,
+    days: int = 0,
+    as_of=None,
+) -> DataFrame:
+    """``job_id, role_id`` for jobs with applicants of known role rows, from the last 200 applies.
+
+    ``limit``, ``days`` and ``as_of`` say which applies count, as in ``read_applies``.
+    """
+    last = read_applies(applies, "job_id", job_ids.select("job_id"), limit, days, as_of)
     return _weighted_mode(_votes(last, user_roles, "job_id", "user_id", F.col("rank")), "job_id")
 
 
@@ -72,19 +92,23 @@ def infer_job_roles(
     applies: DataFrame,
     user_roles: DataFrame,
     use_contacts: bool = True,
+    limit: int = fv.LAST_APPLIES,
+    days: int = 0,
+    as_of=None,
 ) -> DataFrame:
     """``job_id, role_id`` of every requested job: contacts first, applies where they say nothing, else 0.
 
-    A job whose contacts all lack a role keeps 0 and is not looked up by applies.
+    A job whose contacts all lack a role keeps 0 and is not looked up by applies. ``limit``, ``days`` and ``as_of`` say
+    which applies count, as in ``read_applies``; all contacts count.
     """
     ids = job_ids.select("job_id").distinct()
     if not use_contacts:
-        found = infer_job_roles_by_apply(ids, applies, user_roles)
+        found = infer_job_roles_by_apply(ids, applies, user_roles, limit, days, as_of)
     else:
         # Read by the join below and to leave out the jobs that need no applies.
         by_contact = written_once(infer_job_roles_by_contact(ids, contacts, user_roles), "by-contact")
         silent = ids.join(by_contact, "job_id", "left_anti")
-        found = by_contact.unionByName(infer_job_roles_by_apply(silent, applies, user_roles))
+        found = by_contact.unionByName(infer_job_roles_by_apply(silent, applies, user_roles, limit, days, as_of))
     return ids.join(found, "job_id", "left").select("job_id", F.coalesce("role_id", F.lit(0)).alias("role_id"))
 
 

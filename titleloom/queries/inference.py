@@ -9,6 +9,9 @@ from titleloom.operators import inference as inf
 from titleloom.queries.standins import table, view, with_views
 from titleloom.sources import events
 
+# A setting far below the usual one.
+FEW = 5
+
 
 def job_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "event_job_rows")
@@ -41,6 +44,12 @@ def infer_user_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inf.infer_user_roles(_user_ids(spark, sf_dir), view(spark, sf_dir, "applies"), job_roles(spark, sf_dir))
 
 
+def infer_user_roles_few_applies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same question by the last five applies."""
+    ids, roles = _user_ids(spark, sf_dir), job_roles(spark, sf_dir)
+    return inf.infer_user_roles(ids, view(spark, sf_dir, "applies"), roles, limit=FEW)
+
+
 def infer_job_roles_by_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inf.infer_job_roles_by_contact(
         _job_ids(spark, sf_dir), view(spark, sf_dir, "contacts"), user_roles(spark, sf_dir)
@@ -74,6 +83,7 @@ def inference_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "most_frequent_role": most_frequent_role,
     "infer_user_roles": infer_user_roles,
+    "infer_user_roles_few_applies": infer_user_roles_few_applies,
     "infer_job_roles_by_contact": infer_job_roles_by_contact,
     "infer_job_roles_by_apply": infer_job_roles_by_apply,
     "infer_job_roles": infer_job_roles,
@@ -133,6 +143,7 @@ ORACLES = {
         "AS role_id, (l_orderkey, l_linenumber, l_partkey) AS seen FROM lineitem JOIN part ON l_partkey = p_partkey", "l_suppkey"
     ) + " SELECT * FROM modes",
     "infer_user_roles": with_views(_VIEWS, _USERS_SQL),
+    "infer_user_roles_few_applies": with_views(_VIEWS, _USERS_SQL.replace("seen <= 200", f"seen <= {FEW}")),
     "infer_job_roles_by_contact": with_views(
         _VIEWS, f", {_USER_ROLES}, {_by_contact('contacts')} SELECT * FROM by_contact {_OF_PARTS}"
     ),
