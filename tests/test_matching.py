@@ -189,3 +189,40 @@ def test_prefixes_find_the_longest_sequence(spark, monkeypatch, broadcast_rows):
         assert cascade == {t: (fv.MATCH_EXACT, t) if t in known and t else (fv.MATCH_NGRAM, expected[t]) for t in {*expected, *(known & set(titles))} if t}
     assert m.match_longest_ngram(asked, frame.limit(0)).count() == 0
     assert m.match_cascade(asked.limit(0), frame).count() == 0
+
+
+def test_starts_behind_a_longest_title_are_not_shuffled(spark, monkeypatch):
+    """With a large catalogue a text goes on behind its first words only if a longer title may still come."""
+    rng = random.Random(7)
+    known = ["a b c", "d e", "f", "c a"]
+    texts = ["a b c " + " ".join(rng.choices("abcdefgh", k=60)) for _ in range(40)]
+    texts += [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 12))) for _ in range(200)]
+    frame = spark.createDataFrame([(t,) for t in texts], "norm_title string")
+    roles = spark.createDataFrame(
+        [(t, i, t, "main", [], [], [], [], []) for i, t in enumerate(known)],
+        "processed_title string, role_id int, title string, source string, seniorities array<string>, "
+        "hierarchies array<string>, " + ", ".join(f"{c} array<int>" for c in ID_COLUMNS),
+    )
+    looked_at = []
+    plain = m.join_lookup
+
+    def counting(rows, lookup, keys, *rest, **named):
+        if keys == ["prefix"]:
+            looked_at.append(rows.filter("prefix IS NOT NULL").count())
+        return plain(rows, lookup, keys, *rest, **named)
+
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(m, "join_lookup", counting)
+    found = {r.norm_title: r.matched_title for r in m.match_longest_ngram(frame, roles, max_words=None).collect()}
+
+    def expected(text):
+        words = text.split()
+        for n in (3, 2, 1):
+            for at in range(len(words) - n + 1):
+                if " ".join(words[at : at + n]) in known:
+                    return " ".join(words[at : at + n])
+
+    assert found == {t: expected(t) for t in texts if expected(t)}
+    # The first step looks at no position of the 40 long texts but their first ones.
+    short = sum(len(t.split()) for t in set(texts[40:]))
+    assert sum(looked_at[::3]) <= 40 * m.FIRST_STARTS + short
