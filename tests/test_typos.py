@@ -97,3 +97,24 @@ def test_dictionary_words_stay(spark):
     texts = spark.createDataFrame([("t", "cama caza casa"), ("u", "")], "title string, text string")
     done = {r.title: r.text for r in correct_typos(texts, vocabulary, dictionary).collect()}
     assert done == {"t": "cama casa casa", "u": ""}
+
+
+def test_long_titles_are_not_moved_with_each_word(spark, monkeypatch):
+    """A title goes through the join of words as a digest of fixed size; titles may repeat or be null."""
+    vocabulary = spark.createDataFrame([("engineer", 5), ("software", 3)], "word string, freq bigint")
+    long = " ".join(["enginer", "sofware", "other"] * 50)
+    rows = [(long, long), ("x", "enginer"), ("x", "enginer"), (None, "enginer"), ("", "")]
+    seen = []
+    plain = typos.join_hot
+
+    def watching(words, lookup, keys, *rest, **named):
+        held = [F.max(F.length(c)) for c in words.columns if c not in ("word", "at")]
+        seen.extend(words.agg(*held).first())
+        return plain(words, lookup, keys, *rest, **named)
+
+    monkeypatch.setattr(typos, "join_hot", watching)
+    done = correct_typos(spark.createDataFrame(rows, "title string, text string"), vocabulary)
+    right = " ".join(["engineer", "software", "other"] * 50)
+    expected = [(long, right), ("x", "engineer engineer"), ("x", "engineer engineer"), (None, ""), ("", "")]
+    assert sorted(map(str, done.collect())) == sorted(f"Row(title={t!r}, text={x!r})" for t, x in expected)
+    assert max(seen) <= 32
