@@ -226,3 +226,14 @@ def test_location_lists_of_any_size(spark, lists):
     assert answers(lists, table) == expected
     for words in (frozenset({"t5", "t999999", "t7", "t3"}), frozenset({"t5", "t999999", *(f"t{i}" for i in range(3000))})):
         assert answers(lists._replace(locations=words) if hasattr(lists, "_replace") else replace(lists, locations=words)) == expected
+
+
+def test_rule_words_cut_a_line_once(spark):
+    from titleloom.sources.gazetteers import rule_words_of
+
+    texts = ["#no, words", "Base, one two ,\tthree,,four five", " ,", "", "stop, SIX"]
+    lines = spark.createDataFrame([*enumerate(texts), (9, None)], "line int, text string")
+    stop = spark.createDataFrame([("stop",)], "word string")
+    found = rule_words_of(lines, stop)
+    assert sorted(r.word for r in found.collect()) == sorted("base one two three four five six".split())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
