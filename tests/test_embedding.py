@@ -7,9 +7,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from titleloom import fixed_values as fv
 from titleloom.operators import embedding as emb
+from titleloom.operators import skew
 
 WORDS = ["chef", "cook", "nurse", "lead", "trainee", "x", "y", "z"]
 
@@ -170,3 +172,33 @@ def test_sequences_by_running_sums(spark, vectors, table):
     for key, vector in expected.items():
         assert found[key].embedding == pytest.approx(vector)
         assert found[key].ngram == " ".join(key[0].split()[key[1] : key[2]])
+
+
+def test_long_titles_and_large_word_tables_are_not_repeated(spark, vectors, table, monkeypatch):
+    """Words go under a digest of their title, and a word table too large to broadcast is not copied per salt."""
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    held, plain = [], emb.join_hot
+
+    def watching(rows, lookup, keys, *rest, **named):
+        held.extend(rows.agg(*[F.max(F.length(c)) for c in rows.columns if c not in ("word", "at")]).first())
+        return plain(rows, lookup, keys, *rest, **named)
+
+    def salted(*_, **__):
+        raise AssertionError("the lookup is repeated")
+
+    monkeypatch.setattr(emb, "join_hot", watching)
+    monkeypatch.setattr(skew, "join_salted", salted)
+    asked = [" ".join(["chef", "lead", "nurse"] * 30), "chef", "chef unknown", "noidf", "", None]
+    frame = spark.createDataFrame([(t,) for t in asked], "title string")
+    found = {r.title: r.embedding for r in emb.title_embedding(frame, table).collect()}
+    assert set(found) == {asked[0], "chef"}
+    assert all(found[t] == pytest.approx(whole(t, vectors)) for t in found)
+    assert held and max(held) <= 32
+
+
+def test_only_words_in_use_are_looked_up(spark, vectors, table):
+    """Vectors of words that no text has are not written, so a few titles never meet a large table."""
+    more = spark.range(500).selectExpr("concat('other', id) AS word", "array(1.0D, 0.0D, 0.0D) AS vec", "1.0D AS idf")
+    texts = spark.createDataFrame([("chef lead",), ("noidf x",), (None,)], "text string")
+    words = emb.known_words(table.unionByName(more), texts, "text")
+    assert sorted(r.word for r in words.table.collect()) == ["chef", "lead", "x"]

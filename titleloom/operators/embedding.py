@@ -33,40 +33,53 @@ PIVOT_ROUNDS = 4
 ANGLE_SLACK = 1e-6
 
 
-def known_words(word_vectors: DataFrame | Lookup) -> Lookup:
-    """Words with a vector and a weight, written and measured once for all the joins below."""
+def known_words(word_vectors: DataFrame | Lookup, texts: DataFrame, text: str) -> Lookup:
+    """Words of the texts with a vector and a weight, written and measured once for all the joins below."""
     if isinstance(word_vectors, Lookup):
         return word_vectors
     known = word_vectors.filter(F.col("vec").isNotNull() & F.col("idf").isNotNull())
+    # Written, so that a few words are seen to be few before the table of vectors is read.
+    used = written_once(texts.select(F.explode(split_words(F.col(text))).alias("word")).distinct(), "used-words")
+    known = known.join(used, "word", "left_semi")
     return written_lookup(known.select("word", F.col("vec").cast("array<double>"), F.col("idf").cast("double")))
 
 
-def _placed_words(texts: DataFrame, text: str) -> DataFrame:
-    return texts.select(text, F.posexplode(split_words(F.col(text))).alias("at", "word"))
+def _named_texts(texts: DataFrame, text: str) -> DataFrame:
+    """The distinct texts with a ``digest``, under which their words go: a long text is not moved with each of them."""
+    distinct = texts.select(text).filter(F.col(text).isNotNull()).distinct()
+    return written_once(distinct.withColumn("digest", F.unhex(F.md5(text))), "named-texts")
 
 
-def _fully_known(texts: DataFrame, words: Lookup, text: str) -> DataFrame:
-    """``text, words``: texts all of whose words have a vector and a weight, with ``at, word, idf`` of each.
+def _joined_words(placed: DataFrame, words: Lookup, how: str) -> DataFrame:
+    """A table of words too large to broadcast is not repeated, but for the words that stand most often."""
+    if words.small:
+        return join_lookup(placed, words, ["word"], how)
+    return join_hot(placed, words.table, ["word"], how, spread=["digest", "at"])
+
+
+def _fully_known(named: DataFrame, words: Lookup, text: str) -> DataFrame:
+    """``digest, words``: texts all of whose words have a vector and a weight, with ``at, word, idf`` of each.
 
     No vector is moved to see that.
     """
-    found = join_lookup(_placed_words(texts, text), words.select("word", "idf"), ["word"], "left")
+    placed = named.select("digest", F.posexplode(split_words(F.col(text))).alias("at", "word"))
+    found = _joined_words(placed, words.select("word", "idf"), "left")
     return (
-        found.groupBy(text)
+        found.groupBy("digest")
         .agg(
             F.array_sort(F.collect_list(F.struct("at", "word", "idf"))).alias("words"),
             F.count_if(F.col("idf").isNull()).alias("unknown"),
         )
         .filter(F.col("unknown") == 0)
-        .select(text, "words")
+        .select("digest", "words")
     )
 
 
-def _with_vectors(known: DataFrame, words: Lookup, text: str) -> DataFrame:
+def _with_vectors(known: DataFrame, words: Lookup) -> DataFrame:
     """Texts of known words with an array ``words`` of ``at, word, vec, idf``."""
-    placed = known.select(text, F.inline("words")).drop("idf")
-    found = join_lookup(placed, words, ["word"], "inner")
-    return found.groupBy(text).agg(F.array_sort(F.collect_list(F.struct("at", "word", "vec", "idf"))).alias("words"))
+    placed = written_once(known.select("digest", F.inline("words")).drop("idf"), "placed-words")
+    found = _joined_words(placed, words, "inner")
+    return found.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("at", "word", "vec", "idf"))).alias("words"))
 
 
 def _total(weights: Column) -> Column:
@@ -75,15 +88,16 @@ def _total(weights: Column) -> Column:
 
 def title_embedding(titles: DataFrame, word_vectors: DataFrame | Lookup, title: str = "title") -> DataFrame:
     """``title, embedding, weight``: idf-weighted sum over the words, by the idf of the distinct words."""
-    words = known_words(word_vectors)
-    known = _with_vectors(_fully_known(titles.select(title).distinct(), words, title), words, title)
+    named = _named_texts(titles, title)
+    words = known_words(word_vectors, named, title)
+    known = _with_vectors(_fully_known(named, words, title), words)
     distinct = F.array_distinct(F.transform("words", lambda w: F.struct(w["word"].alias("word"), w["idf"].alias("idf"))))
     weighted = known.select(
-        title,
+        "digest",
         summed(F.transform("words", lambda w: scaled(w["vec"], w["idf"]))).alias("total"),
         _total(F.transform(distinct, lambda w: w["idf"])).alias("weight"),
     )
-    return weighted.filter(F.col("weight") != 0).select(
+    return weighted.filter(F.col("weight") != 0).join(named, "digest").select(
         title, scaled(F.col("total"), 1 / F.col("weight")).alias("embedding"), "weight"
     )
 
@@ -93,9 +107,10 @@ def title_spans(titles: DataFrame, word_vectors: DataFrame | Lookup, title: str
 
     A title with a word that has no embedding of its own gives no row at all.
     """
-    known = _fully_known(titles.select(title).distinct(), known_words(word_vectors), title)
-    known = known.filter(~F.exists("words", lambda w: w["idf"] == 0)).select(title, F.col("words.word").alias("words"))
-    return _spans(known, title)
+    named = _named_texts(titles, title)
+    known = _fully_known(named, known_words(word_vectors, named, title), title)
+    known = known.filter(~F.exists("words", lambda w: w["idf"] == 0)).join(named, "digest")
+    return _spans(known.select(title, F.col("words.word").alias("words")), title)
 
 
 def _spans(known: DataFrame, title: str) -> DataFrame:
@@ -114,10 +129,11 @@ def running_sums(titles: DataFrame, word_vectors: DataFrame | Lookup, title: str
     The vectors of any word sequence add up to the difference of two of the ``sums``, so a title moves one
     vector per word, however many sequences it has. Titles as in ``title_spans``.
     """
-    words = known_words(word_vectors)
-    known = _fully_known(titles.select(title).distinct(), words, title)
+    named = _named_texts(titles, title)
+    words = known_words(word_vectors, named, title)
+    known = _fully_known(named, words, title)
     known = known.filter((F.size("words") > 0) & ~F.exists("words", lambda w: w["idf"] == 0))
-    placed = _with_vectors(known, words, title)
+    placed = _with_vectors(known, words).join(named, "digest")
     zero = F.array(F.transform(F.get("words", F.lit(0))["vec"], lambda x: F.lit(0.0)))
     sums = F.aggregate(
         "words", zero, lambda held, w: F.concat(held, F.array(added(F.element_at(held, -1), w["vec"])))
@@ -437,14 +453,15 @@ def best_similarity_fold(candidates: DataFrame, title: str = "norm_title") -> Da
 
 def match_embedding(titles: DataFrame, catalogue: DataFrame, word_vectors: DataFrame) -> DataFrame:
     """``norm_title, matched_title, similarity`` for titles near enough to a catalogue title."""
-    words = known_words(word_vectors)
+    titles = written_once(titles.select("norm_title"), "titles")
+    roles = written_once(catalogue.select(F.col("processed_title").alias("matched_title")), "roles")
+    both = titles.toDF("text").unionByName(roles.toDF("text"))
+    words = known_words(word_vectors, both, "text")
     # Read for the texts to compare, for their vectors and again for the titles they stand in.
     running = written_once(running_sums(titles, words), "running-sums")
     spans = _spans(running.select("norm_title", "words"), "norm_title")
     texts = distinct_ngram_vectors(spans, running)
-    against = title_embedding(
-        catalogue.select(F.col("processed_title").alias("matched_title")), words, "matched_title"
-    )
+    against = title_embedding(roles, words, "matched_title")
     near = nearest_titles(texts, against, above=fv.MIN_SIMILARITY)
     # A text has at most five near titles; one row per text keeps the join a lookup.
     per_text = near.groupBy(F.col("text").alias("ngram")).agg(
