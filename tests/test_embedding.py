@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,22 @@ def test_only_words_in_use_are_looked_up(spark, vectors, table):
     texts = spark.createDataFrame([("chef lead",), ("noidf x",), (None,)], "text string")
     words = emb.known_words(table.unionByName(more), texts, "text")
     assert sorted(r.word for r in words.table.collect()) == ["chef", "lead", "x"]
+
+
+def test_pairs_of_texts_and_blocks_are_handed_over_in_bounded_batches():
+    blocks = 50
+    index = emb.TitleBlocks(
+        None, np.eye(3), np.arange(blocks) % 3, np.zeros(blocks), np.full(blocks, math.pi), np.full(blocks, 10)
+    )
+    rows = pd.DataFrame({"text": [str(i) for i in range(3000)], "embedding": [[1.0, 0.0, 0.5]] * 3000, "least": [-1.0] * 3000})
+
+    class Texts:
+        schema = ()
+
+        def mapInPandas(self, pairs, kinds):
+            return [*pairs([rows])]
+
+    batches = emb.block_pairs(Texts(), index, 5, False, "least")
+    assert max(map(len, batches)) <= 8192
+    pairs = {(t, b) for batch in batches for t, b in zip(batch["text"], batch["title_block"])}
+    assert sum(map(len, batches)) == len(pairs) == 3000 * blocks

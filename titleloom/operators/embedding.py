@@ -24,7 +24,9 @@ from titleloom.sources.tables import constant_table
 DIGITS = 9
 # Rows of one block of texts or titles; a task compares one block of each.
 BLOCK_ROWS = 8192
-_CHUNK_ROWS = 1024
+_CHUNK_ROWS = 256
+# Pairs of a text and a block that a task hands over at once.
+_PAIR_ROWS = 8192
 # Pivots are fitted on the driver to a sample of so many titles each; more blocks than pivots are rings around them.
 MOST_PIVOTS = 256
 PIVOT_SAMPLE = 32
@@ -306,7 +308,7 @@ def block_pairs(texts: DataFrame, index: TitleBlocks, k: int, home: bool, least:
     index = index._replace(table=None)
 
     def pairs(batches):
-        step = max(1, 4_000_000 // len(index.pivot))
+        step = max(1, _PAIR_ROWS // len(index.pivot))
         for rows in batches:
             for begin in range(0, len(rows), step):
                 part = rows.iloc[begin : begin + step]
