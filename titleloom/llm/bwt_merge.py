@@ -16,6 +16,13 @@ MERGED = 2048
 SHARD = 64
 # Contexts that are cut out of texts at once.
 TOGETHER = 32_768
+# Texts whose anchors are taken at once.
+TEXTS = 1024
+# Rows of one anchor that are held to look for partners; of an anchor with more all are taken.
+HELD = 1_000_000
+# A spot is an anchor's hash with this number of lower bits replaced by those of its place.
+PLACE_BITS = 24
+PLACE = (1 << PLACE_BITS) - 1
 
 
 def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM):
@@ -134,27 +141,113 @@ def first_holders(strings: list[bytes], holders: list[int], length: int):
     return string[begins], offset[begins], ends, holder[begins]
 
 
-def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+def sides(data: bytes, at, length: int = LENGTH, gram: int = GRAM):
+    """``left + 65536 * right``: hashes of 1 to 65535 of the bytes before and behind the grams at ``at``, 0 where the text is too short.
+
+    A string of ``length`` bytes around a gram holds half of the bytes beside the gram on one side at least. So where two texts
+    share such a string, they share a gram and the hash of one side.
+    """
+    import numpy as np
+
+    half = (length - gram + 1) // 2
+    wide = 8 if half >= 8 else 1
+    words = np.ndarray((len(data) - wide + 1,), f"<u{wide}", data, strides=(1,))
+    steps = [*range(0, half - wide, wide), half - wide]
+
+    def hashed(begin, inside):
+        value, begin = np.zeros(len(at), np.uint64), np.where(inside, begin, 0)
+        for step in steps:
+            value = (value ^ words[np.where(inside, begin + step, 0)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            value ^= value >> np.uint64(29)
+        return np.where(inside, value % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.int64)
+
+    left, right = hashed(at - half, at >= half), hashed(at + gram, at + gram + half <= len(data))
+    return left + 65536 * right
+
+
+def _spots(texts: DataFrame, length: int) -> DataFrame:
+    """``spot, sides, far, key_text`` per anchor: 40 bits of its hash and 24 of its place, the sides, the rest of the place."""
+
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            found = [anchors(x.as_py(), length) for x in batch.column("content")]
+        for batch in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
+            contents = batch.column("content").to_pylist()
+            found = [anchors(x, length) for x in contents]
             rows = np.repeat(np.arange(len(found)), [len(p) for p, _ in found])
+            at, value = (np.concatenate(x) for x in zip(*found, strict=True))
+            beside = [sides(x, p, length) for x, (p, _) in zip(contents, found, strict=True) if len(p)]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).take(pa.array(rows)) for c in ("key_id", "key_text")],
-                 *[pa.array(np.concatenate(x) if x else [], pa.int64()) for x in zip(*found, strict=True)]],
-                ["key_id", "key_text", "pos", "anchor"],
+                [pa.array(value & ~PLACE | at & PLACE), pa.array(np.concatenate(beside) if beside else [], pa.int64()),
+                 pa.array(at >> PLACE_BITS), batch.column("key_text").take(pa.array(rows))],
+                ["spot", "sides", "far", "key_text"],
             )
 
-    return docs.select("key_id", "key_text", "content").mapInArrow(
-        work, "key_id long, key_text long, pos long, anchor long"
+    return texts.select("key_text", "content").mapInArrow(work, "spot long, sides long, far long, key_text long")
+
+
+def _with_partner(spots: DataFrame, held: int = HELD) -> DataFrame:
+    """``key_text, pos`` of the anchors that another text holds with the same bytes on one side, so with an equal hash of them.
+
+    Rows of an anchor stand together. Those that only look alike are found out later, as contexts are compared by bytes.
+    """
+
+    def work(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def out(spot, far, text) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(text), pa.array(spot & PLACE | far << PLACE_BITS)], ["key_text", "pos"])
+
+        def partnered(spot, side, far, text):
+            group = np.cumsum(np.append(False, spot[1:] >> PLACE_BITS != spot[:-1] >> PLACE_BITS)).astype(np.int64)
+            found = np.zeros(len(spot), bool)
+            for value in (side & 65535, side >> 16):
+                key = group * 65536 + value
+                order = np.argsort(key, kind="stable")
+                starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+                many = np.minimum.reduceat(text[order], starts) < np.maximum.reduceat(text[order], starts)
+                found[order] |= np.repeat(many, np.diff(np.append(starts, len(order)))) & (value[order] > 0)
+            return spot[found], far[found], text[found]
+
+        waiting, flooded = None, None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("spot", "sides", "far", "key_text")]
+            # Copies of a text say the same.
+            new = np.append(True, np.any([x[1:] != x[:-1] for x in (rows[0], rows[2], rows[3])], axis=0))[: len(rows[0])]
+            rows = [x[new] for x in rows]
+            if waiting is not None:
+                rows = [np.concatenate(x) for x in zip(waiting, rows, strict=True)]
+            if not len(rows[0]):
+                continue
+            anchor = rows[0] >> PLACE_BITS
+            if flooded is not None:
+                more = int(np.searchsorted(anchor != flooded, True))
+                yield out(rows[0][:more], rows[2][:more], rows[3][:more])
+                rows, anchor = [x[more:] for x in rows], anchor[more:]
+                if not len(anchor):
+                    waiting = None
+                    continue
+                flooded = None
+            last = int(np.searchsorted(anchor, anchor[-1]))
+            if last:
+                yield out(*partnered(*[x[:last] for x in rows]))
+            waiting = [x[last:] for x in rows]
+            if len(waiting[0]) > held:
+                yield out(waiting[0], waiting[2], waiting[3])
+                waiting, flooded = None, int(anchor[-1])
+        if waiting is not None:
+            yield out(*partnered(*waiting))
+
+    anchor = F.shiftright("spot", PLACE_BITS)
+    return (
+        spots.repartition(anchor).sortWithinPartitions("spot", "key_text", "far").mapInArrow(work, "key_text long, pos long")
     )
 
 
 def _contexts(docs: DataFrame, length: int) -> DataFrame:
-    """``key_id, key_text, anchor, begin, context``: the bytes in which a window around a shared anchor can lie."""
+    """``key_id, key_text, pos, context``: the bytes in which a window around a shared anchor can lie."""
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
@@ -163,18 +256,20 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             content, hits = batch.column("content").to_pylist(), batch.column("hits")
             doc = np.repeat(np.arange(len(hits)), hits.value_lengths().to_numpy(zero_copy_only=False))
-            pos, anchor = (x.to_numpy(zero_copy_only=False) for x in hits.flatten().flatten())
+            pos = hits.flatten().to_numpy(zero_copy_only=False)
             for at in range(0, len(doc), TOGETHER):
-                rows, ends = doc[at : at + TOGETHER], pos[at : at + TOGETHER] + length
-                begins = np.maximum(ends - (2 * length - GRAM), 0)
+                rows, places = doc[at : at + TOGETHER], pos[at : at + TOGETHER]
+                begins, ends = np.maximum(places - (length - GRAM), 0), places + length
                 cut = [content[i][b:e] for i, b, e in zip(rows.tolist(), begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).take(pa.array(rows)) for c in ("key_id", "key_text")],
-                     pa.array(anchor[at : at + TOGETHER]), pa.array(begins), pa.array(cut, pa.binary())],
-                    ["key_id", "key_text", "anchor", "begin", "context"],
+                     pa.array(places), pa.array(cut, pa.binary())],
+                    ["key_id", "key_text", "pos", "context"],
                 )
 
-    return docs.mapInArrow(work, "key_id long, key_text long, anchor long, begin long, context binary")
+    return docs.select("key_id", "key_text", "content", "hits").mapInArrow(
+        work, "key_id long, key_text long, pos long, context binary"
+    )
 
 
 RUNS = "array<struct<begin:int,end:int,holder:long>>"
@@ -266,43 +361,34 @@ def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.coalesce("text", F.lit("")).cast("binary").alias("content"),
     ).withColumn("key_text", F.xxhash64("content"))
     keys = ["key_id", "key_text"]
-    shared = staged(
-        _anchor_rows(texts, length)
-        .groupBy("anchor")
-        .agg(F.min("key_id").alias("low"), F.max("key_id").alias("high"), F.count("*").alias("uses"))
-        .filter("low < high")
-        .select("anchor", "uses"),
-        "anchors",
-    )
-    hits = join_counted(_anchor_rows(texts, length), shared, ["anchor"], "uses").groupBy(*keys).agg(
-        F.sort_array(F.collect_set(F.struct("pos", "anchor"))).alias("hits")
+    # Of equal texts the first document is searched; the others go whole if they have a window.
+    firsts = staged(texts.groupBy("key_text").agg(F.min("key_id").alias("key_id")), "firsts", drop_shuffles=True)
+    hits = staged(
+        _with_partner(_spots(texts, length))
+        .repartition("key_text")
+        .groupBy("key_text")
+        .agg(F.sort_array(F.collect_set("pos")).alias("hits")),
+        "hits", drop_shuffles=True,
+    )
+    # The rest of a member's columns follows from these four; neighbouring contexts overlap, so they are packed well.
+    cut = staged(_contexts(texts.join(firsts.join(hits, "key_text"), keys), length), "contexts", "zstd", drop_shuffles=True)
+    before = F.least("pos", F.lit(length - GRAM))
+    members = cut.select(
+        *keys,
+        (F.col("pos") - before).alias("begin"),
+        F.xxhash64(F.substring("context", before.cast("int") + 1, F.lit(GRAM))).alias("anchor"),
+        F.xxhash64("context").alias("context_key"),
+        "context",
     )
-    members = staged(
-        _contexts(texts.dropDuplicates(keys).join(hits, keys), length).withColumn("context_key", F.xxhash64("context")),
-        "contexts",
-    )
-    # An anchor whose contexts are all equal needs no merge: its first holder holds every window.
-    held = staged(
-        members.groupBy("anchor").agg(
-            F.min("context_key").alias("context_key"),
-            (F.min("context_key") != F.max("context_key")).alias("differ"),
-            F.min(F.octet_length("context")).alias("size"),
-            F.min("key_id").alias("first"),
-            F.count("*").alias("members"),
-        ),
-        "held",
-    )
-    whole = F.array(F.struct(F.lit(0).alias("begin"), (F.col("size") - (length - 1)).alias("end"), F.col("first").alias("holder")))
-    alike = held.filter("not differ").select("anchor", "context_key", "members", whole.cast(RUNS).alias("runs"))
-    differing = held.filter("differ").select("anchor", "members")
     distinct = (
-        join_counted(members.select("anchor", "key_id", "context", "context_key"), differing, ["anchor"], "members")
+        members.select("anchor", "context", "key_id")
+        .repartition("anchor")
         .groupBy("anchor", "context")
-        .agg(F.min("key_id").alias("first"), F.count("*").alias("members"), F.first("context_key").alias("context_key"))
+        .agg(F.min("key_id").alias("first"), F.count("*").alias("members"))
+        .withColumn("context_key", F.xxhash64("context"))
     )
     decided = staged(
-        _decided(distinct.repartition("anchor").sortWithinPartitions("anchor", "context"), length).unionByName(alike),
-        "decided",
+        _decided(distinct.sortWithinPartitions("anchor", "context"), length), "decided", "zstd", drop_shuffles=True
     )
     found = join_counted(members.drop("context"), decided, ["anchor", "context_key"], "members")
     later = F.filter("runs", lambda r: r["holder"] < F.col("key_id"))
@@ -310,11 +396,17 @@ def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         later,
         lambda r: F.struct((F.col("begin") + r["begin"]).alias("begin"), (F.col("begin") + r["end"] + length - 1).alias("end")),
     )
-    covers = (
+    covers = staged(
         found.select(*keys, cover.alias("cover"))
         .filter(F.size("cover") > 0)
         .groupBy(*keys)
-        .agg(F.sort_array(F.flatten(F.collect_list("cover"))).alias("covers"))
-    )
-    whole_texts = texts.dropDuplicates(keys).join(covers, keys, "left")
-    return _cut(whole_texts.select("doc_id", "content", F.coalesce("covers", F.array().cast(COVERS)).alias("covers")))
+        .agg(F.sort_array(F.flatten(F.collect_list("cover"))).alias("covers")),
+        "covers", "zstd", drop_shuffles=True,
+    )
+    none_covered = F.array().cast(COVERS)
+    searched = firsts.join(covers, keys, "left").select(*keys, F.coalesce("covers", none_covered).alias("covers"))
+    n_bytes = F.octet_length("content").cast("long")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), n_bytes.alias("end")))
+    copied = F.when(n_bytes >= length, whole).otherwise(none_covered)
+    whole_texts = texts.repartition(*keys).dropDuplicates(keys).join(searched, keys, "left")
+    return _cut(whole_texts.select("doc_id", "content", F.coalesce("covers", copied).alias("covers")))
