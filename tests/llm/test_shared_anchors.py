@@ -53,7 +53,7 @@ def test_only_anchors_with_a_partner_go_on(spark):
     docs = docs.withColumn("key_text", F.xxhash64("content"))
     spots = bwt_merge._spots(docs, 50)
     # Copies of one text are no partners, nor are texts that share a phrase shorter than a window.
-    assert spots.count() > 2500
+    assert spots.count() > 2000
     assert bwt_merge._with_partner(spots).count() < 20
     more = docs.unionByName(spark.createDataFrame([(7, bytearray((same + "!").encode()))], docs.schema))
     both = bwt_merge._with_partner(bwt_merge._spots(more, 50)).groupBy("key_text").count().collect()
@@ -80,3 +80,15 @@ def test_shuffles_of_a_staged_table_can_go_at_once(spark):
     was = spark.conf.get(DROP_SHUFFLES, None)
     rows = staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "rows", drop_shuffles=True)
     assert {r["count"] for r in rows.collect()} == {142, 143} and spark.conf.get(DROP_SHUFFLES, None) == was
+
+
+def test_a_phrase_in_very_many_texts_makes_no_partners(spark):
+    """By chance sides would be alike in pairs that grow with the square of the texts, if their hashes were short."""
+    draw = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    tails = draw.choice(letters, (4000, 80))
+    texts = ["".join(t[:40]) + " a phrase of words " + "".join(t[40:]) for t in tails]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        F.xxhash64("t").alias("key_text"), F.col("t").cast("binary").alias("content")
+    )
+    assert bwt_merge._with_partner(bwt_merge._spots(docs, 50)).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titleloom.llm.common import join_counted, staged
+from titleloom.llm.common import staged
 
 LENGTH = 50
 GRAM = 16
@@ -142,7 +142,7 @@ def first_holders(strings: list[bytes], holders: list[int], length: int):
 
 
 def sides(data: bytes, at, length: int = LENGTH, gram: int = GRAM):
-    """``left + 65536 * right``: hashes of 1 to 65535 of the bytes before and behind the grams at ``at``, 0 where the text is too short.
+    """Hashes of 32 bits of the bytes before (lower half) and behind the grams at ``at``, 0 where the text is too short.
 
     A string of ``length`` bytes around a gram holds half of the bytes beside the gram on one side at least. So where two texts
     share such a string, they share a gram and the hash of one side.
@@ -159,10 +159,10 @@ def sides(data: bytes, at, length: int = LENGTH, gram: int = GRAM):
         for step in steps:
             value = (value ^ words[np.where(inside, begin + step, 0)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             value ^= value >> np.uint64(29)
-        return np.where(inside, value % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.int64)
+        return np.where(inside, (value >> np.uint64(32)) | np.uint64(1), np.uint64(0))
 
     left, right = hashed(at - half, at >= half), hashed(at + gram, at + gram + half <= len(data))
-    return left + 65536 * right
+    return (left | right << np.uint64(32)).view(np.int64)
 
 
 def _spots(texts: DataFrame, length: int) -> DataFrame:
@@ -173,6 +173,9 @@ def _spots(texts: DataFrame, length: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
+            # Copies that are read together say the same.
+            once = np.unique(batch.column("key_text").to_numpy(zero_copy_only=False), return_index=True)[1]
+            batch = batch.take(pa.array(once))
             contents = batch.column("content").to_pylist()
             found = [anchors(x, length) for x in contents]
             rows = np.repeat(np.arange(len(found)), [len(p) for p, _ in found])
@@ -203,12 +206,12 @@ def _with_partner(spots: DataFrame, held: int = HELD) -> DataFrame:
         def partnered(spot, side, far, text):
             group = np.cumsum(np.append(False, spot[1:] >> PLACE_BITS != spot[:-1] >> PLACE_BITS)).astype(np.int64)
             found = np.zeros(len(spot), bool)
-            for value in (side & 65535, side >> 16):
-                key = group * 65536 + value
+            for value in (side & 0xFFFFFFFF, side >> 32 & 0xFFFFFFFF):
+                key = group << 32 | value
                 order = np.argsort(key, kind="stable")
                 starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
                 many = np.minimum.reduceat(text[order], starts) < np.maximum.reduceat(text[order], starts)
-                found[order] |= np.repeat(many, np.diff(np.append(starts, len(order)))) & (value[order] > 0)
+                found[order] |= np.repeat(many, np.diff(np.append(starts, len(order)))) & (value[order] != 0)
             return spot[found], far[found], text[found]
 
         waiting, flooded = None, None
@@ -277,7 +280,7 @@ COVERS = "array<struct<begin:long,end:long>>"
 
 
 def _decided(contexts: DataFrame, length: int) -> DataFrame:
-    """``anchor, context_key, members, runs``: per window of a context the smallest doc that holds it, in runs.
+    """``anchor, context_key, runs``: per window of a context the smallest doc that holds it, in runs.
 
     Contexts of one anchor lie together; those of many anchors are merged at once, up to ``MERGED`` contexts, more only
     where one anchor has more.
@@ -297,9 +300,9 @@ def _decided(contexts: DataFrame, length: int) -> DataFrame:
             )
             bounds = np.searchsorted(string, np.arange(len(rows) + 1))
             return pa.RecordBatch.from_arrays(
-                [*[pa.array([r[c] for r in rows], pa.int64()) for c in ("anchor", "context_key", "members")],
+                [*[pa.array([r[c] for r in rows], pa.int64()) for c in ("anchor", "context_key")],
                  pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs)],
-                ["anchor", "context_key", "members", "runs"],
+                ["anchor", "context_key", "runs"],
             )
 
         waiting: list = []
@@ -312,7 +315,7 @@ def _decided(contexts: DataFrame, length: int) -> DataFrame:
         if waiting:
             yield flush(waiting)
 
-    return contexts.mapInArrow(work, f"anchor long, context_key long, members long, runs {RUNS}")
+    return contexts.mapInArrow(work, f"anchor long, context_key long, runs {RUNS}")
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -384,13 +387,14 @@ def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         members.select("anchor", "context", "key_id")
         .repartition("anchor")
         .groupBy("anchor", "context")
-        .agg(F.min("key_id").alias("first"), F.count("*").alias("members"))
+        .agg(F.min("key_id").alias("first"))
         .withColumn("context_key", F.xxhash64("context"))
     )
     decided = staged(
         _decided(distinct.sortWithinPartitions("anchor", "context"), length), "decided", "zstd", drop_shuffles=True
     )
-    found = join_counted(members.drop("context"), decided, ["anchor", "context_key"], "members")
+    # One decided row per key, so a key with many members is only streamed past it.
+    found = members.drop("context").join(decided, ["anchor", "context_key"])
     later = F.filter("runs", lambda r: r["holder"] < F.col("key_id"))
     cover = F.transform(
         later,
